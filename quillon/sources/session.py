@@ -37,14 +37,15 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if spark.sparkContext.master.startswith("local"):
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-")
-    else:
-        folder = spark.conf.get("spark.sql.warehouse.dir")
-    spark.sparkContext.setCheckpointDir(folder)
-    spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if spark.sparkContext.master.startswith("local["):
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="spark-")
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
