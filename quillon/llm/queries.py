@@ -9,10 +9,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import quality
+from quillon.llm import bpe, line_dedup, quality
 from quillon.sources.session import read_table
 
 
+def byte_bpe() -> bpe.Tokenizer:
+    import public_tokenizers
+
+    return bpe.load_tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), byte_bpe())
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.line_dedup(docs)
+    return out.select("doc_id", "n_lines", "n_removed", F.length("clean_text").cast("long").alias("n_chars_left"), F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+OP2_SQL = """
+WITH raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
+worded AS (SELECT doc_id, p, regexp_replace(l, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS l FROM raw WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
+win AS (SELECT doc_id, p, l AS a, lead(l, 1) OVER d AS b, lead(l, 2) OVER d AS c, lead(p, 2) OVER d AS q FROM worded WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+ranked AS (SELECT doc_id, p, q, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id NULLS FIRST, p) AS r FROM win WHERE c IS NOT NULL),
+gone AS (SELECT DISTINCT raw.doc_id, raw.p FROM raw JOIN ranked ON raw.doc_id = ranked.doc_id AND raw.p BETWEEN ranked.p AND ranked.q WHERE r > 1),
+cut AS (SELECT raw.doc_id, raw.p, raw.l, gone.p IS NOT NULL AS g, regexp_matches(raw.l, '[^\\x20\\x09-\\x0D]') AS w FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id AND raw.p = gone.p),
+done AS (SELECT doc_id, count(*) FILTER (w) AS n_lines, count(*) FILTER (w AND g) AS n_removed, coalesce(string_agg(l, chr(10) ORDER BY p) FILTER (NOT g), '') AS x FROM cut GROUP BY doc_id)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, length(x)::BIGINT AS n_chars_left, sha256(x) AS clean_sha256 FROM done
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs).select(
@@ -46,8 +74,11 @@ FROM ct JOIN pl USING (doc_id)
 """
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_line_dedup": op2_line_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLES = {
+    "op2_line_dedup": OP2_SQL,
     "op8_quality_rules": OP8_SQL,
 }
