@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, line_dedup, quality
+from quillon.llm import bpe, line_dedup, mixing, quality
 from quillon.sources.session import read_table
 
 
@@ -73,10 +73,16 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM ct JOIN pl USING (doc_id)
 """
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mixture(docs).select("doc_id", "size", "source_size", "target", "taken", "times", "shards")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_line_dedup": op2_line_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op10_source_mixing": op10_source_mixing,
 }
 ORACLES = {
     "op2_line_dedup": OP2_SQL,
