@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, line_dedup, mixing, near_dup, quality, secret_scan
-from quillon.sources.session import read_table
+from quillon.llm import bpe, line_dedup, lm_score, mixing, near_dup, pii, pivot_index, quality, secret_scan, token_counts
+from quillon.sources.session import materialize, read_table
 
 
 def byte_bpe() -> bpe.Tokenizer:
@@ -41,6 +41,37 @@ SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, lengt
 """
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(read_table(spark, sf_dir, "documents"))
+
+
+def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches over all documents: their insert under two tokenizer versions, the revision of all word counts
+    to the next version, the delete of the documents labelled toxic, and the last two delivered again."""
+    docs = read_table(spark, sf_dir, "documents")
+    toxic = read_table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    counted = materialize(token_counts.count_tokens(docs, ("words-1", "words-2", "bytes-1")), "token-counts")
+    gone = counted.join(toxic, "doc_id", "left_semi")
+    ledger = token_counts.new_ledger(spark, "token-ledger")
+    ledger.commit("1-insert", token_counts.inserted(counted, "words-1").unionAll(token_counts.inserted(counted, "bytes-1")))
+    for _ in range(2):
+        ledger.commit("2-revise", token_counts.revised(counted, "words-1", counted, "words-2"))
+        ledger.commit("3-delete", token_counts.deleted(gone, "words-2").unionAll(token_counts.deleted(gone, "bytes-1")))
+    return ledger.totals()
+
+
+OP6_SQL = """
+WITH kept AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words, strlen(coalesce(text, '')) AS bytes
+  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+long AS (SELECT source, lang, 'words-2' AS version, words AS n FROM kept UNION ALL SELECT source, lang, 'bytes-1', bytes FROM kept)
+SELECT source, lang, version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM long GROUP BY source, lang, version
+"""
+
+
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -87,6 +118,10 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM ct JOIN pl USING (doc_id)
 """
 
+def op9_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mixture(docs).select("doc_id", "size", "source_size", "target", "taken", "times", "shards")
@@ -95,12 +130,17 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_line_dedup": op2_line_dedup,
+    "op3_lm_scores": op3_lm_scores,
+    "op4_pii_surrogates": op4_pii_surrogates,
+    "op6_token_rollups": op6_token_rollups,
+    "op9_pivot_index": op9_pivot_index,
     "op5_hyperminhash": op5_hyperminhash,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLES = {
+    "op6_token_rollups": OP6_SQL,
     "op2_line_dedup": OP2_SQL,
     "op8_quality_rules": OP8_SQL,
 }
