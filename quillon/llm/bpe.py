@@ -269,18 +269,17 @@ def decode(encoded: DataFrame, tokenizer: Tokenizer, id_column: str = "doc_id")
     return encoded.select(id_column, "ids").mapInArrow(run, f"`{id_column}` {kind}, bytes binary")
 
 
-def round_trip(docs: DataFrame, tokenizer: Tokenizer, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: Tokenizer, id_column: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
     """Encode each whole text, decode the ids, and return digests of both.
 
-    (id, n_tokens, ids_sha256, decoded_sha256, n_bytes). Ids never leave the task: memory holds the ids of one
-    text at most.
+    (id, n_tokens, ids_sha256, decoded_sha256, n_bytes), then the columns named in keep, then, if asked for, ids.
+    Without them ids never leave the task: memory holds the ids of one chunk of a text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
-    kind = docs.schema[id_column].dataType.simpleString()
-    names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"]
+    names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", *keep, *["ids"] * with_ids]
 
-    def digests(t: Tokenizer, x: str) -> tuple[int, str, str, int]:
-        ids, back, n, size = hashlib.sha256(), hashlib.sha256(), 0, 0
+    def digests(t: Tokenizer, x: str) -> tuple[int, str, str, int, np.ndarray | None]:
+        ids, back, n, size, all_ids = hashlib.sha256(), hashlib.sha256(), 0, 0, []
         for spans in t.encode_spans(x):
             chunk = b"".join(spans)
             ids.update(chunk)
@@ -288,14 +287,21 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer, id_column: str = "doc_id",
             decoded = t.decode_spans(spans)
             back.update(decoded)
             size += len(decoded)
-        return n, ids.hexdigest(), back.hexdigest(), size
+            if with_ids:
+                all_ids.append(np.frombuffer(chunk, "<u4").astype(np.int32))
+        return n, ids.hexdigest(), back.hexdigest(), size, np.concatenate(all_ids or [np.empty(0, np.int32)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
-        for b in batches:
-            if b.num_rows:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
                 columns = list(zip(*(digests(t, x) for x in _texts(b.column(1))), strict=True))
-                types = (pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, types, strict=True))], names=names)
+                types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()))
+                made = [pa.array(c, k) for c, k in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *made[:4], *b.columns[2:], *made[4:] * with_ids], names=names)
 
-    return docs.select(F.col(id_column), F.col(text)).mapInArrow(run, f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    kept = docs.select(F.col(id_column), F.col(text).alias("text"), *[F.col(k) for k in keep])
+    others = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+    kind = docs.schema[id_column].dataType.simpleString()
+    return kept.mapInArrow(run, f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long{others}" + ", ids array<int>" * with_ids)
