@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quillon.plans import relational
+
+_PACKS = (relational,)
+QUERIES: dict = {k: v for p in _PACKS for k, v in p.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for p in _PACKS for k, v in p.ORACLE_SQL.items()}
