@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.plans import relational
+from quillon.plans import competition, relational
 
-_PACKS = (relational,)
+_PACKS = (relational, competition)
 QUERIES: dict = {k: v for p in _PACKS for k, v in p.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for p in _PACKS for k, v in p.ORACLE_SQL.items()}
