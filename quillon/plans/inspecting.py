@@ -8,7 +8,7 @@ from quillon.functions import text as tx
 from quillon.operators import inspection as ins
 from quillon.plans.texts import SCRIPT_SQL, TOKEN_SQL
 from quillon.sources.session import read_table
-from quillon.streaming import windows
+from quillon.streaming import stateful, windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -176,3 +176,18 @@ def user_sessions(spark, sf_dir):
     events = read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = windows.sessions(events, "6 hours")
     return out.withColumn("started", F.col("started").cast("timestamp_ntz")).withColumn("ended", F.col("ended").cast("timestamp_ntz"))
+
+
+@query("""WITH w AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 4 HOURS PRECEDING AND CURRENT ROW) AS in_window FROM events)
+SELECT user_id, event_id, in_window FROM w WHERE in_window >= 3""")
+def stream_floods(spark, sf_dir):
+    """The floods of query flood_batch, found by a stream that keeps the last window of each user."""
+    stream = windows.read_stream(spark, f"{sf_dir}/event[s].parquet", read_table(spark, sf_dir, "events"))
+    return windows.run_available(stateful.floods(stream, "user_id", 4 * 3600, 3), "floods", "append")
+
+
+@query()
+def stream_raids(spark, sf_dir):
+    """Raids by event type with a latch of an hour."""
+    stream = windows.read_stream(spark, f"{sf_dir}/event[s].parquet", read_table(spark, sf_dir, "events"))
+    return windows.run_available(stateful.raids(stream, "event_type", 600, 3, 3600), "raids", "append")
