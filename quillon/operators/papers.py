@@ -52,3 +52,54 @@ def page_furniture(lines: DataFrame, pages: int = 2) -> DataFrame:
     signature = F.regexp_replace(F.lower(F.trim("line")), "[0-9]+", "#")
     counts = lines.select("page", signature.alias("signature")).filter("signature <> ''").distinct().groupBy("signature").agg(F.count(F.lit(1)).alias("n_pages"))
     return counts.filter(F.col("n_pages") >= pages)
+
+
+#: Expected share of right answers by cognitive level, from recall to high application.
+EXPECTED = (0.85, 0.65, 0.45, 0.20)
+
+
+def item_statistics(levels: DataFrame) -> DataFrame:
+    """(id, n, p_value, d_value, difficulty, discrimination) of papers (id, level from 1 to 4): the expected share of right
+    answers and how well the paper tells candidates apart, from the shares of its levels."""
+    count = lambda k: F.count(F.when(F.col("level") == k, 1))
+    c = levels.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[count(k).alias(f"c{k}") for k in (1, 2, 3, 4)])
+    p = F.round(sum((F.col(f"c{k}") * e for k, e in enumerate(EXPECTED, 1)), F.lit(0.0)) / F.greatest(F.col("n"), F.lit(1)), 4)
+    d = F.round(F.least(F.lit(0.65), F.greatest(F.lit(0.20), 0.25 + (F.col("c3") + F.col("c4")) / F.greatest(F.col("n"), F.lit(1)) * 0.5)), 4)
+    label = F.when(F.col("p_value") >= 0.70, "easy").when(F.col("p_value") >= 0.55, "standard").when(F.col("p_value") >= 0.40, "demanding").otherwise("expert")
+    apart = F.when(F.col("d_value") >= 0.40, "high").when(F.col("d_value") >= 0.30, "good").otherwise("average")
+    return c.select("id", "n", p.alias("p_value"), d.alias("d_value")).withColumn("difficulty", label).withColumn("discrimination", apart)
+
+
+def evidence_scores(texts: DataFrame, evidence: tuple[tuple[str, int, tuple[str, ...]], ...], least: int) -> DataFrame:
+    """(id, label, points): the label with the most points for a text (id, text); a rule (label, points, markers) gives
+    its points once if any of its markers occurs. No label below ``least`` points; ties go to the first in order."""
+    low = F.lower("text")
+    labels = list(dict.fromkeys(name for name, _, _ in evidence))
+    points = {}
+    for name in labels:
+        total = F.lit(0)
+        for _, n, markers in (e for e in evidence if e[0] == name):
+            hit = F.lit(False)
+            for m in markers:
+                hit = hit | low.contains(m)
+            total = total + F.when(hit, n).otherwise(0)
+        points[name] = total
+    # the place breaks ties: earlier labels win
+    best = F.array_max(F.array(*[F.struct(p.alias("points"), F.lit(-i).alias("place"), F.lit(n).alias("label")) for i, (n, p) in enumerate(points.items())]))
+    scored = texts.select("id", best.alias("b"))
+    return scored.select("id", F.when(F.col("b.points") >= least, F.col("b.label")).alias("label"), F.col("b.points").alias("points"))
+
+
+def style_scores(texts: DataFrame, patterns: tuple[tuple[str, int], ...], discounts: tuple[tuple[str, int], ...], comments: str = r"(?m)^[ \t]*(?://|#)") -> DataFrame:
+    """(id, score, level): suspicion from 0 to 100 that a text (id, text) isn't written by hand. A pattern adds its weight
+    for each hit, twice at most; many comment lines add 15 or 25; habits of people take their discount off."""
+    score = F.lit(0)
+    for p, w in patterns:
+        score = score + F.least(F.regexp_count("text", F.lit(p)) * w, F.lit(2 * w))
+    lines = F.size(F.split("text", "\n"))
+    ratio = F.regexp_count("text", F.lit(comments)) / lines
+    score = score + F.when((ratio > 0.45) & (lines > 12), 25).when((ratio > 0.30) & (lines > 12), 15).otherwise(0)
+    less = sum((F.when(F.col("text").rlike(p), d).otherwise(0) for p, d in discounts), F.lit(0))
+    final = F.least(F.lit(100), F.greatest(F.lit(0), score - F.least(score, less)))
+    scored = texts.select("id", final.cast("int").alias("score"))
+    return scored.withColumn("level", F.when(F.col("score") >= 70, "extreme").when(F.col("score") >= 60, "strong").when(F.col("score") >= 30, "light").otherwise("normal"))

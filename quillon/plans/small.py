@@ -122,3 +122,31 @@ def difficulty_tiers(spark, sf_dir):
     raw = F.round(1 + (F.floor("o_totalprice") % 90) / 10.0, 1)
     difficulty = F.round(misc.exam_difficulty(raw, kind), 4)
     return read_table(spark, sf_dir, "orders").select("o_orderkey", difficulty.alias("difficulty"), misc.difficulty_tier(difficulty).alias("tier"), misc.default_minutes(F.col("o_orderkey") % 80).alias("minutes"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS id, l_partkey % 4 + 1 AS level FROM lineitem), c AS (SELECT id, count(*) AS n, count(*) FILTER (level = 1) AS c1, count(*) FILTER (level = 2) AS c2, count(*) FILTER (level = 3) AS c3, count(*) FILTER (level = 4) AS c4 FROM l GROUP BY 1),
+v AS (SELECT id, n, round((c1 * 0.85::DOUBLE + c2 * 0.65::DOUBLE + c3 * 0.45::DOUBLE + c4 * 0.2::DOUBLE) / n, 4) AS p_value, round(least(0.65, greatest(0.2, 0.25::DOUBLE + (c3 + c4) / n::DOUBLE * 0.5)), 4)::DOUBLE AS d_value FROM c)
+SELECT *, CASE WHEN p_value >= 0.7 THEN 'easy' WHEN p_value >= 0.55 THEN 'standard' WHEN p_value >= 0.4 THEN 'demanding' ELSE 'expert' END AS difficulty, CASE WHEN d_value >= 0.4 THEN 'high' WHEN d_value >= 0.3 THEN 'good' ELSE 'average' END AS discrimination FROM v""")
+def item_statistics(spark, sf_dir):
+    return papers.item_statistics(read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 4 + 1).alias("level")))
+
+
+EVIDENCE = (("script", 4, ("<script",)), ("script", 3, ("track(", "var ")), ("style", 4, ("<style",)), ("style", 2, ("margin:",)), ("form", 3, ("<form", "<input")))
+
+
+@query("""WITH t AS (SELECT page_id AS id, lower(html) AS t FROM pages), p AS (SELECT id, (CASE WHEN contains(t, '<script') THEN 4 ELSE 0 END + CASE WHEN contains(t, 'track(') OR contains(t, 'var ') THEN 3 ELSE 0 END) AS a,
+  (CASE WHEN contains(t, '<style') THEN 4 ELSE 0 END + CASE WHEN contains(t, 'margin:') THEN 2 ELSE 0 END) AS b, (CASE WHEN contains(t, '<form') OR contains(t, '<input') THEN 3 ELSE 0 END) AS c FROM t)
+SELECT id, CASE WHEN greatest(a, b, c) < 5 THEN NULL WHEN a >= b AND a >= c THEN 'script' WHEN b >= c THEN 'style' ELSE 'form' END AS label, greatest(a, b, c)::INTEGER AS points FROM p""")
+def evidence_labels(spark, sf_dir):
+    return papers.evidence_scores(read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")), EVIDENCE, 5)
+
+
+STYLE = ((("%%%", 10), ("!!", 8), (" [|] ", 15)), (("license", 20), ("@mail", 10)))
+
+
+@query(r"""WITH s AS (SELECT doc_id AS id, text, least(len(regexp_extract_all(text, '%%%')) * 10, 20) + least(len(regexp_extract_all(text, '!!')) * 8, 16) + least(len(regexp_extract_all(text, ' [|] ')) * 15, 30) AS base,
+  len(string_split(text, chr(10))) AS n, len(regexp_extract_all(text, '(?m)^[ \t]*(?://|#)')) AS k, CASE WHEN contains(text, 'license') THEN 20 ELSE 0 END + CASE WHEN contains(text, '@mail') THEN 10 ELSE 0 END AS less FROM documents),
+c AS (SELECT id, base + CASE WHEN k / n::DOUBLE > 0.45 AND n > 12 THEN 25 WHEN k / n::DOUBLE > 0.3 AND n > 12 THEN 15 ELSE 0 END AS sc, less FROM s),
+f AS (SELECT id, least(100, greatest(0, sc - least(sc, less)))::INTEGER AS score FROM c) SELECT id, score, CASE WHEN score >= 70 THEN 'extreme' WHEN score >= 60 THEN 'strong' WHEN score >= 30 THEN 'light' ELSE 'normal' END AS level FROM f""")
+def style_score(spark, sf_dir):
+    return papers.style_scores(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), *STYLE)
