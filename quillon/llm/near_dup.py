@@ -13,9 +13,12 @@
 
 Texts with equal sets are one class from the start, named by 64 bits of a 128-bit digest of the set (a clash of
 two sets is looked for, and refused). Candidates are compared in two passes, so that a large group of near copies
-never becomes all its pairs: first each class with the smallest class of its bucket, of which only the best
-estimate for each class is verified; then, for buckets that still hold more than one component, every pair of
-classes of different components. A pair within one component adds nothing. So no link between components is lost.
+never becomes all its pairs. First each class meets the centre of its buckets, the class that shares bands with most others,
+and the best estimate of each class is verified. Then come the classes of the buckets that still hold more than one component. Two sets can
+only be as similar as asked if they share one of the rarest shingles of either, of which a quarter of the set is
+enough (a fact about any order of the shingles; the order is by a table of counts of fixed size). So pairs are made
+by those shingles, between different components only, and never within the largest component of a shingle; they go
+through estimate and verification. A pair within one component adds nothing, so no link between components is lost.
 
 Bands of hot groups are spread by equi-joins and by minima that are combined before their shuffle.
 
@@ -30,6 +33,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,6 +49,8 @@ THRESHOLD = 75
 BANDS, ROWS, MANTISSA = 56, 5, 10
 REGISTERS = BANDS * ROWS
 SIGMAS = 6
+#: Bits of the table of shingle counts that orders shingles by rarity.
+SLOT_BITS, SLOT_PART = 20, 1 << 14
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 
@@ -151,18 +157,15 @@ def sketch(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
 
 
 def _band_rows(sketches: DataFrame) -> DataFrame:
-    """(band, node, n): a row for each band of each class."""
+    """(band, node): a row for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                regs = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bands(regs).ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(np.repeat(b.column(1).to_numpy(), BANDS))],
-                    names=["band", "node", "n"],
-                )
+                regs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                yield pa.RecordBatch.from_arrays([pa.array(bands(regs).ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["band", "node"])
 
-    return sketches.select("node", "n", "sketch").mapInArrow(run, "band long, node long, n long")
+    return sketches.select("node", "sketch").mapInArrow(run, "band long, node long")
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -191,10 +194,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", both.alias("i"), (F.size("ha") + F.size("hb")).alias("t")).filter(F.col("i") * 100 >= (F.col("t") - F.col("i")) * THRESHOLD).select("a", "b")
 
 
-def _sets(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
-    """(node, hashes): the full sets of the classes in pairs, made anew from the text of one document of each."""
-    need = pairs.select(F.col("a").alias("m")).unionAll(pairs.select("b")).distinct()
-    one = sketches.join(need, F.col("node") == F.col("m")).groupBy("node").agg(F.min("key").alias("key"))
+def _sets(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
+    """(node, hashes): the full sets of the classes in nodes, made anew from the text of one document of each."""
+    one = sketches.join(nodes.withColumnRenamed("node", "m"), F.col("node") == F.col("m")).select("node", "key")
     found = docs.select(F.xxhash64(text).alias("k"), F.col(text).alias("text")).join(one, F.col("k") == F.col("key")).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +205,73 @@ def _sets(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, text: str) ->
                 b = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x or "").view(np.int64) for x in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    return found.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
+    # copies of a text give their class's set again
+    return found.dropDuplicates(["node"]).mapInArrow(run, "node long, hashes array<long>")
+
+
+def _counts(sets: DataFrame) -> np.ndarray:
+    """About how often each shingle occurs: counts by the first SLOT_BITS bits of its hash, a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << SLOT_BITS, np.int64)
+        for b in batches:
+            slots = b.column(0).flatten().to_numpy().view(_U) >> _U(64 - SLOT_BITS)
+            table += np.bincount(slots.astype(np.int64), minlength=1 << SLOT_BITS)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["slot", "n"])
+
+    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros(SLOT_PART, np.int32)
+        table[rows["slot"].to_numpy() % SLOT_PART] = np.minimum(rows["n"].to_numpy(), np.iinfo(np.int32).max)
+        return pd.DataFrame({"part": [key[0]], "table": [table.tobytes()]})
+
+    sums = sets.select("hashes").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    parts = sums.groupBy(F.floor(F.col("slot") / SLOT_PART).alias("part")).applyInPandas(pack, "part long, table binary").collect()
+    out = np.zeros(1 << SLOT_BITS, np.int32)
+    for part, table in parts:
+        out[part * SLOT_PART : (part + 1) * SLOT_PART] = np.frombuffer(table, np.int32)
+    return out
+
+
+def _rarest(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(token, node, at): the rarest shingles of each set, as many as two sets that are similar enough must share one
+    of, and their places by rarity. Those that occur once are left out, as no other set has them."""
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                nodes, tokens, places = [], [], []
+                for node, h in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    x = h.values.to_numpy().view(_U)
+                    n = table[(x >> _U(64 - SLOT_BITS)).astype(np.int64)]
+                    first = np.lexsort((x, n))[: len(x) - -(-THRESHOLD * len(x) // 100) + 1]
+                    at = np.flatnonzero(n[first] > 1)
+                    tokens.append(x[first[at]].view(np.int64))
+                    nodes.append(np.full(len(at), node, np.int64))
+                    places.append(at)
+                joined = [pa.array(np.concatenate([np.empty(0, np.int64), *v])) for v in (tokens, nodes, places)]
+                yield pa.RecordBatch.from_arrays(joined, names=["token", "node", "at"])
+
+    return sets.select("node", "hashes").mapInArrow(run, "token long, node long, at long")
+
+
+def _across(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes of different components that share one of their rarest shingles. labels: m, n, c."""
+    rows = materialize(_rarest(sets, _counts(sets)).join(labels, F.col("node") == F.col("m")).select("token", "node", "at", "n", "c"), "near-rarest")
+    parts = rows.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
+    mixed = parts.groupBy("token").agg(F.max(F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    mixed = mixed.select(F.col("token").alias("t"), F.col("most.c").alias("largest"))
+    there = materialize(rows.join(mixed, F.col("token") == F.col("t")).select("token", "node", (F.col("n") - F.col("at")).alias("left"), "n", "c", "largest"), "near-mixed")
+    x = there.filter("c <> largest").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("c").alias("ca"))
+    y = there.select(F.col("token").alias("token2"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("c").alias("cb"), (F.col("c") == F.col("largest")).alias("main"))
+    near_size = (F.col("na") * 100 >= F.col("nb") * THRESHOLD) & (F.col("nb") * 100 >= F.col("na") * THRESHOLD)
+    # from their first common shingle on, two sets can share no more than what either has left
+    enough = F.least("la", "lb") * (100 + THRESHOLD) >= (F.col("na") + F.col("nb")) * THRESHOLD
+    met = x.join(y, (F.col("token") == F.col("token2")) & (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & near_size & enough)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def links(docs: DataFrame, sketched: DataFrame, text: str = "text") -> DataFrame:
@@ -213,29 +281,30 @@ def links(docs: DataFrame, sketched: DataFrame, text: str = "text") -> DataFrame
     if not one.filter("lo <> hi").isEmpty():
         raise ValueError("two different sets share a 64-bit name: change the seed of shingles()")
     rows = _band_rows(one)
-    shared = rows.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select(F.col("band").alias("in_band"), "least")
-    members = materialize(rows.join(shared, F.col("band") == F.col("in_band")).select("band", "node", "n", "least"), "near-bands")
-
-    stars = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumnRenamed("band", "in_band")
+    members = materialize(rows.join(shared, F.col("band") == F.col("in_band")).select("band", "node", "size"), "near-bands")
+    sets = materialize(_sets(docs, one, members.select("node").distinct(), text), "near-sets")
+
+    # the centre of a bucket is the class that shares bands with the most classes: of copies, the least altered
+    fame = members.groupBy(F.col("node").alias("m")).agg(F.sum("size").alias("fame"))
+    famed = materialize(members.join(fame, F.col("node") == F.col("m")).select("band", "node", "fame"), "near-famed")
+    centre = famed.groupBy(F.col("band").alias("in_band")).agg(F.max(F.struct("fame", "node")).alias("top")).select("in_band", F.col("top.node").alias("a"))
+    stars = famed.join(centre, F.col("band") == F.col("in_band")).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     likely = materialize(_likely(stars, one), "near-likely")
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("j", "a")).alias("a")).select("a", "b")
-    # the sets of every class that may be verified in the first pass
-    sure = materialize(_verified(best, _sets(docs, one, best, text)), "near-links")
+    sure = materialize(_verified(best, sets), "near-links")
     first = materialize(connected_components(sure), "near-first")
 
     label = first.select(F.col("node").alias("m"), "component")
-    named = materialize(members.join(label, F.col("node") == F.col("m"), "left").select("band", "node", "n", F.coalesce("component", "node").alias("c")), "near-named")
+    named = materialize(members.join(label, F.col("node") == F.col("m"), "left").select("band", "node", F.coalesce("component", "node").alias("c")), "near-named")
     mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select(F.col("band").alias("in_band"))
-    open_rows = materialize(named.join(mixed, F.col("band") == F.col("in_band")).select("band", "node", "n", "c"), "near-open")
-    x = open_rows.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = open_rows.select(F.col("band").alias("band2"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    near_size = (F.col("na") * 100 >= F.col("nb") * THRESHOLD) & (F.col("nb") * 100 >= F.col("na") * THRESHOLD)
-    cross = x.join(y, (F.col("band") == F.col("band2")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near_size).select("a", "b").distinct()
-    rest = materialize(_likely(cross, one), "near-cross")
+    open_nodes = named.join(mixed, F.col("band") == F.col("in_band")).select("node", "c").distinct()
+    labels = materialize(open_nodes.join(one.select(F.col("node").alias("m"), "n"), F.col("node") == F.col("m")).select("m", "n", "c"), "near-open")
+    open_sets = sets.join(labels.select(F.col("m").alias("node")), "node", "left_semi")
+    rest = materialize(_likely(_across(open_sets, labels), one), "near-cross")
     if rest.isEmpty():
         return first
-    more = _verified(rest, _sets(docs, one, rest, text))
-    return connected_components(materialize(sure.unionAll(more), "near-all"))
+    return connected_components(materialize(sure.unionAll(_verified(rest, sets)), "near-all"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
