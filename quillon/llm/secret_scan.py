@@ -25,7 +25,7 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,19 +45,19 @@ Span = tuple[int, int]
 
 
 class Layer:
-    """A decoded text. starts[i] and ends[i]: the code points of the original text that encode its i-th character;
-    without them, all of it stands for one span."""
+    """A decoded text. edge(i, 0) and edge(i, 1) are where, in the text that it was decoded from, the code of its i-th
+    character begins and ends. Places are found by going back layer by layer, so a layer costs no table of its length."""
 
-    __slots__ = ("ends", "span", "starts", "text")
+    __slots__ = ("edge", "source", "text")
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None, span: Span | None = None):
-        self.text, self.starts, self.ends, self.span = text, starts, ends, span
+    def __init__(self, text: str, source: Layer | None = None, edge: Callable[[int, int], int] | None = None):
+        self.text, self.source, self.edge = text, source, edge
 
     def place(self, start: int, end: int) -> Span:
         """The original span of characters start to end."""
-        if self.span:
-            return self.span
-        return (start, end) if self.starts is None else (self.starts[start], self.ends[end - 1])
+        if self.source is None:
+            return start, end
+        return self.source.place(self.edge(start, 0), self.edge(end - 1, 1))
 
 
 def findings(text: str) -> Iterator[tuple[int, int, int]]:
@@ -74,26 +74,25 @@ def findings(text: str) -> Iterator[tuple[int, int, int]]:
 
 
 def _replaced(layer: Layer, pieces: list[tuple[int, int, str, list[Span]]]) -> Layer:
-    """The layer with some of its spans replaced; each new character has the span, within the layer, that encodes it."""
-    out, starts, ends, at = [], [], [], 0
-
-    def copy(end: int) -> None:
-        out.append(layer.text[at:end])
-        for i in range(at, end):
-            s, e = layer.place(i, i + 1)
-            starts.append(s)
-            ends.append(e)
-
-    for begin, end, new, spans in pieces:
-        copy(begin)
-        out.append(new)
-        for s, e in spans:
-            s, e = layer.place(s, e)
-            starts.append(s)
-            ends.append(e)
+    """The layer with some of its spans replaced; each new character has the span, within the layer, that encodes it.
+
+    The new text is runs that were copied, which lie in the layer from a number on, and runs with spans."""
+    out, begins, runs, at, length = [], [], [], 0, 0
+    for begin, end, new, spans in [*pieces, (len(layer.text), len(layer.text), "", [])]:
+        for text, run in ((layer.text[at:begin], at), (new, spans)):
+            if text:
+                out.append(text)
+                begins.append(length)
+                runs.append(run)
+                length += len(text)
         at = end
-    copy(len(layer.text))
-    return Layer("".join(out), starts, ends)
+
+    def edge(i: int, side: int) -> int:
+        k = bisect_right(begins, i) - 1
+        run, far = runs[k], i - begins[k]
+        return run + far + side if isinstance(run, int) else run[far][side]
+
+    return Layer("".join(out), layer, edge)
 
 
 def _utf8(raw: bytes, begin: int, width: int) -> tuple[str, list[Span]]:
@@ -174,23 +173,20 @@ def unwrap_base64(layer: Layer) -> Iterator[Layer]:
         except (binascii.Error, ValueError):
             continue
         if (inner := _inflated(raw)) is not None:
-            text = inner.decode("utf-8", "replace")
-            yield Layer(text, span=layer.place(m.start(), m.end()))
+            yield Layer(inner.decode("utf-8", "replace"), layer, lambda i, side, span=m.span(): span[side])
             continue
         try:
             text = raw.decode()
         except UnicodeDecodeError:
             continue
         if _readable(text):
-            starts, ends, at, n = [], [], 0, len(digits)
-            for c in text:
-                size = len(c.encode())
+
+            def edge(i: int, side: int, text: str = text, begin: int = m.start(), n: int = len(digits)) -> int:
                 # byte b lies in the digits from 4b/3 to 4(b+1)/3
-                s, e = layer.place(m.start() + at * 4 // 3, m.start() + min(n, -(-(at + size) * 4 // 3)))
-                starts.append(s)
-                ends.append(e)
-                at += size
-            yield Layer(text, starts, ends)
+                at = i + side if text.isascii() else len(text[: i + side].encode())
+                return begin + (min(n, -(-at * 4 // 3)) if side else at * 4 // 3)
+
+            yield Layer(text, layer, edge)
 
 
 def _maybe_text(head: bytes) -> bool:
