@@ -2,8 +2,11 @@
 
 1. Classes. Vectors with equal components are one class, so a group of copies costs one vector.
 2. Pivots. PIVOTS_PER_ROOT * sqrt(classes) reference points, at least MIN_PIVOTS, are taken from a sample of
-   vectors of that size, chosen by hash; every class is then indexed. A class is described by its NEAREST nearest
-   pivots in order, and stands in the inverted list of each.
+   vectors of that size, chosen by hash; one whose cosine to an earlier one is APART or more is left out. So a group
+   of near copies, however large, has one pivot that all its members share, and not a matching share of the pivots
+   that noise puts in order. APART lies below THRESHOLD, as a group whose links are the closer of its pairs only
+   needs this too. Every class is then indexed: it is described by its NEAREST nearest pivots in order, and stands
+   in the inverted list of each.
 3. Retrieval. Two classes are candidates if they share at least SHARED of those pivots. A pair is looked at in the
    list of the first pivot that they share only, so it counts once.
 4. Verification: cosine in double precision, at least THRESHOLD.
@@ -13,7 +16,8 @@ a hot list is spread over tasks and no task holds more than two blocks. From a p
 the links of each vector (weighted by the size of the classes it meets), and a spanning forest of the links found,
 of at most one edge a vector. All pairs of a large group of near copies are compared, but never written.
 
-The number of pivots grows with the square root of the classes, as do the lists; work grows with the power 1.5.
+The number of pivots grows with the square root of the classes, as do the lists; work grows with the power 1.5,
+and with the square of the largest group of near copies, whose pairs are all compared.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components has n_links 0 and is alone;
 rows with equal vectors are linked with each other; rows with equal ids are counted one by one; a null id takes
@@ -35,10 +39,12 @@ from pyspark.sql import functions as F
 from quillon.llm.graph import connected_components
 from quillon.sources.session import materialize
 
-THRESHOLD = 0.9
+THRESHOLD, APART = 0.9, 0.7
 NEAREST, SHARED = 8, 2
 PIVOTS_PER_ROOT, MIN_PIVOTS, MAX_PIVOTS = 1.0, 64, 16_384
 BLOCK = 1_000
+#: Close pairs of two blocks from which products count what they share.
+MANY = 100_000
 
 
 def classes(vectors: DataFrame, id_column: str, embedding: str) -> DataFrame:
@@ -53,7 +59,8 @@ def classes(vectors: DataFrame, id_column: str, embedding: str) -> DataFrame:
 
 
 def pivots_of(units: DataFrame, count: int) -> dict[int, tuple[int, np.ndarray]]:
-    """The reference points by vector length, each length with the number of its first; MAX_PIVOTS bounds them."""
+    """The reference points by vector length, each length with the number of its first; MAX_PIVOTS bounds them, and
+    no two of a length have a cosine of APART or more."""
     n = min(MAX_PIVOTS, max(MIN_PIVOTS, round(PIVOTS_PER_ROOT * math.sqrt(count))))
     by_length: dict[int, list] = {}
     for r in units.select("v").orderBy(F.xxhash64(F.lit("pivot"), "node"), "node").limit(n).collect():
@@ -61,11 +68,21 @@ def pivots_of(units: DataFrame, count: int) -> dict[int, tuple[int, np.ndarray]]
         by_length.setdefault(len(x), []).append(x / np.linalg.norm(x))
     out, at = {}, 0
     for d, p in by_length.items():
-        out[d] = (at, np.stack(p))
-        at += len(p)
+        out[d] = (at, _thinned(np.stack(p)))
+        at += len(out[d][1])
     return out
 
 
+def _thinned(points: np.ndarray) -> np.ndarray:
+    """The points in order without those whose cosine to an earlier one that stays is APART or more."""
+    kept, n = np.empty_like(points), 0
+    for p in points:
+        if not (kept[:n] @ p >= APART).any():
+            kept[n] = p
+            n += 1
+    return kept[:n].copy()
+
+
 def describe(units: DataFrame, pivots: dict[int, tuple[int, np.ndarray]]) -> DataFrame:
     """(node, size, v, near): the nearest pivots of each class, in order. pivots: by vector length, with the number
     of the first; a length without pivots has one list of its own."""
@@ -110,16 +127,23 @@ def _compare(a: pd.DataFrame, b: pd.DataFrame, pivot: int, same: bool) -> tuple[
     i, j = np.nonzero(close)
     if not len(i):
         return [], []
-    keep = []
-    # in slices, as a group of near copies makes most pairs close
-    for at in range(0, len(i), 100_000):
-        p, q = na[i[at : at + 100_000]], nb[j[at : at + 100_000]]
+    least = min(SHARED, na.shape[1])
+    if len(i) > MANY:
+        # a group of near copies makes most pairs close: what they share comes from products too
+        names = np.unique(np.concatenate([na, nb]))
+        ia, ib = _marks(na, names), _marks(nb, names)
+        before = names < pivot
+        close &= (ia @ ib.T >= least) & (ia[:, before] @ ib[:, before].T == 0)
+        i, j = np.nonzero(close)
+    else:
+        p, q = na[i], nb[j]
         equal = p[:, :, None] == q[:, None, :]
         count = equal.sum(axis=(1, 2))
         first = np.where(equal.any(axis=2), p, np.iinfo(np.int32).max).min(axis=1)
-        keep.append((count >= min(SHARED, na.shape[1])) & (first == pivot))
-    ok = np.concatenate(keep)
-    i, j = i[ok], j[ok]
+        ok = (count >= least) & (first == pivot)
+        i, j = i[ok], j[ok]
+    if not len(i):
+        return [], []
     la = np.bincount(i, b["size"].to_numpy()[j], len(a))
     lb = np.bincount(j, a["size"].to_numpy()[i], len(b))
     ids_a, ids_b = a["node"].to_numpy(), b["node"].to_numpy()
@@ -127,6 +151,13 @@ def _compare(a: pd.DataFrame, b: pd.DataFrame, pivot: int, same: bool) -> tuple[
     return links, _forest(ids_a[i], ids_b[j])
 
 
+def _marks(near: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """A row for each row of near: 1 at the names that stand in it."""
+    out = np.zeros((len(near), len(names)), np.float32)
+    np.put_along_axis(out, np.searchsorted(names, near), 1, axis=1)
+    return out
+
+
 def _forest(x: np.ndarray, y: np.ndarray) -> list:
     """Edges, one fewer than the nodes of each part, that join what the pairs (x, y) join."""
     names, at = np.unique(np.concatenate([x, y]), return_inverse=True)

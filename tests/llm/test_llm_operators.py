@@ -192,6 +192,37 @@ def test_pivot_index(spark):
     assert pivot_index.near_duplicates(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("cosine", [0.86, 0.97])
+def test_pivot_index_of_a_hot_group(spark, cosine):
+    # a third of the rows are noisy copies of one vector; at 0.86 only the closer of their pairs are links
+    r = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(r.normal(size=(4_500, 64)))
+    x[:1_500] = unit(x[0] + (1 / cosine - 1) ** 0.5 * unit(r.normal(size=(1_500, 64))))
+    close = x @ x.T >= 0.9
+    np.fill_diagonal(close, False)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {y["vec_id"]: y["n_links"] for y in pivot_index.near_duplicates(df).collect()}
+    true = close.sum(axis=1)
+    assert all(got[i] <= true[i] for i in got) and sum(got.values()) >= 0.98 * true.sum()
+
+
+def test_pivot_pairs_are_found_alike(monkeypatch):
+    import pandas as pd
+
+    r = np.random.default_rng(3)
+    v = r.normal(size=8) + 0.1 * r.normal(size=(60, 8))
+    # a list of pivot 3: all stand in it
+    near = [r.permutation(np.r_[3, r.permutation([0, 1, 2, *range(4, 30)])[:7]]).astype(np.int32) for _ in v]
+    t = pd.DataFrame({"node": range(60), "size": r.integers(1, 4, 60), "v": list(v), "near": near})
+    a, b = t[:30], t[30:]
+    for x, y, same in ((a, b, False), (a, a, True)):
+        few = pivot_index._compare(x, y, 3, same)
+        with monkeypatch.context() as m:
+            m.setattr(pivot_index, "MANY", 0)
+            assert few[0] and pivot_index._compare(x, y, 3, same) == few
+
+
 def test_secrets_in_layers():
     import base64
     import gzip
