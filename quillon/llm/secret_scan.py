@@ -3,8 +3,9 @@
 Every text is scanned for three kinds of secrets (assignments, access keys, runs of hex digits). Then a worklist
 unwraps what the text encodes: percent escapes, Unicode and HTML escapes, base64 (standard and URL-safe), and zlib
 or gzip data inside base64. Each decoded layer is scanned like the text and may hold further layers; it goes on
-until no layer yields a new one. A layer that has been seen before in the same document (by hash) is not taken
-again, so encodings that decode to themselves or to each other end.
+until no layer yields a new one. A layer that occurs again in the same document (by hash) is not decoded again, but
+its findings are reported at every place that encodes it; encodings that decode to themselves or to each other end,
+as the spans of a text are finite.
 
 A finding in a layer is reported at the code points of the original text that encode it: escapes are mapped
 character by character, base64 by groups of four digits, and compressed data as the whole run of digits. The spans
@@ -46,18 +47,21 @@ Span = tuple[int, int]
 
 class Layer:
     """A decoded text. edge(i, 0) and edge(i, 1) are where, in the text that it was decoded from, the code of its i-th
-    character begins and ends. Places are found by going back layer by layer, so a layer costs no table of its length."""
+    character begins and ends; so a layer costs no table of its length. whole: all of it is text."""
 
-    __slots__ = ("edge", "source", "text")
+    __slots__ = ("edge", "text", "whole")
 
-    def __init__(self, text: str, source: Layer | None = None, edge: Callable[[int, int], int] | None = None):
-        self.text, self.source, self.edge = text, source, edge
+    def __init__(self, text: str, edge: Callable[[int, int], int], whole: bool = True):
+        self.text, self.edge, self.whole = text, edge, whole
 
-    def place(self, start: int, end: int) -> Span:
-        """The original span of characters start to end."""
-        if self.source is None:
-            return start, end
-        return self.source.place(self.edge(start, 0), self.edge(end - 1, 1))
+
+class Found:
+    """What is known of a distinct text: the spans found in it, and the texts that encode it with their edges."""
+
+    __slots__ = ("spans", "ups", "whole")
+
+    def __init__(self, text: str):
+        self.spans, self.ups, self.whole = set(findings(text)), [], False
 
 
 def findings(text: str) -> Iterator[tuple[int, int, int]]:
@@ -73,13 +77,13 @@ def findings(text: str) -> Iterator[tuple[int, int, int]]:
         yield m.start(), m.end(), 2
 
 
-def _replaced(layer: Layer, pieces: list[tuple[int, int, str, list[Span]]]) -> Layer:
-    """The layer with some of its spans replaced; each new character has the span, within the layer, that encodes it.
+def _replaced(old: str, pieces: list[tuple[int, int, str, list[Span]]]) -> Layer:
+    """The text with some of its spans replaced; each new character has the span, within the text, that encodes it.
 
-    The new text is runs that were copied, which lie in the layer from a number on, and runs with spans."""
+    The new text is runs that were copied, which lie in the old one from a number on, and runs with spans."""
     out, begins, runs, at, length = [], [], [], 0, 0
-    for begin, end, new, spans in [*pieces, (len(layer.text), len(layer.text), "", [])]:
-        for text, run in ((layer.text[at:begin], at), (new, spans)):
+    for begin, end, new, spans in [*pieces, (len(old), len(old), "", [])]:
+        for text, run in ((old[at:begin], at), (new, spans)):
             if text:
                 out.append(text)
                 begins.append(length)
@@ -92,7 +96,7 @@ def _replaced(layer: Layer, pieces: list[tuple[int, int, str, list[Span]]]) -> L
         run, far = runs[k], i - begins[k]
         return run + far + side if isinstance(run, int) else run[far][side]
 
-    return Layer("".join(out), layer, edge)
+    return Layer("".join(out), edge)
 
 
 def _utf8(raw: bytes, begin: int, width: int) -> tuple[str, list[Span]]:
@@ -115,21 +119,21 @@ def _utf8(raw: bytes, begin: int, width: int) -> tuple[str, list[Span]]:
     return text, spans
 
 
-def unescape_percent(layer: Layer) -> Layer | None:
-    """The layer with its percent escapes replaced."""
-    if "%" not in layer.text:
+def unescape_percent(old: str) -> Layer | None:
+    """The text with its percent escapes replaced."""
+    if "%" not in old:
         return None
-    pieces = [(m.start(), m.end(), *_utf8(bytes.fromhex(m.group().replace("%", "")), m.start(), 3)) for m in PERCENT.finditer(layer.text)]
-    return _replaced(layer, pieces) if pieces else None
+    pieces = [(m.start(), m.end(), *_utf8(bytes.fromhex(m.group().replace("%", "")), m.start(), 3)) for m in PERCENT.finditer(old)]
+    return _replaced(old, pieces) if pieces else None
 
 
-def unescape_unicode(layer: Layer) -> Layer | None:
-    """The layer with its Unicode and HTML escapes replaced; two surrogate escapes in a row are one character."""
-    if "\\" not in layer.text and "&#" not in layer.text:
+def unescape_unicode(old: str) -> Layer | None:
+    """The text with its Unicode and HTML escapes replaced; two surrogate escapes in a row are one character."""
+    if "\\" not in old and "&#" not in old:
         return None
     pieces: list[tuple[int, int, str, list[Span]]] = []
     high = None
-    for m in ESCAPE.finditer(layer.text):
+    for m in ESCAPE.finditer(old):
         code = int(m[6]) if m[6] else int(next(g for g in m.groups() if g), 16)
         if 0xD800 <= code < 0xDC00:
             high = (m.start(), m.end(), code)
@@ -141,7 +145,7 @@ def unescape_unicode(layer: Layer) -> Layer | None:
             begin, code = high[0], 0x10000 + ((high[2] - 0xD800) << 10) + code - 0xDC00
         if code <= 0x10FFFF:
             pieces.append((begin, m.end(), chr(code), [(begin, m.end())]))
-    return _replaced(layer, pieces) if pieces else None
+    return _replaced(old, pieces) if pieces else None
 
 
 def _inflated(raw: bytes) -> bytes | None:
@@ -157,9 +161,9 @@ def _readable(text: str) -> bool:
     return all(c.isprintable() or c in "\t\r\n" for c in text)
 
 
-def unwrap_base64(layer: Layer) -> Iterator[Layer]:
+def unwrap_base64(old: str) -> Iterator[Layer]:
     """A layer for each run of base64 digits that holds readable text or compressed readable text."""
-    for m in BASE64.finditer(layer.text):
+    for m in BASE64.finditer(old):
         digits = m.group().rstrip("=")
         if len(digits) % 4 == 1:
             digits = digits[:-1]
@@ -173,7 +177,7 @@ def unwrap_base64(layer: Layer) -> Iterator[Layer]:
         except (binascii.Error, ValueError):
             continue
         if (inner := _inflated(raw)) is not None:
-            yield Layer(inner.decode("utf-8", "replace"), layer, lambda i, side, span=m.span(): span[side])
+            yield Layer(inner.decode("utf-8", "replace"), lambda i, side, span=m.span(): span[side])
             continue
         try:
             text = raw.decode()
@@ -186,7 +190,7 @@ def unwrap_base64(layer: Layer) -> Iterator[Layer]:
                 at = i + side if text.isascii() else len(text[: i + side].encode())
                 return begin + (min(n, -(-at * 4 // 3)) if side else at * 4 // 3)
 
-            yield Layer(text, layer, edge)
+            yield Layer(text, edge)
 
 
 def _maybe_text(head: bytes) -> bool:
@@ -200,24 +204,45 @@ def _maybe_text(head: bytes) -> bool:
     return False
 
 
+def _name(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass")).digest()
+
+
+def _unwrapped(text: str) -> Iterator[Layer]:
+    for f in (unescape_percent, unescape_unicode):
+        if (new := f(text)) is not None:
+            yield new
+    yield from unwrap_base64(text)
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """(base, all, layers): the findings of the text itself, those of all layers (start, kind, end), and how many
     layers there are."""
     base = list(findings(text))
-    found = {(s, k, e) for s, e, k in base}
-    work, seen, layers = [Layer(text)], {hashlib.blake2b(text.encode("utf-8", "surrogatepass")).digest()}, 0
+    root = Found(text)
+    known, path = {_name(text): root}, [(root, _unwrapped(text))]
+    # depth first, so only the texts of one path are held
+    while path:
+        source, inner = path[-1]
+        if (new := next(inner, None)) is None:
+            path.pop()
+        elif new.text:
+            if (name := _name(new.text)) not in known:
+                known[name] = Found(new.text)
+                path.append((known[name], _unwrapped(new.text)))
+            known[name].ups.append((source, new.edge))
+            known[name].whole |= new.whole
+    # a layer's spans go to all places that encode it, until none is new
+    work = [(x, x.spans) for x in known.values() if x.spans and x is not root]
     while work:
-        layer = work.pop()
-        for new in (unescape_percent(layer), unescape_unicode(layer), *unwrap_base64(layer)):
-            if new is None or not new.text or (name := hashlib.blake2b(new.text.encode("utf-8", "surrogatepass")).digest()) in seen:
-                continue
-            seen.add(name)
-            layers += 1
-            for s, e, k in findings(new.text):
-                s, e = new.place(s, e)
-                found.add((s, k, e))
-            work.append(new)
-    return base, _without_doubles(base, found), layers
+        layer, spans = work.pop()
+        for source, edge in layer.ups:
+            new = {(edge(s, 0), edge(e - 1, 1), k) for s, e, k in spans} - source.spans
+            if new:
+                source.spans = source.spans | new
+                work.append((source, new))
+    layers = sum(x.whole or bool(x.spans) for x in known.values() if x is not root)
+    return base, _without_doubles(base, {(s, k, e) for s, e, k in root.spans}), layers
 
 
 def _without_doubles(base: list[tuple[int, int, int]], found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -239,6 +239,25 @@ def test_secrets_in_layers():
     assert secret_scan.scan("%25%32%35 " * 3)[2] <= 4
 
 
+def test_secrets_at_every_place():
+    import base64
+    import gzip
+
+    plain = b"say password=hunter22 twice"
+    coded, packed = base64.b64encode(plain).decode(), base64.b64encode(gzip.compress(plain, mtime=0)).decode()
+    text = f"{coded} and {coded} and {packed} or {packed}"
+    places, at = [], 0
+    for x in (coded, coded, packed, packed):
+        at = text.index(x, at)
+        # in base64: bytes 4 to 21, which are the digits 5 to 28
+        places.append(f"assign:{at}:{at + len(x)}" if x == packed else f"assign:{at + 5}:{at + 28}")
+        at += 1
+    assert secret_scan.joined(secret_scan.scan(text)[1]) == ",".join(places)
+    # nested: the inner layer is met twice, by its own run and inside another
+    nested = base64.b64encode(f"see {coded} here".encode()).decode()
+    assert [k for _, k, _ in secret_scan.scan(f"{nested} {coded} {nested}")[1]] == [0, 0, 0]
+
+
 def test_base_findings_follow_the_patterns(spark, sf_dir):
     import re
 
