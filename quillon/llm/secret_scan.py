@@ -7,6 +7,10 @@ until no layer yields a new one. A layer that occurs again in the same document
 its findings are reported at every place that encodes it; encodings that decode to themselves or to each other end,
 as the spans of a text are finite.
 
+A run of base64 digits is read from its start and after each / - and _ as far as the bytes are UTF-8, and in all
+four alignments, where other bytes may stand around what is found; runs that go on over line breaks are also read
+as one. A layer counts if it is UTF-8 as a whole, inflated to an end, or holds a finding.
+
 A finding in a layer is reported at the code points of the original text that encode it: escapes are mapped
 character by character, base64 by groups of four digits, and compressed data as the whole run of digits. The spans
 of the text itself always stay; a finding in a layer that maps to a span already there adds nothing.
@@ -21,7 +25,6 @@ looked at.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -41,6 +44,12 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 #: Sixteen digits and more. Escapes and other text may stand right before and after.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The next line of a wrapped run: nothing else stands in it, but for what closes a run.
+WRAPPED = re.compile(r"""\r?\n[\x20\t]*([A-Za-z0-9+/_-]+={0,2})(?=[\x20\t]*(?:[\r\n"'`<>()\[\]{},;]|$))""")
+SHORTEST = 16
+#: Bytes that may be, or lead to, a finding.
+TELLING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}")
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 
 Span = tuple[int, int]
 
@@ -148,60 +157,139 @@ def unescape_unicode(old: str) -> Layer | None:
     return _replaced(old, pieces) if pieces else None
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
+def _packed(raw: bytes) -> bool:
+    """Whether bytes begin like gzip or zlib data."""
+    return raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)
+
+
+def _inflated(raw: bytes, used: list[int]) -> Iterator[bytes]:
+    """What the bytes inflate to; used becomes how many bytes were taken, and 1 if the data came to its end or filled
+    INFLATE_LIMIT: what only begins like compressed data does not."""
+    if _packed(raw):
+        one = zlib.decompressobj(47)
         try:
-            return zlib.decompressobj(47).decompress(raw, INFLATE_LIMIT)
+            out = one.decompress(raw, INFLATE_LIMIT)
         except zlib.error:
-            return None
-    return None
+            return
+        used[:] = len(raw) - len(one.unused_data), one.eof or len(out) >= INFLATE_LIMIT
+        yield out
 
 
-def _readable(text: str) -> bool:
-    return all(c.isprintable() or c in "\t\r\n" for c in text)
+class _Run:
+    """Base64 digits with the place of each in the text; lines: (number of the first digit, its place) of each line."""
 
+    def __init__(self, digits: str, lines: list[tuple[int, int]], end: int):
+        self.digits, self.lines, self.end = digits, lines, end
+        self.plain = digits.replace("-", "+").replace("_", "/")
+        self.firsts = [x for x, _ in lines]
 
-def unwrap_base64(old: str) -> Iterator[Layer]:
-    """A layer for each run of base64 digits that holds readable text or compressed readable text."""
-    for m in BASE64.finditer(old):
-        digits = m.group().rstrip("=")
-        if len(digits) % 4 == 1:
-            digits = digits[:-1]
-        plain = digits.replace("-", "+").replace("_", "/")
-        try:
-            # most words are no base64: their first bytes tell
-            head = base64.b64decode(plain[:16])
-            if not (head[0] in (0x1F, 0x78, 0x58, 0x48, 0x38, 0x28, 0x18, 0x08) or _maybe_text(head)):
-                continue
-            raw = base64.b64decode(plain + "=" * (-len(plain) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        if (inner := _inflated(raw)) is not None:
-            yield Layer(inner.decode("utf-8", "replace"), lambda i, side, span=m.span(): span[side])
-            continue
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            continue
-        if _readable(text):
+    def bytes(self, begin: int, end: int) -> bytes:
+        """What the digits begin to end encode; one digit too many is left out."""
+        if (end - begin) % 4 == 1:
+            end -= 1
+        return base64.b64decode(self.plain[begin:end] + "=" * (-(end - begin) % 4))
 
-            def edge(i: int, side: int, text: str = text, begin: int = m.start(), n: int = len(digits)) -> int:
-                # byte b lies in the digits from 4b/3 to 4(b+1)/3
-                at = i + side if text.isascii() else len(text[: i + side].encode())
-                return begin + (min(n, -(-at * 4 // 3)) if side else at * 4 // 3)
+    def at(self, digit: int) -> int:
+        first, place = self.lines[bisect_right(self.firsts, digit) - 1]
+        return place + digit - first
 
-            yield Layer(text, edge)
+    def text(self, raw: bytes, begin: int, end: int, whole: bool) -> Layer:
+        """The layer of bytes from the digits begin to end; a byte that is no UTF-8 stands as a surrogate."""
+        text = raw.decode("utf-8", "surrogateescape")
 
+        def edge(i: int, side: int) -> int:
+            # byte b lies in the digits from 4b/3 to 4(b+1)/3
+            at = i + side if text.isascii() else len(text[: i + side].encode("utf-8", "surrogateescape"))
+            return self.at(min(end, begin - (-at * 4 // 3)) - 1) + 1 if side else self.at(begin + at * 4 // 3)
 
-def _maybe_text(head: bytes) -> bool:
-    """Whether bytes may begin a readable UTF-8 text: a character may be cut at their end."""
-    for cut in (0, 1, 2, 3):
-        try:
-            return _readable(head[: len(head) - cut].decode())
-        except UnicodeDecodeError as e:
-            if e.start < len(head) - 4:
-                return False
-    return False
+        return Layer(text, edge, whole)
+
+    def inflated(self, raw: bytes, begin: int, used: list[int]) -> Iterator[Layer]:
+        """Layers of compressed bytes from the digit begin on; they lie at all digits that were taken."""
+
+        def edge(i: int, side: int) -> int:
+            if not side:
+                return self.at(begin)
+            return self.end if used[0] >= len(raw) else self.at(begin - (-used[0] * 4 // 3) - 1) + 1
+
+        for inner in _inflated(raw, used):
+            yield Layer(inner.decode("utf-8", "replace"), edge, bool(used[1]))
+
+    def layers(self) -> Iterator[Layer]:
+        n, pieces, done = len(self.digits), [], 0
+        cuts = [i for i, c in enumerate(self.digits) if c in "/-_"]
+        for start in [0, *(i + 1 for i in cuts)]:
+            if start < done or n - start < SHORTEST:
+                continue
+            # most starts are none: their first bytes tell
+            head = self.bytes(start, min(n, start + 64))
+            if _packed(head):
+                raw, used = self.bytes(start, n), [0, 0]
+                yield from self.inflated(raw, start, used)
+                if used[1]:
+                    done = n if used[0] == len(raw) else start - (-used[0] * 4 // 3)
+                    pieces.append((start, done))
+                    continue
+            if _valid(head) * 4 // 3 < SHORTEST - 4:
+                continue
+            raw = self.bytes(start, n)
+            good = _valid(raw)
+            end = n if good == len(raw) else next((i for i in reversed(cuts[: bisect_right(cuts, start + good * 4 // 3)]) if _valid(x := self.bytes(start, i)) == len(x)), 0)
+            if end - start >= SHORTEST:
+                yield self.text(self.bytes(start, end), start, end, True)
+                pieces.append((start, end))
+                done = end
+        for r in range(4):
+            # what has been read in this alignment is not read again
+            at = r
+            for begin, end in [*(x for x in pieces if x[0] % 4 == r), (n, n)]:
+                if begin - at >= SHORTEST:
+                    raw = self.bytes(at, begin)
+                    if TELLING.search(raw):
+                        yield self.text(raw, at, begin, _valid(raw) == len(raw))
+                    for m in PACKED.finditer(raw):
+                        first = at + m.start() * 4 // 3
+                        yield from self.inflated(raw[m.start() :], first, [0, 0]) if m.start() % 3 == 0 else self._inside(raw[m.start() :], at, m.start())
+                at = max(at, end + (r - end) % 4)
+
+    def _inside(self, raw: bytes, begin: int, skipped: int) -> Iterator[Layer]:
+        """Layers of compressed bytes that begin between two groups of digits."""
+        used = [0, 0]
+
+        def edge(i: int, side: int) -> int:
+            at = skipped + (used[0] if side else 0)
+            return self.at(min(len(self.digits), begin - (-at * 4 // 3)) - 1) + 1 if side else self.at(begin + at * 4 // 3)
+
+        for inner in _inflated(raw, used):
+            yield Layer(inner.decode("utf-8", "replace"), edge, bool(used[1]))
+
+
+def _valid(raw: bytes) -> int:
+    """How many of the first bytes are UTF-8."""
+    try:
+        raw.decode()
+    except UnicodeDecodeError as e:
+        return e.start
+    return len(raw)
+
+
+def unwrap_base64(old: str) -> Iterator[Layer]:
+    """Layers of the runs of base64 digits, each line for itself and wrapped lines as one."""
+    done = 0
+    for m in BASE64.finditer(old):
+        yield from _Run(m.group().rstrip("="), [(0, m.start())], m.end()).layers()
+        if m.start() < done or m.group().endswith("="):
+            continue
+        digits, lines, size, end = [m.group()], [(0, m.start())], len(m.group()), m.end()
+        while w := WRAPPED.match(old, end):
+            digits.append(w[1].rstrip("="))
+            lines.append((size, w.start(1)))
+            size, end = size + len(digits[-1]), w.end(1)
+            if w[1].endswith("="):
+                break
+        if len(lines) > 1:
+            done = end
+            yield from _Run("".join(digits), lines, end).layers()
 
 
 def _name(text: str) -> bytes:

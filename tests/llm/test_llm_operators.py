@@ -258,6 +258,33 @@ def test_secrets_at_every_place():
     assert [k for _, k, _ in secret_scan.scan(f"{nested} {coded} {nested}")[1]] == [0, 0, 0]
 
 
+def test_secrets_in_base64_beside_other_things():
+    import base64
+    import gzip
+    import textwrap
+
+    code = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    for odd in ("\u00a0", "\u200d", "\u3000", "\x07"):
+        x = code(f"caf\u00e9{odd} password=hunter22 ok")
+        assert len(secret_scan.scan(f"a {x} b")[1]) == 1, odd
+    # at any alignment, and in the path of a URL
+    for before in ("https://example.com/p/", "https://example.com/pq/", "Q", "QQ", "QQQ", "x-y_"):
+        for x in (code("the password=hunter22 is"), code(gzip.compress(b"the password=hunter22 is"))):
+            text = f"{before}{x} end"
+            spans = secret_scan.scan(text)[1]
+            assert len(spans) == 1, text
+            s, _, e = spans[0]
+            assert len(before) <= s + 1 and e <= len(before) + len(x)
+    # wrapped over lines
+    for width in (20, 64, 76):
+        for x in (b"one two three four five password=" + b"hunter22" * 6 + b" end", gzip.compress(bytes(range(256)) + b" password=hunter22 end")):
+            lines = textwrap.wrap(code(x), width)
+            for br in ("\n", "\r\n", "\n  "):
+                text = f"begin:\n{br.join(lines)}\nend"
+                widest = max(e - s for s, _, e in secret_scan.scan(text)[1])
+                assert widest >= 57 * 4 // 3, (width, br)
+
+
 def test_base_findings_follow_the_patterns(spark, sf_dir):
     import re
 
