@@ -15,8 +15,9 @@ A finding in a layer is reported at the code points of the original text that en
 character by character, base64 by groups of four digits, and compressed data as the whole run of digits. The spans
 of the text itself always stay; a finding in a layer that maps to a span already there adds nothing.
 
-Each row depends on its own text only: there is no shuffle. Compressed data is inflated at most to INFLATE_LIMIT
-bytes a layer, which bounds a task's memory against archives made to explode; nothing else is cut.
+Each row depends on its own text only: there is no shuffle. Compressed data is inflated in windows of INFLATE_LIMIT
+bytes, which bounds a task's memory against archives made to explode, through all members to the end; a window
+begins with the last OVERLAP bytes of the one before.
 
 Defined results: a null or empty text has no findings; repeated rows get equal results; other columns are not
 looked at.
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = ("assign", "access", "hex")
-INFLATE_LIMIT = 64 << 20
+INFLATE_LIMIT, OVERLAP = 64 << 20, 1 << 20
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -163,15 +164,30 @@ def _packed(raw: bytes) -> bool:
 
 
 def _inflated(raw: bytes, used: list[int]) -> Iterator[bytes]:
-    """What the bytes inflate to; used becomes how many bytes were taken, and 1 if the data came to its end or filled
-    INFLATE_LIMIT: what only begins like compressed data does not."""
-    if _packed(raw):
+    """Windows of what the bytes inflate to, member after member; used becomes how many bytes were taken, and 1 once a
+    member has come to its end or filled a window: what only begins like compressed data does not."""
+    out, fresh, data = b"", False, raw
+    while _packed(data):
         one = zlib.decompressobj(47)
-        try:
-            out = one.decompress(raw, INFLATE_LIMIT)
-        except zlib.error:
-            return
-        used[:] = len(raw) - len(one.unused_data), one.eof or len(out) >= INFLATE_LIMIT
+        while True:
+            try:
+                new = one.decompress(data, max(1, INFLATE_LIMIT - len(out)))
+            except zlib.error:
+                new = None
+                break
+            data = one.unconsumed_tail
+            out, fresh = out + new, fresh or bool(new)
+            if len(out) >= INFLATE_LIMIT:
+                used[:] = len(raw) - len(data), 1
+                yield out
+                out, fresh = out[len(out) - min(OVERLAP, INFLATE_LIMIT // 2) :], False
+            if one.eof or not new:
+                break
+        if new is None:
+            break
+        data = one.unused_data if one.eof else b""
+        used[:] = len(raw) - len(data), used[1] | one.eof
+    if fresh:
         yield out
 
 

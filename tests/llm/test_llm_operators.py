@@ -285,6 +285,19 @@ def test_secrets_in_base64_beside_other_things():
                 assert widest >= 57 * 4 // 3, (width, br)
 
 
+def test_secrets_past_the_inflated_window(monkeypatch):
+    import base64
+    import gzip
+    import zlib
+
+    monkeypatch.setattr(secret_scan, "INFLATE_LIMIT", 4096)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 64)
+    secret = b" password=hunter22 "
+    for packed in (gzip.compress(b"word " * 10) + gzip.compress(secret), zlib.compress(b"word " * 5_000 + secret), *(gzip.compress(b"." * (4096 - k) + secret + b"." * 9_000) for k in range(20))):
+        coded = base64.b64encode(packed).decode()
+        assert secret_scan.joined(secret_scan.scan(f"a {coded} b")[1]) == f"assign:2:{2 + len(coded)}"
+
+
 def test_base_findings_follow_the_patterns(spark, sf_dir):
     import re
 
