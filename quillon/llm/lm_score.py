@@ -2,10 +2,11 @@
 
 1. Counts. The words of all documents are counted. The FREQUENT most frequent words are classes of their own; each
    other word belongs to one of SHARED_CLASSES classes by checksum. P(word | class) is its share of the class, for
-   the VOCABULARY most frequent words; the rest of a class is shared equally by its other words.
+   every word that has been counted: executors hold those of the VOCABULARY most frequent words, and the counts of
+   the others are joined to the words of the documents by Spark.
 2. Training. The network predicts the class of a word from the two words on each side: a vector for each class and
-   place, summed, through tanh, to logits. Every MASK_EVERY-th word of all documents is masked and predicted, in
-   ROUNDS rounds. In a round each partition runs minibatch steps from the shared weights, and Spark averages the
+   place, summed, through tanh, to logits. Every word of all documents is masked and predicted once in ROUNDS
+   rounds, each of which takes one word of ROUNDS in turn. In a round each partition runs minibatch steps from the shared weights, and Spark averages the
    weights of the partitions, weighted by their words. So training grows with the corpus, and only weights move.
 3. Scores. log P(word | both sides) = log P(class | both sides) + log P(word | class), summed over every word of
    the document, each in turn hidden from its own prediction.
@@ -13,7 +14,7 @@
 The driver gets bounded things only: the vocabulary and the weights. Averages are combined by Spark.
 
 Defined results: a null or empty text has n_tokens 0, log_prob 0 and no mean; a word that has never been counted
-is scored like the rarest of its class; repeated rows get equal scores; with an empty table the weights stay as
+is scored as if counted zero times; repeated rows get equal scores; with an empty table the weights stay as
 they began; other columns are not looked at.
 """
 
@@ -36,9 +37,11 @@ FREQUENT, SHARED_CLASSES, VOCABULARY = 64, 64, 8_192
 CLASSES = FREQUENT + SHARED_CLASSES
 SIDES = (-2, -1, 1, 2)
 WIDTH = 24
-ROUNDS, MASK_EVERY, BATCH, RATE = 2, 16, 512, 0.1
+ROUNDS, BATCH, RATE = 2, 512, 0.1
 #: Words that a task holds back before it hands on their counts, and words of a text that are scored at once.
 FLUSH, CHUNK = 200_000, 16_384
+#: Gains of counts are summed as whole numbers of this part, so that equal texts get equal sums.
+PART = 1e-9
 SHAPES = ((len(SIDES), CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,))
 
 
@@ -52,10 +55,11 @@ def _shared_class(word: bytes) -> int:
 
 class Lexicon:
     """Numbers words: the vocabulary from 0 on, and then each class's other words as one. classes and within are the
-    class and log P(word | class) by number."""
+    class and log P(word | class) by number, for other words that of a word counted zero times: one counted n times
+    has log(n + 1) more. counts (word, n) stay with the driver's plan."""
 
-    def __init__(self, numbers: dict[bytes, int], classes: np.ndarray, within: np.ndarray):
-        self.numbers, self.classes, self.within = numbers, classes, within
+    def __init__(self, numbers: dict[bytes, int], classes: np.ndarray, within: np.ndarray, counts: DataFrame | None = None):
+        self.numbers, self.classes, self.within, self.counts = numbers, classes, within, counts
         self._memo = _Memo(self._look_up)
 
     def __reduce__(self):
@@ -101,15 +105,10 @@ def lexicon(counts: DataFrame) -> Lexicon:
         c = _shared_class(w)
         total[c] -= next(n for x, n in top if x == w)
         kinds[c] -= 1
-    rest, rest_kinds = total.copy(), kinds.copy()
-    for w, n in top[FREQUENT:]:
-        rest[_shared_class(w)] -= n
-        rest_kinds[_shared_class(w)] -= 1
     mass = total + kinds + 1
     known = [_shared_class(w) for w, _ in top[FREQUENT:]]
     within = [0.0] * len(own) + [math.log((n + 1) / mass[c]) for (_, n), c in zip(top[FREQUENT:], known, strict=True)]
-    other = np.log((rest + rest_kinds + 1) / mass / np.maximum(1.0, rest_kinds + 1))
-    return Lexicon({w: i for i, (w, _) in enumerate(top)}, np.array([*range(len(own)), *known, *range(CLASSES)], np.int64), np.concatenate([within, other]))
+    return Lexicon({w: i for i, (w, _) in enumerate(top)}, np.array([*range(len(own)), *known, *range(CLASSES)], np.int64), np.concatenate([within, -np.log(mass)]), counts)
 
 
 def start_weights(seed: int = 1) -> list[np.ndarray]:
@@ -157,6 +156,11 @@ def train_step(weights: list[np.ndarray], squares: list[np.ndarray], context: np
         w -= RATE * g / np.sqrt(s + 1e-8)
 
 
+def places(n: int, turn: int) -> np.ndarray:
+    """Which of n words a round predicts; the rounds together take each once."""
+    return np.arange(turn, n, ROUNDS)
+
+
 def train_round(docs: DataFrame, lex: Lexicon, weights: list[np.ndarray], turn: int, text: str = "text") -> list[np.ndarray]:
     """The average of the weights that the partitions reach from the given ones."""
     shared = docs.sparkSession.sparkContext.broadcast((lex, _flat(weights)))
@@ -165,16 +169,15 @@ def train_round(docs: DataFrame, lex: Lexicon, weights: list[np.ndarray], turn:
         lex, flat = shared.value
         own = _shaped(flat)
         squares = [np.zeros_like(w) for w in own]
-        contexts, targets, waiting, seen, offset = [], [], 0, 0, turn * 7
+        contexts, targets, waiting, seen = [], [], 0, 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 for x in b.column(0).slice(at, 256).to_pylist():
                     c = lex.classes[lex.of(words(x))]
-                    places = np.arange(offset % MASK_EVERY, len(c), MASK_EVERY)
-                    offset += 5
-                    contexts.append(_contexts(c, places))
-                    targets.append(c[places])
-                    waiting += len(places)
+                    at_words = places(len(c), turn)
+                    contexts.append(_contexts(c, at_words))
+                    targets.append(c[at_words])
+                    waiting += len(at_words)
                     if waiting >= BATCH:
                         k, t = np.concatenate(contexts), np.concatenate(targets)
                         for i in range(0, len(t), BATCH):
@@ -207,21 +210,36 @@ def score(docs: DataFrame, lex: Lexicon, weights: list[np.ndarray], id_column: s
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 b = batch.slice(at, 64)
-                n, sums = [], []
-                for x in b.column(1).to_pylist():
-                    numbers = lex.of(words(x))
+                n, sums, ends, rare, times = [], [], [0], [], []
+                for x in b.column(2).to_pylist():
+                    tokens = words(x)
+                    numbers = lex.of(tokens)
                     c, total = lex.classes[numbers], float(lex.within[numbers].sum())
                     for i in range(0, len(c), CHUNK):
-                        places = np.arange(i, min(i + CHUNK, len(c)))
-                        logits = _hidden(own, _contexts(c, places)) @ own[2] + own[3]
+                        at_words = np.arange(i, min(i + CHUNK, len(c)))
+                        logits = _hidden(own, _contexts(c, at_words)) @ own[2] + own[3]
                         top = logits.max(axis=1)
-                        total += float((logits[np.arange(len(places)), c[places]] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))).sum(dtype=np.float64))
+                        total += float((logits[np.arange(len(at_words)), c[at_words]] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))).sum(dtype=np.float64))
                     n.append(len(c))
                     sums.append(total)
-                mean = [s / k if k else None for s, k in zip(sums, n, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())], names=[id_column, "n_tokens", "log_prob", "mean_log_prob"])
-
-    return docs.select(id_column, text).mapInArrow(run, f"`{id_column}` {kind}, n_tokens long, log_prob double, mean_log_prob double")
+                    others = Counter([tokens[k] for k in np.flatnonzero(numbers >= len(lex.numbers))])
+                    rare.extend(others)
+                    times.extend(others.values())
+                    ends.append(len(rare))
+                pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "k"])
+                columns = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n", "sum", "rare"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text).alias("text"))
+    part = numbered.mapInArrow(run, f"row long, id {kind}, n long, sum double, rare array<struct<word:binary,k:long>>")
+    if lex.counts is not None:
+        # the rows get other numbers when they are read again
+        part = materialize(part, "lm-scores")
+        gain = lex.counts.select(F.col("word").alias("w"), F.round(F.log(F.col("n") + 1) / PART).cast("long").alias("gain"))
+        rare = part.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.k")
+        gains = rare.join(gain, F.col("word") == F.col("w")).groupBy(F.col("row").alias("r")).agg((F.sum(F.col("k") * F.col("gain")) * PART).alias("gains"))
+        part = part.join(gains, F.col("row") == F.col("r"), "left").withColumn("sum", F.col("sum") + F.coalesce("gains", F.lit(0.0)))
+    return part.select(F.col("id").alias(id_column), F.col("n").alias("n_tokens"), F.col("sum").alias("log_prob"), F.when(F.col("n") > 0, F.col("sum") / F.col("n")).alias("mean_log_prob"))
 
 
 def train(docs: DataFrame, text: str = "text") -> tuple[Lexicon, list[np.ndarray]]:

@@ -361,6 +361,31 @@ def test_language_model_prefers_order(spark):
     assert sums.max() <= 1 + 1e-9
 
 
+def test_every_word_has_its_own_probability(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "VOCABULARY", 64)
+    frequent = " ".join(f"f{i} f{i} f{i} f{i} f{i} f{i} f{i} f{i} f{i}" for i in range(64))
+    # two words of one class that are counted 7 times and once
+    a = "rare0"
+    b = next(w for w in (f"rare{i}" for i in range(1, 10_000)) if lm_score._shared_class(w.encode()) == lm_score._shared_class(a.encode()))
+    docs = docs_df(spark, [(1, frequent, "s"), (2, " ".join([a] * 7), "s"), (3, b, "s"), (4, b, "s")]).filter("doc_id < 4")
+    lex, weights = lm_score.train(docs)
+    got = {x["doc_id"]: x["log_prob"] for x in lm_score.score(docs_df(spark, [(1, a, "s"), (2, b, "s"), (3, "never-seen", "s")]), lex, weights).collect()}
+    assert abs(got[1] - got[2] - np.log(8 / 2)) < 1e-6 and len(got) == 3
+
+
+def test_training_takes_every_word_once(spark):
+    lengths = (1, 2, 3, 15, 16, 33)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(n)), "s") for i, n in enumerate(lengths)]
+    taken = sum(len(lm_score.places(n, turn)) for n in lengths for turn in range(lm_score.ROUNDS))
+    assert taken == sum(lengths) == sum(len(t.split()) for _, t, _ in rows)
+    # a document of one word moves the weights
+    one = docs_df(spark, rows[:1])
+    lex = lm_score.lexicon(lm_score.count_words(one))
+    start = lm_score.start_weights()
+    ends = [lm_score.train_round(one, lex, start, turn) for turn in range(lm_score.ROUNDS)]
+    assert any(not np.array_equal(a, b) for e in ends for a, b in zip(start, e, strict=True))
+
+
 def test_hypergeometric_draws(spark):
     rows = [(40, 17, 20), (40, 0, 20), (40, 40, 20), (3, 1, 1), (1000, 300, 500), (5, 2, 5)]
     n = 3000
