@@ -352,37 +352,80 @@ def test_language_model_prefers_order(spark):
         at = r.randrange(20)
         lines.append((i, " ".join(cycle[(at + k) % 20] for k in range(60)), "s"))
     shuffled = [(1000 + i, " ".join(r.sample(t.split(), 60)), "s") for i, t, _ in lines[:60]]
-    lex, weights = lm_score.train(docs_df(spark, lines))
-    mean = lambda rows: np.mean([x["mean_log_prob"] for x in lm_score.score(docs_df(spark, rows), lex, weights).collect()])
+    lex, weights, _ = lm_score.train(docs_df(spark, lines))
+    mean = lambda rows: np.mean([x["mean_log_prob"] for x in lm_score.score(lm_score.read_words(docs_df(spark, rows), lex), lex, weights).collect()])
     assert mean(lines[:60]) > mean(shuffled) + 1
-    # the words of a shared class, the others as one, have a probability of 1 at most
-    known = lex.within[: len(lex.numbers)]
-    sums = np.bincount(lex.classes[: len(known)], np.exp(known), lm_score.CLASSES)
-    assert sums.max() <= 1 + 1e-9
-
-
-def test_every_word_has_its_own_probability(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "VOCABULARY", 64)
-    frequent = " ".join(f"f{i} f{i} f{i} f{i} f{i} f{i} f{i} f{i} f{i}" for i in range(64))
-    # two words of one class that are counted 7 times and once
-    a = "rare0"
-    b = next(w for w in (f"rare{i}" for i in range(1, 10_000)) if lm_score._shared_class(w.encode()) == lm_score._shared_class(a.encode()))
-    docs = docs_df(spark, [(1, frequent, "s"), (2, " ".join([a] * 7), "s"), (3, b, "s"), (4, b, "s")]).filter("doc_id < 4")
-    lex, weights = lm_score.train(docs)
-    got = {x["doc_id"]: x["log_prob"] for x in lm_score.score(docs_df(spark, [(1, a, "s"), (2, b, "s"), (3, "never-seen", "s")]), lex, weights).collect()}
-    assert abs(got[1] - got[2] - np.log(8 / 2)) < 1e-6 and len(got) == 3
-
-
-def test_training_takes_every_word_once(spark):
-    lengths = (1, 2, 3, 15, 16, 33)
-    rows = [(i, " ".join(f"d{i}w{k}" for k in range(n)), "s") for i, n in enumerate(lengths)]
-    taken = sum(len(lm_score.places(n, turn)) for n in lengths for turn in range(lm_score.ROUNDS))
-    assert taken == sum(lengths) == sum(len(t.split()) for _, t, _ in rows)
+
+
+def plain_log_prob(tokens, lex, counts, weights):
+    """log P of a text, word by word, in double precision."""
+    m = lm_score
+    number = lambda w: lex.index[w] if lex.index.get(w, m.VOCABULARY) < m.VOCABULARY else m.VOCABULARY + m.bucket(w)
+    at = [m.OUTSIDE] * 2 + [number(w) for w in tokens] + [m.OUTSIDE] * 2
+    e, sides, b, a, ab, t, tb = [w.astype(np.float64) for w in weights]
+    total = 0.0
+    log_share = lambda x, i: x[i] - np.log(np.exp(x).sum())
+    for i, w in enumerate(tokens):
+        h = np.tanh(sum(e[at[i + 2 + s]] @ sides[j] for j, s in enumerate(m.SIDES)) + b)
+        n = at[i + 2]
+        total += log_share(h @ a + ab, m.CLASS_OF[n])
+        if m.HEAD <= n < m.VOCABULARY:
+            c, slot = divmod(n - m.HEAD, m.SLOTS)
+            total += log_share(h @ t[c] + tb[c], slot)
+        elif n >= m.VOCABULARY:
+            others = [x for x in counts if lex.index.get(x, m.VOCABULARY) >= m.VOCABULARY and m.bucket(x) == m.bucket(w)]
+            total += np.log((counts.get(w, 0) + 1) / (sum(counts[x] for x in others) + len(others) + 1))
+    return total
+
+
+def test_scores_are_those_of_the_formula(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "KNOWN", lm_score.VOCABULARY + 40)
+    r = random.Random(11)
+    rows = [(i, " ".join(f"v{r.randrange(r.choice((50, 40_000)))}" for _ in range(r.randint(1, 900))), "s") for i in range(60)]
+    rows += [(100, None, "s"), (101, "", "s"), (102, rows[0][1], "s")]
+    lex, weights, _ = lm_score.train(docs_df(spark, rows))
+    counts = Counter(w for _, t, _ in rows for w in lm_score.words(t))
+    assert len(counts) > lm_score.KNOWN
+    tried = [*rows, (200, "never-seen v1 v2 also-never", "s")]
+    got = {x["doc_id"]: x for x in lm_score.score(lm_score.read_words(docs_df(spark, tried), lex), lex, weights).collect()}
+    for i, t, _ in tried:
+        tokens = lm_score.words(t)
+        assert got[i]["n_tokens"] == len(tokens)
+        assert abs(got[i]["log_prob"] - plain_log_prob(tokens, lex, counts, weights)) <= 1e-4 * max(1, len(tokens))
+        assert (got[i]["mean_log_prob"] is None) == (not tokens)
+    # the words of a cluster and of a bucket have probabilities that sum to 1 at most
+    for k in range(lm_score.BUCKETS):
+        others = [x for x in counts if lex.index.get(x, lm_score.VOCABULARY) >= lm_score.VOCABULARY and lm_score.bucket(x) == k]
+        assert sum((counts[x] + 1) * np.exp(lex.base[k]) for x in others) <= 1 + 1e-9
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "GROUP_WORDS", 3_000)
+    r = random.Random(12)
+    rows = [(i, prose(r, r.randint(0, 300)), "s") for i in range(150)]
+    score = lambda df: {x["doc_id"]: x["log_prob"] for x in lm_score.lm_scores(df).collect()}
+    one, other = score(docs_df(spark, rows).coalesce(1)), score(docs_df(spark, rows[::-1]).repartition(7))
+    assert all(abs(one[i] - other[i]) <= 1e-6 * max(1, abs(one[i])) for i, _, _ in rows)
+
+
+def test_training_takes_every_word_once(spark, monkeypatch):
+    seen = Counter()
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(n)), "s") for i, n in enumerate((1, 2, 3, 15, 16, 33, 900))]
+    docs = docs_df(spark, rows)
+    lex = lm_score.lexicon(lm_score.count_words(docs))
+    read = lm_score.read_words(docs, lex)
+    for turn in range(lm_score.ROUNDS):
+        mine = read.filter(F.pmod(F.shiftright("deal", 32), F.lit(lm_score.ROUNDS)) == turn).collect()
+        seen.update(x["id"] for x in mine)
+    assert seen == Counter(i for i, _, _ in rows)
+    # the steps over a line meet each of its places once
+    numbers = [np.array(x["numbers"], np.int16) for x in read.collect()]
+    line = lm_score.in_line(numbers)
+    met = np.concatenate([line[i - 2 : min(i + 50, len(line) - 2) + 2][2:-2] for i in range(2, len(line) - 2, 50)])
+    assert (met[met != lm_score.OUTSIDE] == np.concatenate(numbers)).all()
     # a document of one word moves the weights
-    one = docs_df(spark, rows[:1])
-    lex = lm_score.lexicon(lm_score.count_words(one))
-    start = lm_score.start_weights()
-    ends = [lm_score.train_round(one, lex, start, turn) for turn in range(lm_score.ROUNDS)]
+    start = lm_score.start_weights(lex.frequency)
+    ends = [lm_score.train_round(read.filter("id = 0"), start, turn, 1) for turn in range(lm_score.ROUNDS)]
     assert any(not np.array_equal(a, b) for e in ends for a, b in zip(start, e, strict=True))
 
 
