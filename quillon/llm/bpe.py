@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
-#: Entries of a generation of a memo.
-MEMO = 150_000
+#: Entries of a generation of a memo, of pre-tokens and of words between spaces.
+MEMO, WORD_MEMO = 150_000, 400_000
 #: Pre-tokens, and characters of a text, that are taken at once.
 CHUNK_TOKENS, CHUNK_CHARS = 100_000, 1_000_000
 
@@ -94,15 +94,15 @@ class PerfectHash:
 
 
 class _Memo(dict):
-    """Answers of a function of one argument, in two generations of MEMO entries each."""
+    """Answers of a function of one argument, in two generations of ``size`` entries each."""
 
-    def __init__(self, answer):
+    def __init__(self, answer, size: int = MEMO):
         super().__init__()
-        self.answer = answer
+        self.answer, self.size = answer, size
         self.old: dict = {}
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         value = self.old.get(key)
@@ -112,40 +112,62 @@ class _Memo(dict):
         return value
 
 
-def merge(piece: bytes, rank_of, longest: int) -> list[int]:
-    """Ids of a piece that isn't a vocabulary entry.
+def merge(ids: list[int], rows: list[dict[int, int]]) -> list[int]:
+    """Ids of a piece that isn't a vocabulary entry; ids: those of its bytes. rows[a][b] is the rank of the entry that
+    the parts a and b make together.
 
-    The parts of the piece are a linked list: ``after[i]`` is where the part that begins at i ends and the next
-    begins. The heap holds (rank, begin, end) of adjacent pairs; an entry is stale if its pair has changed since.
+    The parts are a linked list over the bytes: ``after[i]`` is where the part that follows the one at i begins. The
+    heap holds rank and place of adjacent pairs as one number. ``now[i]`` is the rank of the pair that begins at i; an
+    entry of the heap with another rank is stale.
     """
-    n = len(piece)
-    after = list(range(1, n + 2))
-    before = list(range(-1, n))
-    heap: list[tuple[int, int, int]] = []
-    push, pop = heapq.heappush, heapq.heappop
+    n = len(ids)
+    shift = n.bit_length()
+    mask = (1 << shift) - 1
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    now, heap = [-1] * n, []
     for i in range(n - 1):
-        if (r := rank_of(piece[i : i + 2])) >= 0:
-            heap.append((r, i, i + 2))
+        row, b = rows[ids[i]], ids[i + 1]
+        if b in row:
+            now[i] = q = row[b]
+            heap.append(q << shift | i)
     heapq.heapify(heap)
+    push, pop = heapq.heappush, heapq.heappop
     while heap:
-        _, i, end = pop(heap)
-        # a part that has been merged into the one before it has no end
-        if (j := after[i]) < 0 or j >= n or after[j] != end:
+        x = pop(heap)
+        i, r = x & mask, x >> shift
+        if now[i] != r:
             continue
-        after[j] = -1
-        after[i] = end
+        j = after[i]
+        after[i] = end = after[j]
+        ids[i] = r
+        # the part at j is part of the one at i now
+        ids[j] = now[j] = now[i] = -1
         if end < n:
             before[end] = i
-            far = after[end]
-            if far - i <= longest and (r := rank_of(piece[i:far])) >= 0:
-                push(heap, (r, i, far))
-        if (p := before[i]) >= 0 and end - p <= longest and (r := rank_of(piece[p:end])) >= 0:
-            push(heap, (r, p, end))
-    ids, i = [], 0
-    while i < n:
-        ids.append(rank_of(piece[i : after[i]]))
-        i = after[i]
-    return ids
+            row, b = rows[r], ids[end]
+            if b in row:
+                now[i] = q = row[b]
+                push(heap, q << shift | i)
+        p = before[i]
+        if p >= 0:
+            row = rows[ids[p]]
+            if r in row:
+                now[p] = q = row[r]
+                push(heap, q << shift | p)
+            else:
+                now[p] = -1
+    return [x for x in ids if x >= 0]
+
+
+def _pairs(ranks: dict[bytes, int]) -> np.ndarray:
+    """(a, b, rank): the two entries and the rank of each way to cut an entry into two."""
+    found = []
+    for token, r in ranks.items():
+        for k in range(1, len(token)):
+            a = ranks.get(token[:k])
+            if a is not None and (b := ranks.get(token[k:])) is not None:
+                found.append((a, b, r))
+    return np.array(found, np.int32).reshape(-1, 3)
 
 
 class Tokenizer:
@@ -154,7 +176,7 @@ class Tokenizer:
     def __init__(self, pattern: str, ranks: dict[bytes, int]):
         self.pattern = pattern
         self.hash = PerfectHash(list(ranks), list(ranks.values()))
-        self.longest = max(map(len, ranks), default=0)
+        self.pairs = _pairs(ranks)
         self.table = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, r in ranks.items():
             self.table[r] = token
@@ -164,10 +186,19 @@ class Tokenizer:
         self._find = regex.compile(self.pattern)
         self._double = re.compile(r"\s\s|^\s|\s$")
         self._span = re.compile(r" ?[^ ]+")
-        self._rank = _Memo(self.hash.get)
+        none: dict[int, int] = {}
+        self._rows = [none] * len(self.table)
+        for a, b, r in self.pairs.tolist():
+            if self._rows[a] is none:
+                self._rows[a] = {}
+            self._rows[a][b] = r
+        self._byte_id = [self.hash.get(bytes([b])) for b in range(256)]
         self._ids = _Memo(self._encode_piece)
         self._span_ids = _Memo(self._encode_span)
-        self._span_bytes = _Memo(lambda ids: b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())))
+        self._word_ids = _Memo(lambda word: self._encode_span(f" {word}"), WORD_MEMO)
+        self._lengths = np.array([len(x) for x in self.table], np.int64)
+        self._starts = np.cumsum(self._lengths) - self._lengths
+        self._bytes = np.frombuffer(b"".join(self.table), np.uint8)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
@@ -179,13 +210,16 @@ class Tokenizer:
     def _encode_piece(self, token: str) -> bytes:
         piece = token.encode()
         whole = self.hash.get(piece)
-        ids = [whole] if whole >= 0 else merge(piece, self._rank.__getitem__, self.longest)
+        if whole >= 0:
+            return whole.to_bytes(4, "little")
+        ids = [self._byte_id[b] for b in piece]
         if min(ids) < 0:
             raise ValueError(f"the vocabulary lacks a byte of {piece[:20]!r}")
-        return np.asarray(ids, "<u4").tobytes()
+        return np.asarray(merge(ids, self._rows), "<u4").tobytes()
 
     def _encode_span(self, span: str) -> bytes:
-        return b"".join(map(self._ids.__getitem__, self._find.findall(span)))
+        pieces = self._find.findall(span)
+        return self._ids[span] if len(pieces) == 1 else b"".join(map(self._ids.__getitem__, pieces))
 
     def encode_spans(self, text: str) -> Iterator[list[bytes]]:
         """Ids of a text as little-endian unsigned 32-bit integers: lists, bounded in size, of the ids of spans.
@@ -201,7 +235,7 @@ class Tokenizer:
             if len(text) > CHUNK_CHARS:
                 spans, answer = (m.group() for m in self._span.finditer(text)), self._span_ids
             else:
-                yield [self._span_ids[first], *map(self._span_ids.__getitem__, [" " + x for x in rest])] if text else []
+                yield [self._span_ids[first], *map(self._word_ids.__getitem__, rest)] if text else []
                 return
         while found := list(islice(spans, CHUNK_TOKENS)):
             yield list(map(answer.__getitem__, found))
@@ -210,15 +244,19 @@ class Tokenizer:
         """Ids of a text as little-endian unsigned 32-bit integers, in chunks of bounded size."""
         return map(b"".join, self.encode_spans(text))
 
-    def decode_spans(self, spans: list[bytes]) -> bytes:
-        """The bytes that the ids of spans stand for."""
-        return b"".join(map(self._span_bytes.__getitem__, spans))
+    def decode_ids(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for."""
+        lengths = self._lengths[ids]
+        ends = np.cumsum(lengths)
+        places = np.repeat(self._starts[ids] - ends + lengths, lengths)
+        places += np.arange(len(places))
+        return self._bytes[places].tobytes()
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(b"".join(self.encode_chunks(text)), "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids))
+        return self.decode_ids(np.fromiter(ids, np.int64))
 
 
 def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -280,11 +318,10 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer, id_column: str = "doc_id",
 
     def digests(t: Tokenizer, x: str) -> tuple[int, str, str, int, np.ndarray | None]:
         ids, back, n, size, all_ids = hashlib.sha256(), hashlib.sha256(), 0, 0, []
-        for spans in t.encode_spans(x):
-            chunk = b"".join(spans)
+        for chunk in t.encode_chunks(x):
             ids.update(chunk)
             n += len(chunk) // 4
-            decoded = t.decode_spans(spans)
+            decoded = t.decode_ids(np.frombuffer(chunk, "<u4"))
             back.update(decoded)
             size += len(decoded)
             if with_ids:

@@ -107,13 +107,13 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
                         counts.clear()
         yield flush()
 
-    return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(run, "word binary, n long").groupBy(F.col("word").cast("string").alias("word")).agg(F.sum("n").alias("n"))
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
     """The lexicon of counts; the driver gets KNOWN words and one row a bucket."""
     top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
-    known, n = [bytes(w) for w in top["word"]], top["n"].to_numpy(np.int64)
+    known, n = [w.encode("utf-8", "surrogatepass") for w in top["word"]], top["n"].to_numpy(np.int64)
     sums = counts.groupBy((F.crc32("word") % BUCKETS).cast("int").alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
     total, kinds = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in sums.collect():
@@ -258,8 +258,8 @@ def log_probs(weights: list[np.ndarray], line: np.ndarray) -> np.ndarray:
 
 
 def read_words(docs: DataFrame, lex: Lexicon, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, id, deal, n, gain, numbers, rare): the words of each text as numbers, the gains of known words, and the
-    words that aren't known. deal: a hash of id and text."""
+    """(row, id, deal, n, gain, numbers, rare): the words of each text as 16-bit numbers, the gains of known words, and
+    the words that aren't known, by spaces. deal: a hash of id and text."""
     kind = docs.schema[id_column].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(lex)
 
@@ -268,30 +268,26 @@ def read_words(docs: DataFrame, lex: Lexicon, id_column: str = "doc_id", text: s
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 b = batch.slice(at, 64)
-                numbers, gains, rare, ends = [np.empty(0, np.int16)], [], [], [0]
+                sizes, numbers, gains, rare = [], [], [], []
                 for x in b.column(3).to_pylist():
                     n, gain, others = lex.read(x)
-                    numbers.append(n)
+                    sizes.append(len(n))
+                    numbers.append(n.tobytes())
                     gains.append(gain + float(lex.base[n[n >= VOCABULARY] - VOCABULARY].sum()))
-                    rare += others
-                    ends.append(len(rare))
-                sizes = np.array([len(n) for n in numbers])
+                    rare.append(b" ".join(others) or None)
                 columns = [
-                    pa.array(sizes[1:]), pa.array(gains, pa.float64()),
-                    pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(numbers))),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.binary())),
+                    pa.array(sizes, pa.int64()), pa.array(gains, pa.float64()),
+                    pa.array(numbers, pa.binary()), pa.array(rare, pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], names=["row", "id", "deal", "n", "gain", "numbers", "rare"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.xxhash64(id_column, text).alias("deal"), F.col(text).alias("text"))
-    return numbered.mapInArrow(run, f"row long, id {kind}, deal long, n long, gain double, numbers array<short>, rare array<binary>")
+    return numbered.mapInArrow(run, f"row long, id {kind}, deal long, n long, gain double, numbers binary, rare binary")
 
 
 def _numbers(column: pa.Array) -> list[np.ndarray]:
-    """The arrays of a list column."""
-    ends = column.offsets.to_numpy()
-    flat = column.values.to_numpy(zero_copy_only=False)
-    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    """The numbers of each row."""
+    return [np.frombuffer(x, np.int16) for x in column.to_pylist()]
 
 
 def train_round(read: DataFrame, weights: list[np.ndarray], turn: int, groups: int, batch_places: int = BATCH) -> list[np.ndarray]:
@@ -374,7 +370,7 @@ def score(read: DataFrame, lex: Lexicon, weights: list[np.ndarray], id_column: s
     part = read.select("row", "id", "n", "gain", "numbers").mapInArrow(run, f"row long, id {kind}, n long, sum double")
     if lex.counts is not None:
         gain = lex.counts.select(F.col("word").alias("w"), F.round(F.log(F.col("n") + 1) / PART).cast("long").alias("gain"))
-        rare = read.select("row", F.explode("rare").alias("word"))
+        rare = read.filter("rare is not null").select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("word"))
         gains = rare.join(gain, F.col("word") == F.col("w")).groupBy(F.col("row").alias("r")).agg((F.sum("gain") * PART).alias("gains"))
         part = part.join(gains, F.col("row") == F.col("r"), "left").withColumn("sum", F.col("sum") + F.coalesce("gains", F.lit(0.0)))
     return part.select(F.col("id").alias(id_column), F.col("n").alias("n_tokens"), F.col("sum").alias("log_prob"), F.when(F.col("n") > 0, F.col("sum") / F.col("n")).alias("mean_log_prob"))

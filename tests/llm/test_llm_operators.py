@@ -419,7 +419,7 @@ def test_training_takes_every_word_once(spark, monkeypatch):
         seen.update(x["id"] for x in mine)
     assert seen == Counter(i for i, _, _ in rows)
     # the steps over a line meet each of its places once
-    numbers = [np.array(x["numbers"], np.int16) for x in read.collect()]
+    numbers = [np.frombuffer(x["numbers"], np.int16) for x in read.collect()]
     line = lm_score.in_line(numbers)
     met = np.concatenate([line[i - 2 : min(i + 50, len(line) - 2) + 2][2:-2] for i in range(2, len(line) - 2, 50)])
     assert (met[met != lm_score.OUTSIDE] == np.concatenate(numbers)).all()
