@@ -11,10 +11,12 @@
    list of the first pivot that they share only, so it counts once.
 4. Verification: cosine in double precision, at least THRESHOLD.
 
-A list is cut into blocks of BLOCK vectors by hash, and a task compares one pair of blocks with matrix products, so
-a hot list is spread over tasks and no task holds more than two blocks. From a pair of blocks come sums, not pairs:
-the links of each vector (weighted by the size of the classes it meets), and a spanning forest of the links found,
-of at most one edge a vector. All pairs of a large group of near copies are compared, but never written.
+A list is cut into blocks of BLOCK vectors by hash, and a task compares one pair of blocks with matrix products, TILE
+rows by TILE rows, so a hot list is spread over tasks and no task holds more than two blocks and a tile of products.
+From a pair of blocks come sums, not pairs: the links of each vector (weighted by the size of the classes it meets),
+and a spanning forest of the links found, of at most one edge a vector and tile. All pairs of a large group of near
+copies are compared, as their links are to be counted, but never written. A vector is sent once to each block of its
+lists: a list of n vectors sends n * n / BLOCK of them, single precision until a pair comes close to THRESHOLD.
 
 The number of pivots grows with the square root of the classes, as do the lists; work grows with the power 1.5,
 and with the square of the largest group of near copies, whose pairs are all compared.
@@ -42,7 +44,9 @@ from quillon.sources.session import materialize
 THRESHOLD, APART = 0.9, 0.7
 NEAREST, SHARED = 8, 2
 PIVOTS_PER_ROOT, MIN_PIVOTS, MAX_PIVOTS = 1.0, 64, 16_384
-BLOCK = 1_000
+BLOCK, TILE = 8_192, 1_024
+#: Single-precision cosines this far below THRESHOLD are computed again in double precision.
+NEAR = 1e-4
 #: Close pairs of two blocks from which products count what they share.
 MANY = 100_000
 
@@ -63,7 +67,7 @@ def pivots_of(units: DataFrame, count: int) -> dict[int, tuple[int, np.ndarray]]
     no two of a length have a cosine of APART or more."""
     n = min(MAX_PIVOTS, max(MIN_PIVOTS, round(PIVOTS_PER_ROOT * math.sqrt(count))))
     by_length: dict[int, list] = {}
-    for r in units.select("v").orderBy(F.xxhash64(F.lit("pivot"), "node"), "node").limit(n).collect():
+    for r in units.select("v", "key").orderBy(F.xxhash64(F.lit("pivot"), "key"), "key").limit(n).collect():
         x = np.array(r["v"]) / max(map(abs, r["v"]))
         by_length.setdefault(len(x), []).append(x / np.linalg.norm(x))
     out, at = {}, 0
@@ -114,41 +118,53 @@ def describe(units: DataFrame, pivots: dict[int, tuple[int, np.ndarray]]) -> Dat
     return units.select("node", "size", "v").mapInArrow(run, "node long, size long, v array<double>, near array<int>")
 
 
+def _unit(t: pd.DataFrame) -> np.ndarray:
+    x = np.stack(t["v"].to_numpy()).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _compare(a: pd.DataFrame, b: pd.DataFrame, pivot: int, same: bool) -> tuple[list, list]:
     """(links, edges) of two blocks of one list: links (node, sum of sizes), edges (node, node)."""
-    unit = lambda t: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))((lambda x: x / np.abs(x).max(axis=1, keepdims=True))(np.stack(t["v"].to_numpy()).astype(np.float64)))
-    xa, xb = unit(a), unit(b)
-    na, nb = np.stack(a["near"].to_numpy()), np.stack(b["near"].to_numpy())
-    if xa.shape[1] != xb.shape[1] or na.shape[1] != nb.shape[1]:
+    if len(a["v"].iloc[0]) != len(b["v"].iloc[0]) or len(a["near"].iloc[0]) != len(b["near"].iloc[0]):
         return [], []
-    close = xa @ xb.T >= THRESHOLD
+    xa, xb = _unit(a), _unit(b)
+    na, nb = np.stack(a["near"].to_numpy()), np.stack(b["near"].to_numpy())
+    sa, sb, ids_a, ids_b = a["size"].to_numpy(), b["size"].to_numpy(), a["node"].to_numpy(), b["node"].to_numpy()
+    la, lb, edges = np.zeros(len(a)), np.zeros(len(b)), []
+    for p in range(0, len(a), TILE):
+        for q in range(p if same else 0, len(b), TILE):
+            i, j = _close(xa[p : p + TILE], xb[q : q + TILE], na[p : p + TILE], nb[q : q + TILE], pivot, same and p == q)
+            if len(i):
+                i, j = i + p, j + q
+                la += np.bincount(i, sb[j], len(a))
+                lb += np.bincount(j, sa[i], len(b))
+                edges += _forest(ids_a[i], ids_b[j])
+    links = [(n, int(v)) for ids, sums in ((ids_a, la), (ids_b, lb)) for n, v in zip(ids, sums, strict=True) if v]
+    return links, edges
+
+
+def _close(xa: np.ndarray, xb: np.ndarray, na: np.ndarray, nb: np.ndarray, pivot: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of two tiles that are links, share enough pivots, and pivot as the first of them."""
+    close = xa.astype(np.float32) @ xb.astype(np.float32).T >= THRESHOLD - NEAR
     if same:
         close = np.triu(close, 1)
-    i, j = np.nonzero(close)
-    if not len(i):
-        return [], []
     least = min(SHARED, na.shape[1])
-    if len(i) > MANY:
+    if np.count_nonzero(close) > MANY:
         # a group of near copies makes most pairs close: what they share comes from products too
         names = np.unique(np.concatenate([na, nb]))
         ia, ib = _marks(na, names), _marks(nb, names)
         before = names < pivot
-        close &= (ia @ ib.T >= least) & (ia[:, before] @ ib[:, before].T == 0)
-        i, j = np.nonzero(close)
-    else:
-        p, q = na[i], nb[j]
-        equal = p[:, :, None] == q[:, None, :]
-        count = equal.sum(axis=(1, 2))
-        first = np.where(equal.any(axis=2), p, np.iinfo(np.int32).max).min(axis=1)
-        ok = (count >= least) & (first == pivot)
-        i, j = i[ok], j[ok]
-    if not len(i):
-        return [], []
-    la = np.bincount(i, b["size"].to_numpy()[j], len(a))
-    lb = np.bincount(j, a["size"].to_numpy()[i], len(b))
-    ids_a, ids_b = a["node"].to_numpy(), b["node"].to_numpy()
-    links = [(n, int(v)) for n, v in zip(ids_a, la, strict=True) if v] + [(n, int(v)) for n, v in zip(ids_b, lb, strict=True) if v]
-    return links, _forest(ids_a[i], ids_b[j])
+        close &= (ia @ ib.T >= least) & (ia[:, before] @ ib[:, before].T == 0) & (xa @ xb.T >= THRESHOLD)
+        return np.nonzero(close)
+    i, j = np.nonzero(close)
+    ok = np.einsum("ij,ij->i", xa[i], xb[j]) >= THRESHOLD
+    i, j = i[ok], j[ok]
+    p, q = na[i], nb[j]
+    equal = p[:, :, None] == q[:, None, :]
+    first = np.where(equal.any(axis=2), p, np.iinfo(np.int32).max).min(axis=1, initial=np.iinfo(np.int32).max)
+    ok = (equal.sum(axis=(1, 2)) >= least) & (first == pivot)
+    return i[ok], j[ok]
 
 
 def _marks(near: np.ndarray, names: np.ndarray) -> np.ndarray:
@@ -207,7 +223,8 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", embedding: st
     rows = materialize(classes(vectors, id_column, embedding), "pivot-rows")
     good = rows.filter("ok")
     units = good.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.first("v").alias("v"))
-    units = materialize(units.withColumn("node", F.xxhash64("key")), "pivot-classes")
+    # numbers, not hashes: no two classes share one
+    units = materialize(units.withColumn("node", F.monotonically_increasing_id()), "pivot-classes")
     described = describe(units, pivots_of(units, units.count()))
     found = materialize(near_links(described), "pivot-links")
     sums = found.filter("links is not null").groupBy(F.col("node").alias("ln")).agg(F.sum("links").alias("links"))

@@ -107,21 +107,24 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.size(w).cast("long").alias("n_words"), word_chars(w).alias("word_chars"), repeated_words(w).alias("n_repeat_words"))
 
     def line_counts(ls: Column, marked: Column) -> Column:
-        def judged(worded: Column) -> Column:
-            def lost(bad: Column) -> Column:
-                # a line fails or passes whatever its neighbours are: the good ones are those outside the failing set
-                good = F.array_join(F.filter(ls, lambda x: ~F.array_contains(bad, x)), "\n")
+        # each line carries its verdict
+        judged = F.transform(ls, lambda x: bind(x.rlike(r"[^\x20\x09-\x0D]"), lambda w: F.struct(x.alias("l"), w.alias("w"), (w & line_fails(x, marked)).alias("bad"))))
+        texts = lambda js, keep: F.transform(F.filter(js, keep), lambda j: j["l"])
+
+        def counted(js: Column) -> Column:
+            def summed(worded: Column, bad: Column) -> Column:
+                any_bad = F.size(bad) > 0
                 return F.struct(
                     F.size(worded).cast("long").alias("n_lines"),
                     (F.size(worded) - F.size(F.array_distinct(worded))).cast("long").alias("n_dup_lines"),
-                    F.size(F.filter(worded, lambda x: F.array_contains(bad, x))).cast("long").alias("n_failed_lines"),
-                    F.when(F.size(bad) == 0, F.lit(0).cast("long")).otherwise(word_chars(words_of(F.array_join(F.filter(worded, lambda x: F.array_contains(bad, x)), " ")))).alias("lost_chars"),
-                    F.when(F.size(bad) == 0, t).otherwise(good).alias("clean_text"),
+                    F.size(bad).cast("long").alias("n_failed_lines"),
+                    F.when(any_bad, word_chars(words_of(F.array_join(bad, " ")))).otherwise(0).cast("long").alias("lost_chars"),
+                    F.when(any_bad, F.array_join(texts(js, lambda j: ~j["bad"]), "\n")).otherwise(t).alias("clean_text"),
                 )
 
-            return bind(F.filter(F.array_distinct(worded), lambda x: line_fails(x, marked)), lost)
+            return bind(F.struct(texts(js, lambda j: j["w"]).alias("w"), texts(js, lambda j: j["bad"]).alias("b")), lambda x: summed(x["w"], x["b"]))
 
-        return bind(F.filter(ls, lambda x: x.rlike(r"[^\x20\x09-\x0D]")), judged)
+        return bind(judged, counted)
 
     own = without(docs, *ADDED)
     marked = t.rlike(MARKS)

@@ -219,7 +219,7 @@ def test_pivot_pairs_are_found_alike(monkeypatch):
     for x, y, same in ((a, b, False), (a, a, True)):
         few = pivot_index._compare(x, y, 3, same)
         with monkeypatch.context() as m:
-            m.setattr(pivot_index, "MANY", 0)
+            m.setattr(pivot_index, "MANY", -1)
             assert few[0] and pivot_index._compare(x, y, 3, same) == few
 
 
@@ -344,6 +344,27 @@ def test_ledger_is_idempotent(spark):
     assert [tuple(r) for r in ledger.totals().collect()] == [("s", "en", "words-2", 1, 2)]
 
 
+def test_one_of_two_committers_wins(spark):
+    counted = token_counts.count_tokens(docs_df(spark, [(1, "a b", "s")]), ("words-2",))
+    ledger = token_counts.ledger_of(counted, "met-ledger")
+    again = token_counts.ledger_of(counted, "met-ledger")
+    other = token_counts.ledger_of(counted.withColumn("source", F.lit("t")), "met-ledger")
+    assert ledger.path == again.path != other.path
+    # both have looked, neither has committed: the second one to take the name loses
+    rows = token_counts.inserted(counted, "words-2").groupBy("source", "lang", "version").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    for k in range(2):
+        rows.write.parquet(f"{ledger.path}/_aside/x{k}")
+    assert [ledger._take_name(f"{ledger.path}/_aside/x{k}", "x") for k in range(2)] == [True, False]
+    assert not again.commit("x", token_counts.inserted(counted, "words-2"))
+    assert [tuple(r) for r in again.totals().collect()] == [("s", "en", "words-2", 1, 2)]
+
+
+def test_bpe_counts_are_a_version(spark, odd_rows):
+    t = queries.byte_bpe()
+    got = sorted(x["n_bpe"] for x in token_counts.count_bpe(docs_df(spark, odd_rows), t, "bpe").collect())
+    assert got == sorted(len(t.encode(x or "")) for _, x, _ in odd_rows)
+
+
 def test_language_model_prefers_order(spark):
     r = random.Random(2)
     cycle = [f"c{i}" for i in range(20)]
