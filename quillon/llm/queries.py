@@ -6,6 +6,8 @@ contract from the operator's output.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,9 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(read_table(spark, sf_dir, "documents"))
+    """The key is the Spark setting quillon.surrogate.key; where it is unset, one is drawn for this run alone."""
+    key = spark.conf.get("quillon.surrogate.key", None) or secrets.token_hex(32)
+    return pii.replace_pii(read_table(spark, sf_dir, "documents"), key.encode())
 
 
 def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ OPERATORS = {
     "bpe": lambda d: bpe.round_trip(d, queries.byte_bpe()),
     "line_dedup": line_dedup.line_dedup,
     "lm": lm_score.lm_scores,
-    "pii": pii.replace_pii,
+    "pii": lambda d: pii.replace_pii(d, b"k"),
     "near": near_dup.near_duplicates,
     "secrets": secret_scan.scan_secrets,
     "quality": quality.quality_rules,
@@ -326,6 +326,48 @@ def test_surrogates(spark):
     assert len(digits) == 16 and pii.luhn(digits[:-1]) == int(digits[-1])
 
 
+def test_surrogates_do_not_depend_on_the_format(spark):
+    same = [
+        ("+1 521 555 2373", "+1-521-555-2373", "(521) 555-2373", "521.555.2373"), ("John.Doe@Mail.example.com", "john.doe@mail.example.com", "JOHN.DOE@MAIL.EXAMPLE.COM"),
+        ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000"), ("4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"),
+    ]
+    for forms in same:
+        found = [pii.detect(f"x {f} y") for f in forms]
+        assert len({(k, v) for [(_, _, k, v)] in found}) == 1, forms
+        new = {pii.normal(k, pii.pour(k, f, pii.surrogate(b"k", k, v))) for f, [(_, _, k, v)] in zip(forms, found, strict=True)}
+        assert len(new) == 1 and new != {found[0][0][3]}
+    valid = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    for x in ("DE89370400440532013000", "GB82WEST12345698765432", "DE88370400440532013000", "GB00WEST12345698765432"):
+        made = pii.surrogate(b"k", "iban", x)
+        assert valid(made) == valid(x) and made[:2] == x[:2] and made != x
+    out = pii.replace_pii(docs_df(spark, [(1, "She was born on 03.07.1984, DOB: 1984-07-03.", "s")]), b"k").first()
+    first, second = out["text"].split("born on ")[1].split(", DOB: ")
+    assert first.split(".")[2] == second[:4] and first.split(".")[1] == second[5:7] and first != "03.07.1984" and second[:2] == "19"
+    with pytest.raises(ValueError):
+        pii.replace_pii(docs_df(spark, []), b"")
+
+
+def test_surrogates_of_formats_with_too_few_values(spark):
+    # every address of this format stands in the corpus
+    letters = [chr(97 + i) for i in range(26)]
+    old = [f"{x}@{y}.io" for x in letters for y in letters]
+    new = [r["text"] for r in pii.replace_pii(docs_df(spark, [(i, t, "s") for i, t in enumerate(old)]), b"k").collect()]
+    assert len(set(new)) == len(old) and not set(new) & set(old) and all(t.endswith(".io") for t in new)
+
+
+def test_many_entities_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = " ".join(f"user{i}@mail{i}.example.com" for i in range(n))
+        began = time.perf_counter()
+        assert len(pii.detect(text)) == n
+        return time.perf_counter() - began
+
+    seconds(2_000)
+    assert min(seconds(16_000) for _ in range(3)) < 16 * min(seconds(2_000) for _ in range(3))
+
+
 def test_surrogate_collisions_are_resolved(spark, monkeypatch):
     monkeypatch.setattr(pii, "surrogate", lambda key, kind, value, attempt=0: "same" if attempt == 0 else f"{value}-{attempt}")
     entities = spark.createDataFrame([("card", v, "same") for v in "abc"], "kind string, value string, surrogate string")
