@@ -2,21 +2,25 @@
 
 1. Targets. Sources are ranked by code point, null last, and weigh 1, 2, 3, 1, 2, 3, ... They share the words of
    all documents by weight; a target stops at MAX_REPEAT times its source's words, and what is over is shared by
-   weight among the others until none is above. In closed form: with sources sorted by capacity per weight, those
-   whose capacity is below their share of what the ones before leave are full, and the rest share the remainder.
+   weight among the others until none is above. Ranks come from ranges of sources; the sharing is a few rounds of
+   sums over the sources.
 2. Blocks. A source's documents are dealt by hash into blocks of about BLOCK_WORDS words, and blocks stand in a
    permuted (hash) order. A target of k whole passes and a rest takes every block k times and, for the rest, the
-   blocks from the front; the block in which the rest ends is cut between two documents, at the nearer side.
+   blocks from the front; the block in which the rest ends is cut between two documents, at the nearer side. Places
+   and words before a block are sums over RANGES ranges of the order, and then within the range.
 3. Splitting tree. The blocks drawn from each source are its exact quota. The root holds all quotas; each node
-   gives its left child half of its blocks (by its shards), and how many of each source is a draw from the
-   multivariate hypergeometric distribution, source by source, each by inversion from the mode outwards, with a
-   uniform number that is a hash of seed, node and source. Leaves are shards: their quotas per source are exact,
-   sum to the sources' quotas and differ by one block in all at most.
+   gives its left child half of its blocks, and how many of each source is a draw from the multivariate
+   hypergeometric distribution, by inversion from the mode outwards, with a uniform number that is a hash of seed,
+   node and source. Draws go to GROUPS groups of sources first and then to the sources of each group, which is the
+   same distribution; a row of the tree is a group of a node, so neither sources nor shards meet in one row. Leaves
+   are shards of about SHARD_WORDS words: their quotas per source are exact, sum to the sources' quotas and differ by
+   one block in all at most.
 4. Assignment. A source's drawn blocks, in permuted order, go to shards in runs as long as the shards' quotas, so
-   draws are disjoint; within a shard, documents are ordered by hash.
+   draws are disjoint; ``mix`` brings each shard into one partition and shuffles its documents there by hash.
 
-Only sizes move: the text stays where it is until ``mix`` joins it. Sums are combined before they are shuffled; a
-hot source is spread over its blocks, so no task holds a source. Windows over all sources see one row a source.
+Only sizes move: the text stays where it is until ``mixture`` joins it. Sums are combined before they are shuffled,
+and a hot source is spread over ranges of its blocks; joins of documents with one row a source are broadcast where
+the sources are few, and split by Spark where they are skewed and not.
 
 Defined results: a null or empty text has size 0 and is taken k times like the others of its source (its taken
 words are 0); a null source is a source; rows that are equal in id and text share their place; an empty table
@@ -25,6 +29,8 @@ gives an empty result; other columns are not looked at. Reruns agree: every choi
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +39,10 @@ from quillon.sources.session import materialize
 
 SEED = 20240601
 BLOCK_WORDS = 50_000
-SHARD_LEVELS = 5
+SHARD_WORDS = 4_000_000
 MAX_REPEAT = 3
+#: Ranges of a source's blocks, groups of sources, and places of a source that are looked up together.
+RANGES_BITS, GROUPS, STRETCH = 12, 1_024, 256
 #: Standard deviations on either side of the mode within which a draw is inverted; what lies beyond is under 1e-30.
 REACH = 12
 ADDED = ("size", "source_size", "target", "times", "taken", "shards", "h", "__block")
@@ -62,18 +70,26 @@ def targets(sizes: DataFrame) -> DataFrame:
 
     passes: how often the mix takes the whole source; rest: the words it takes beyond that.
     """
-    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = total.withColumn("weight", (F.row_number().over(by_name) - 1) % 3 + 1).withColumn("most", F.col("source_size") * MAX_REPEAT)
-    everything = Window.partitionBy()
-    before = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    words_left = F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0))
-    weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    share = weighed.withColumn("share", words_left / weight_left)
-    # the sources that fit come after those that are full, and the first of them has the largest share
-    fits = F.col("share") * F.col("weight") <= F.col("most")
-    level = F.max(F.when(fits, F.col("share"))).over(everything)
-    aimed = share.withColumn("target", F.when(fits, F.least(level * F.col("weight"), F.col("most").cast("double"))).otherwise(F.col("most").cast("double")))
+    order = F.col("source").asc_nulls_last()
+    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).repartitionByRange(order).sortWithinPartitions(order)
+    # (partition, place in it) in one number
+    lined = materialize(total.withColumn("at", F.monotonically_increasing_id()), "mixing-ranked").withColumn("part", F.shiftright("at", 33))
+    parts = lined.groupBy(F.col("part").alias("of_part")).agg(F.count(F.lit(1)).alias("n"))
+    # one row a partition
+    parts = parts.select("of_part", (F.sum("n").over(Window.orderBy("of_part")) - F.col("n")).alias("before"))
+    rank = F.col("before") + F.pmod("at", F.lit(1 << 33))
+    weighed = lined.join(parts, F.col("part") == F.col("of_part")).select("source", "source_size", (rank % 3 + 1).alias("weight"), (F.col("source_size") * MAX_REPEAT).alias("most"))
+    weighed = materialize(weighed, "mixing-weighed")
+    everything = weighed.agg(F.sum("source_size")).first()[0] or 0
+    share, n_full = 0.0, -1
+    while True:
+        # sources are full at a share, and the others share what is left; shares only grow
+        full = F.col("weight") * share > F.col("most")
+        sums = weighed.agg(F.count(F.when(full, 1)), F.sum(F.when(full, F.col("most")).otherwise(0)), F.sum(F.when(full, 0).otherwise(F.col("weight")))).first()
+        if sums[0] == n_full or not sums[2]:
+            break
+        n_full, share = sums[0], (everything - sums[1]) / sums[2]
+    aimed = weighed.withColumn("target", F.least(F.col("weight") * F.lit(float(share)), F.col("most").cast("double")))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     return aimed.withColumn("passes", passes).select(
         "source", "source_size", "target", "passes",
@@ -141,34 +157,46 @@ def _hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Co
     return F.when((good <= 0) | (drawn <= 0), F.lit(0).cast("long")).when(good >= total, drawn.cast("long")).otherwise(bind(bind(spec, at_mode), drawn_from))
 
 
-def splitting_tree(quotas: DataFrame, levels: int = SHARD_LEVELS) -> DataFrame:
-    """(source, shard, begin, end): the run of each source's drawn blocks that each of 2**levels shards gets.
-
-    quotas: (source, quota), one row a source. A node of the tree is a row with the array of its quotas.
-    """
-    entry = F.struct(F.col("source").isNull().alias("n"), "source", F.col("quota").cast("long").alias("q"))
-    nodes = quotas.filter("quota > 0").agg(F.array_sort(F.collect_list(entry)).alias("qs")).select(F.lit(0).cast("long").alias("shard"), "qs").filter(F.size("qs") > 0)
-    for level in range(levels):
+def _left(qs: Column, room: Column, uniform) -> Column:
+    """How many of the items of each entry of qs are among ``room`` that are drawn from all: one hypergeometric draw
+    an entry, from what the entries before have left. uniform: of an entry."""
 
-        def left_quotas(qs: Column, level: int = level) -> Column:
-            def parted(n: Column) -> Column:
-                start = F.struct(n.alias("rest"), F.floor(n / 2).cast("long").alias("room"), F.array().cast("array<bigint>").alias("left"))
+    def drawn(start: Column) -> Column:
+        def draw(acc: Column, x: Column) -> Column:
+            got = _hypergeometric(acc["rest"], x["q"], acc["room"], uniform(x))
+            return bind(got, lambda g: F.struct((acc["rest"] - x["q"]).alias("rest"), (acc["room"] - g).alias("room"), F.concat(acc["left"], F.array(g)).alias("left")))
 
-                def draw(acc: Column, x: Column) -> Column:
-                    got = _hypergeometric(acc["rest"], x["q"], acc["room"], _uniform(F.lit(level), F.col("shard"), x["n"], x["source"]))
-                    return bind(got, lambda g: F.struct((acc["rest"] - x["q"]).alias("rest"), (acc["room"] - g).alias("room"), F.concat(acc["left"], F.array(g)).alias("left")))
+        return F.aggregate(qs, start, draw, lambda acc: acc["left"])
 
-                return F.aggregate(qs, start, draw, lambda acc: acc["left"])
+    total = F.aggregate(qs, F.lit(0).cast("long"), lambda a, x: a + x["q"])
+    return drawn(F.struct(total.alias("rest"), room.cast("long").alias("room"), F.array().cast("array<bigint>").alias("left")))
 
-            return bind(F.aggregate(qs, F.lit(0).cast("long"), lambda a, x: a + x["q"]), parted)
 
-        def child(left: Column, qs: Column, right: int) -> Column:
-            own = lambda x, i: x["q"] - F.element_at(left, i + 1) if right else F.element_at(left, i + 1)
-            kept = F.transform(qs, lambda x, i: F.struct(x["n"].alias("n"), x["source"].alias("source"), own(x, i).alias("q")))
-            return F.struct((F.col("shard") * 2 + right).alias("shard"), kept.alias("qs"))
+def splitting_tree(quotas: DataFrame, levels: int) -> DataFrame:
+    """(source, shard, begin, end): the run of each source's drawn blocks that each of 2**levels shards gets.
 
-        halves = bind(left_quotas(F.col("qs")), lambda left: F.array(child(left, F.col("qs"), 0), child(left, F.col("qs"), 1)))
-        nodes = nodes.select(F.explode(halves).alias("x")).select("x.*")
+    quotas: (source, quota), one row a source. A row of the tree is a group of sources at a node.
+    """
+    entry = F.struct(F.col("source").isNull().alias("n"), "source", F.col("quota").cast("long").alias("q"))
+    group = F.pmod(_hash("source"), F.lit(GROUPS)).alias("g")
+    nodes = quotas.filter("quota > 0").groupBy(group).agg(F.sum("quota").cast("long").alias("q"), F.array_sort(F.collect_list(entry)).alias("qs")).select(F.lit(0).cast("long").alias("shard"), "g", "q", "qs")
+    nodes = materialize(nodes, "mixing-tree")
+    for level in range(levels):
+        half = F.floor(F.aggregate("gs", F.lit(0).cast("long"), lambda a, x: a + x["q"]) / 2)
+        lefts = _left(F.col("gs"), half, lambda x, level=level: _uniform(F.lit(level), F.lit("group"), F.col("shard"), x["g"]))
+        tops = nodes.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("g", "q"))).alias("gs"))
+        rooms = tops.select("shard", F.explode(F.arrays_zip(F.col("gs.g").alias("g"), lefts.alias("room"))).alias("x")).select(F.col("shard").alias("s"), F.col("x.g").alias("of"), "x.room")
+
+        def child(left: Column, right: int) -> Column:
+            own = lambda x, i: x["q"] - F.get(left, i) if right else F.get(left, i)
+            kept = F.transform("qs", lambda x, i: F.struct(x["n"].alias("n"), x["source"].alias("source"), own(x, i).alias("q")))
+            total = F.col("q") - F.col("room") if right else F.col("room")
+            return F.struct((F.col("shard") * 2 + right).alias("shard"), F.col("g").alias("g"), total.alias("q"), F.filter(kept, lambda x: x["q"] > 0).alias("qs"))
+
+        left = _left(F.col("qs"), F.col("room"), lambda x, level=level: _uniform(F.lit(level), F.col("shard"), x["n"], x["source"]))
+        met = nodes.join(rooms, (F.col("shard") == F.col("s")) & (F.col("g") == F.col("of")))
+        halves = met.select(F.explode(bind(left, lambda x: F.array(child(x, 0), child(x, 1)))).alias("x")).select("x.*").filter("q > 0")
+        nodes = materialize(halves, "mixing-tree")
     leaves = nodes.select("shard", F.explode("qs").alias("x")).select("shard", "x.source", "x.q")
     end = F.sum("q").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     return leaves.withColumn("end", end).select("source", "shard", (F.col("end") - F.col("q")).alias("begin"), "end").filter("end > begin")
@@ -182,32 +210,42 @@ def _block() -> Column:
     return F.pmod(F.shiftrightunsigned("h", 8), F.col("n_blocks"))
 
 
-def draws(sizes: DataFrame, levels: int = SHARD_LEVELS) -> DataFrame:
+def draws(sizes: DataFrame, levels: int | None = None) -> DataFrame:
     """One row a block: s, b, source_size, target, passes, cut (words that the rest takes of the block, if it ends
     here), whole (whether the rest takes all of it), h_cut and h_last (which documents it takes of the block in
-    which it ends) and shards (of the block's draws, in turn)."""
+    which it ends) and shards (of the block's draws, in turn). levels: of the tree; as many as SHARD_WORDS asks for."""
     sources = materialize(targets(sizes), "mixing-sources")
+    if levels is None:
+        levels = max(0, math.ceil(math.log2(max(1, sources.agg(F.sum("source_size")).first()[0] or 0) / SHARD_WORDS)))
     of = sources.select(F.col("source").alias("s"), "n_blocks")
     dealt = sizes.join(of, _same("source", "s")).select("source", _block().alias("block"), "size", "h")
-    sums = dealt.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    line = Window.partitionBy("source").orderBy(_hash("source", "block"), "block")
-    before = F.coalesce(F.sum("words").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    there = sums.withColumn("place", F.row_number().over(line) - 1).withColumn("before", before)
-    there = there.withColumn("n_own", F.count(F.lit(1)).over(Window.partitionBy("source"))).withColumnRenamed("source", "bs")
+    place_hash = _hash("source", "block")
+    sums = dealt.groupBy("source", "block").agg(F.sum("size").alias("words")).select("*", place_hash.alias("p"), F.shiftrightunsigned(place_hash, 64 - RANGES_BITS).alias("r"))
+    sums = materialize(sums, "mixing-sums")
+    # one row a range: at most 1 << RANGES_BITS rows a source
+    ranges = sums.groupBy(F.col("source").alias("rs"), F.col("r").alias("rr")).agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"))
+    own, upto = Window.partitionBy("rs"), Window.partitionBy("rs").orderBy("rr")
+    ranges = ranges.select("rs", "rr", F.sum("n").over(own).alias("n_own"), (F.sum("n").over(upto) - F.col("n")).alias("n_before"), (F.sum("w").over(upto) - F.col("w")).alias("w_before"))
+    ranges = ranges.join(sources.drop("n_blocks"), _same("rs", "source")).drop("source")
+    line = Window.partitionBy("source", "r").orderBy("p", "block")
+    there = sums.join(ranges, _same("source", "rs") & (F.col("r") == F.col("rr")))
+    there = there.withColumn("place", F.col("n_before") + F.row_number().over(line) - 1).withColumn("before", F.col("w_before") + F.sum("words").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
     cut = F.col("rest") - F.col("before")
     blocks = materialize(
-        there.join(sources.drop("n_blocks"), _same("bs", "source")).select(
+        there.select(
             "source", "block", "place", "n_own", "source_size", "target", "passes", cut.alias("cut"),
             ((F.col("words") > 0) & (cut >= F.col("words"))).alias("whole"), ((cut > 0) & (cut < F.col("words"))).alias("ends_here"),
         ),
         "mixing-blocks",
     )
     quotas = blocks.groupBy("source").agg((F.max("passes") * F.count(F.lit(1)) + F.count(F.when(F.col("whole") | F.col("ends_here"), 1))).alias("quota"))
-    runs = splitting_tree(quotas, levels).withColumnRenamed("source", "rs")
+    # a run stands at each stretch of places that it meets
+    stretch = lambda at: F.floor(at / STRETCH).cast("long")
+    runs = splitting_tree(quotas, levels).select(F.col("source").alias("rs"), "shard", "begin", "end", F.explode(F.sequence(stretch(F.col("begin")), stretch(F.col("end") - 1))).alias("rk"))
     drawn = F.col("passes") + (F.col("whole") | F.col("ends_here")).cast("long")
     copies = blocks.filter(drawn > 0).select("source", "block", "n_own", "place", F.explode(F.sequence(F.lit(0).cast("long"), drawn - 1)).alias("copy"))
-    copies = copies.select("source", "block", (F.col("copy") * F.col("n_own") + F.col("place")).alias("at"))
-    met = copies.join(runs, _same("source", "rs") & (F.col("at") >= F.col("begin")) & (F.col("at") < F.col("end")))
+    copies = copies.select("source", "block", (F.col("copy") * F.col("n_own") + F.col("place")).alias("at")).withColumn("k", stretch(F.col("at")))
+    met = copies.join(runs, _same("source", "rs") & (F.col("k") == F.col("rk")) & (F.col("at") >= F.col("begin")) & (F.col("at") < F.col("end")))
     shards = met.groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "shard"))), lambda x: x["shard"]).alias("shards"))
     shards = shards.select(F.col("source").alias("ss"), F.col("block").alias("sb"), "shards")
 
@@ -229,7 +267,7 @@ def draws(sizes: DataFrame, levels: int = SHARD_LEVELS) -> DataFrame:
     )
 
 
-def mixture(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", levels: int = SHARD_LEVELS) -> DataFrame:
+def mixture(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", levels: int | None = None) -> DataFrame:
     """docs with ``size``, ``source_size``, ``target`` (its source's), ``times`` (how often the mix takes it), ``taken``
     (words, repeats counted) and ``shards`` (where its copies go).
 
@@ -251,10 +289,10 @@ def mixture(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sour
     return met.select(*names, "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"), F.slice("shards", 1, times.cast("int")).alias("shards"), "h")
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", levels: int = SHARD_LEVELS) -> DataFrame:
-    """The mixed documents themselves: the columns of docs and ``shard``, a row for each copy that the mix takes,
-    shuffled by hash inside each partition."""
+def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", levels: int | None = None) -> DataFrame:
+    """The mixed documents themselves: the columns of docs and ``shard``, a row for each copy that the mix takes. A
+    shard lies in one partition, shuffled by hash."""
     own = without(docs, *ADDED, "shard")
     names = [F.col(f"`{c}`") for c in own.columns]
     rows = mixture(own, id_column, text, source, levels).select(*names, "h", F.posexplode("shards").alias("copy", "shard"))
-    return rows.sortWithinPartitions("shard", _hash("shard", "copy", "h")).select(*names, "shard")
+    return rows.repartition("shard").sortWithinPartitions("shard", _hash("shard", "copy", "h")).select(*names, "shard")

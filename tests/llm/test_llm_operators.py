@@ -526,6 +526,7 @@ def test_mixing_meets_targets(spark, monkeypatch):
     r = random.Random(8)
     sources = ["a"] * 150 + ["b"] * 10 + ["c"] * 40 + ["é"] * 3 + [None] * 20 + ["z"]
     rows = [(i, prose(r, r.randint(0, 60)), s) for i, s in enumerate(sources)]
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 300)
     got = mixing.mixture(docs_df(spark, rows)).collect()
     again = mixing.mixture(docs_df(spark, rows).repartition(5)).collect()
     view = lambda xs: sorted((x["doc_id"], x["taken"], x["shards"]) for x in xs)
@@ -541,6 +542,36 @@ def test_mixing_meets_targets(spark, monkeypatch):
     assert all(abs(taken[s] - want[s]) <= 60 for s in want)
 
 
+def test_shards_have_exact_quotas_and_a_partition_each(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUPS", 3)
+    quotas = [(f"s{i}", 1 + i * i % 37) for i in range(25)] + [(None, 11), ("big", 400), ("none", 0)]
+    runs = mixing.splitting_tree(spark.createDataFrame(quotas, "source string, quota long"), 3).collect()
+    by_source, by_shard = defaultdict(list), Counter()
+    for x in runs:
+        by_source[x["source"]].append((x["begin"], x["end"]))
+        by_shard[x["shard"]] += x["end"] - x["begin"]
+    for s, q in quotas:
+        at = 0
+        for begin, end in sorted(by_source[s]):
+            assert begin == at < end
+            at = end
+        assert at == q
+    assert sum(by_shard.values()) == sum(q for _, q in quotas) and max(by_shard.values()) - min(by_shard.values()) <= 1
+    # a large source is spread as a draw would be
+    big = [x["end"] - x["begin"] for x in runs if x["source"] == "big"]
+    assert len(big) == 8 and max(big) - min(big) < 40
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 100)
+    r = random.Random(3)
+    rows = [(i, prose(r, r.randint(1, 60)), f"s{i % 3}") for i in range(200)]
+    mixed = mixing.mix(docs_df(spark, rows), levels=3).withColumn("part", F.spark_partition_id()).collect()
+    where = defaultdict(set)
+    for x in mixed:
+        where[x["shard"]].add(x["part"])
+    assert len(where) == 8 and all(len(p) == 1 for p in where.values())
+    times = {x["doc_id"]: x["times"] for x in mixing.mixture(docs_df(spark, rows), levels=3).collect() if x["times"]}
+    assert Counter(x["doc_id"] for x in mixed) == times
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as cp
 
