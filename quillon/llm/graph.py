@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == before:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(stars.select("b", "b").distinct())
         before = now
+
+
+def forest(x: np.ndarray, y: np.ndarray) -> list:
+    """Edges, one fewer than the nodes of each part, that join what the pairs (x, y) join."""
+    names, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    label = np.arange(len(names))
+    p, q = at[: len(x)], at[len(x) :]
+    while True:
+        low = label.copy()
+        m = np.minimum(label[p], label[q])
+        np.minimum.at(low, p, m)
+        np.minimum.at(low, q, m)
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    return [(int(names[k]), int(names[label[k]])) for k in np.flatnonzero(label != np.arange(len(names)))]

@@ -11,14 +11,18 @@
    threshold are dropped.
 4. Verification on the full sets: 100 * intersection >= 75 * union.
 
-Texts with equal sets are one class from the start, named by 64 bits of a 128-bit digest of the set (a clash of
-two sets is looked for, and refused). Candidates are compared in two passes, so that a large group of near copies
+Texts with equal sets are one class from the start, named by the 128-bit digest of the set and numbered; texts are found
+again by two 64-bit hashes. Candidates are compared in two passes, so that a large group of near copies
 never becomes all its pairs. First each class meets the centre of its buckets, the class that shares bands with most others,
 and the best estimate of each class is verified. Then come the classes of the buckets that still hold more than one component. Two sets can
 only be as similar as asked if they share one of the rarest shingles of either, of which a quarter of the set is
 enough (a fact about any order of the shingles; the order is by a table of counts of fixed size). So pairs are made
 by those shingles, between different components only, and never within the largest component of a shingle; they go
 through estimate and verification. A pair within one component adds nothing, so no link between components is lost.
+A shingle that more than LISTED classes have makes no rows of pairs: its classes are compared in blocks of about
+BLOCK_SHINGLES shingles, pair of blocks by pair of blocks, by estimate and on the full sets, and what comes out is a
+spanning forest of the links. So families whose members are all a little less similar than asked cost rows in
+proportion to their members (times the blocks of a list), although their pairs are compared.
 
 Bands of hot groups are spread by equi-joins and by minima that are combined before their shuffle.
 
@@ -36,11 +40,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import _Memo
-from quillon.llm.graph import connected_components
+from quillon.llm.graph import connected_components, forest
 from quillon.sources.session import materialize
 
 SHINGLE = 5
@@ -51,6 +55,8 @@ REGISTERS = BANDS * ROWS
 SIGMAS = 6
 #: Bits of the table of shingle counts that orders shingles by rarity.
 SLOT_BITS, SLOT_PART = 20, 1 << 14
+#: Classes of a shingle up to which their pairs are rows; beyond, shingles of a block, rows of a tile, columns at once.
+LISTED, BLOCK_SHINGLES, TILE, COLUMNS = 64, 1_000_000, 256, 16_384
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 
@@ -114,7 +120,11 @@ def bands(sketches: np.ndarray) -> np.ndarray:
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(Jaccard estimates of pairs of sketches, the least estimate that isn't surely below the threshold)."""
-    p = (a == b).mean(axis=1)
+    return corrected((a == b).mean(axis=1), na, nb)
+
+
+def corrected(p: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``estimate`` from the shares of equal registers."""
     la, lb = na / REGISTERS, nb / REGISTERS
     c = np.zeros(len(p))
     for k in range(32):
@@ -133,27 +143,31 @@ def _texts(column: pa.Array) -> Iterator[str]:
             yield x or ""
 
 
+def _text_keys(text: str) -> tuple[Column, Column]:
+    return F.xxhash64(text).alias("key"), F.xxhash64(F.lit(2), text).alias("key2")
+
+
 def sketch(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, key, n, node, node2, sketch): the size of each text's set, its class and its registers. key: a hash of
-    the text, with which the text is found again."""
+    """(id, key, key2, n, lo, hi, sketch): the size of each text's set, the digest of its class and its registers. key
+    and key2: hashes of the text, with which the text is found again."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, nodes, out = [], [], []
-            for x in _texts(b.column(2)):
+            for x in _texts(b.column(3)):
                 s = shingles(x)
                 n.append(len(s))
                 nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 out.append(registers(s).tobytes() if len(s) else None)
             pair = np.frombuffer(b"".join(nodes), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(out, pa.binary())],
-                names=["id", "key", "n", "node", "node2", "sketch"],
+                [*b.columns[:3], pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(out, pa.binary())],
+                names=["id", "key", "key2", "n", "lo", "hi", "sketch"],
             )
 
-    keyed = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    return keyed.mapInArrow(run, f"id {kind}, key long, n long, node long, node2 long, sketch binary")
+    keyed = docs.select(F.col(id_column).alias("id"), *_text_keys(text), F.col(text).alias("text"))
+    return keyed.mapInArrow(run, f"id {kind}, key long, key2 long, n long, lo long, hi long, sketch binary")
 
 
 def _band_rows(sketches: DataFrame) -> DataFrame:
@@ -196,8 +210,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     """(node, hashes): the full sets of the classes in nodes, made anew from the text of one document of each."""
-    one = sketches.join(nodes.withColumnRenamed("node", "m"), F.col("node") == F.col("m")).select("node", "key")
-    found = docs.select(F.xxhash64(text).alias("k"), F.col(text).alias("text")).join(one, F.col("k") == F.col("key")).select("node", "text")
+    one = sketches.join(nodes.withColumnRenamed("node", "m"), F.col("node") == F.col("m")).select("node", F.col("key").alias("k"), F.col("key2").alias("k2"))
+    found = docs.select(*_text_keys(text), F.col(text).alias("text")).join(one, (F.col("k") == F.col("key")) & (F.col("k2") == F.col("key2"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,28 +272,114 @@ def _rarest(sets: DataFrame, counts: np.ndarray) -> DataFrame:
     return sets.select("node", "hashes").mapInArrow(run, "token long, node long, at long")
 
 
-def _across(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes of different components that share one of their rarest shingles. labels: m, n, c."""
+def _equal_registers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many registers each row of a shares with each row of b."""
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        out += x[:, None] == y[None, :]
+    return out
+
+
+def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The intersection sizes of each set of a with each set of b, by products of their incidence matrices."""
+    names, column = np.unique(np.concatenate(a + b), return_inverse=True)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in a + b])
+    both = np.bincount(column[row < len(a)], minlength=len(names)).astype(bool) & np.bincount(column[row >= len(a)], minlength=len(names)).astype(bool)
+    place = np.cumsum(both) - 1
+    keep = both[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, int(both.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+        marks = np.zeros((len(a) + len(b), COLUMNS), np.float32)
+        marks[row[lo:hi], column[lo:hi] - start] = 1
+        out += marks[: len(a)] @ marks[len(a) :].T
+    return out
+
+
+def _linked(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two blocks of the classes of one shingle; pairs within a component, or of
+    which one has too little left after the shingle, aren't looked at."""
+    edges: list[tuple[int, int]] = []
+    t = THRESHOLD
+    parts = []
+    for x in (a, b):
+        registers_of = np.frombuffer(b"".join(x["sketch"]), np.uint16).reshape(-1, REGISTERS)
+        parts.append((x["node"].to_numpy(), x["n"].to_numpy(), x["left"].to_numpy(), x["c"].to_numpy(), registers_of, list(x["hashes"])))
+    for p in range(0, len(a), TILE):
+        for q in range(p if same else 0, len(b), TILE):
+            (ia, na, la, ca, ra, ha), (ib, nb, lb, cb, rb, hb) = ([v[k : k + TILE] for v in part] for part, k in zip(parts, (p, q), strict=True))
+            total = na[:, None] + nb[None, :]
+            ok = (ca[:, None] != cb[None, :]) & (np.minimum(la[:, None], lb[None, :]) * (100 + t) >= total * t) & (np.minimum(na[:, None], nb[None, :]) * 100 >= np.maximum(na[:, None], nb[None, :]) * t)
+            if same and p == q:
+                ok = np.triu(ok, 1)
+            i, j = np.nonzero(ok)
+            if not len(i):
+                continue
+            rows, columns = np.unique(i), np.unique(j)
+            share = _equal_registers(ra[rows], rb[columns])[np.searchsorted(rows, i), np.searchsorted(columns, j)] / REGISTERS
+            est, least = corrected(share, na[i], nb[j])
+            i, j = i[est >= least], j[est >= least]
+            if not len(i):
+                continue
+            rows, columns = np.unique(i), np.unique(j)
+            both = _intersections([ha[k] for k in rows], [hb[k] for k in columns])[np.searchsorted(rows, i), np.searchsorted(columns, j)]
+            good = both * 100 >= (na[i] + nb[j] - both) * t
+            edges += forest(ia[i[good]], ib[j[good]])
+    return edges
+
+
+def _in_blocks(there: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between classes of shingles that many classes have, enough to join what links join.
+    there: token, node, left, n, c, blocks."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    full = sets.select(F.col("node").alias("m"), "hashes").join(sketches.select(F.col("node").alias("m2"), "sketch"), F.col("m") == F.col("m2")).drop("m2")
+    dealt = there.withColumn("block", block).withColumn("x", F.explode(pairs)).select("token", "x.i", "x.j", "block", "node", "left", "n", "c")
+    rows = dealt.join(full, F.col("node") == F.col("m")).drop("m")
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        a = rows[rows["block"] == i]
+        b = a if i == j else rows[rows["block"] == j]
+        edges = _linked(a, b, i == j) if len(a) and len(b) else []
+        return pd.DataFrame({"a": np.array([x for x, _ in edges], np.int64), "b": np.array([y for _, y in edges], np.int64)})
+
+    return rows.groupBy("token", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def _across(sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of different components that share one of their rarest shingles: as pairs (a, b), and as lists (token,
+    node, left, n, c, blocks) for shingles that many have. labels: m, n, c."""
     rows = materialize(_rarest(sets, _counts(sets)).join(labels, F.col("node") == F.col("m")).select("token", "node", "at", "n", "c"), "near-rarest")
-    parts = rows.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
-    mixed = parts.groupBy("token").agg(F.max(F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    mixed = mixed.select(F.col("token").alias("t"), F.col("most.c").alias("largest"))
-    there = materialize(rows.join(mixed, F.col("token") == F.col("t")).select("token", "node", (F.col("n") - F.col("at")).alias("left"), "n", "c", "largest"), "near-mixed")
-    x = there.filter("c <> largest").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("c").alias("ca"))
-    y = there.select(F.col("token").alias("token2"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("c").alias("cb"), (F.col("c") == F.col("largest")).alias("main"))
-    near_size = (F.col("na") * 100 >= F.col("nb") * THRESHOLD) & (F.col("nb") * 100 >= F.col("na") * THRESHOLD)
+    parts = rows.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"))
+    mixed = parts.groupBy("token").agg(F.max(F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("parts"), F.min("n").alias("smallest")).filter("parts > 1")
+    mixed = mixed.select(F.col("token").alias("t"), F.col("most.c").alias("largest"), "smallest")
+    left = F.col("n") - F.col("at")
     # from their first common shingle on, two sets can share no more than what either has left
+    useful = left * (100 + THRESHOLD) >= (F.col("n") + F.col("smallest")) * THRESHOLD
+    there = materialize(rows.join(mixed, F.col("token") == F.col("t")).filter(useful).select("token", "node", left.alias("left"), "n", "c", "largest"), "near-mixed")
+    sizes = there.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("k"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).filter(F.col("k") > LISTED)
+    sizes = materialize(sizes, "near-lists")
+    few = there.join(sizes, F.col("token") == F.col("t"), "left_anti")
+    many = there.join(sizes, F.col("token") == F.col("t")).select("token", "node", "left", "n", "c", "blocks")
+    x = few.filter("c <> largest").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("c").alias("ca"))
+    y = few.select(F.col("token").alias("token2"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("c").alias("cb"), (F.col("c") == F.col("largest")).alias("main"))
+    near_size = (F.col("na") * 100 >= F.col("nb") * THRESHOLD) & (F.col("nb") * 100 >= F.col("na") * THRESHOLD)
     enough = F.least("la", "lb") * (100 + THRESHOLD) >= (F.col("na") + F.col("nb")) * THRESHOLD
     met = x.join(y, (F.col("token") == F.col("token2")) & (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & near_size & enough)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), many
 
 
-def links(docs: DataFrame, sketched: DataFrame, text: str = "text") -> DataFrame:
-    """(node, component) of the classes that are linked with others; sketched: what ``sketch`` made of docs."""
+def links(docs: DataFrame, sketched: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The classes (node, lo, hi, ...), and (node, component) of those that are linked with others; sketched: what
+    ``sketch`` made of docs."""
     sketches = sketched.filter("n > 0")
-    one = materialize(sketches.groupBy("node").agg(F.min_by("sketch", "key").alias("sketch"), F.min("n").alias("n"), F.min("key").alias("key"), F.min("node2").alias("lo"), F.max("node2").alias("hi")), "near-classes")
-    if not one.filter("lo <> hi").isEmpty():
-        raise ValueError("two different sets share a 64-bit name: change the seed of shingles()")
+    text_key = F.min(F.struct("key", "key2")).alias("k")
+    one = sketches.groupBy("lo", "hi").agg(F.min_by("sketch", "key").alias("sketch"), F.min("n").alias("n"), text_key)
+    one = materialize(one.select(F.monotonically_increasing_id().alias("node"), "lo", "hi", "sketch", "n", "k.key", "k.key2"), "near-classes")
     rows = _band_rows(one)
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumnRenamed("band", "in_band")
     members = materialize(rows.join(shared, F.col("band") == F.col("in_band")).select("band", "node", "size"), "near-bands")
@@ -301,18 +401,19 @@ def links(docs: DataFrame, sketched: DataFrame, text: str = "text") -> DataFrame
     open_nodes = named.join(mixed, F.col("band") == F.col("in_band")).select("node", "c").distinct()
     labels = materialize(open_nodes.join(one.select(F.col("node").alias("m"), "n"), F.col("node") == F.col("m")).select("m", "n", "c"), "near-open")
     open_sets = sets.join(labels.select(F.col("m").alias("node")), "node", "left_semi")
-    rest = materialize(_likely(_across(open_sets, labels), one), "near-cross")
-    if rest.isEmpty():
-        return first
-    return connected_components(materialize(sure.unionAll(_verified(rest, sets)), "near-all"))
+    few, many = _across(open_sets, labels)
+    rest = materialize(_likely(few, one), "near-cross")
+    more = materialize(_verified(rest, sets).unionAll(_in_blocks(many, one, open_sets)), "near-more")
+    return one, first if more.isEmpty() else connected_components(sure.unionAll(more))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: id, n_shingles, component_id (the smallest id that links reach) and kept (its own id is
     that one)."""
     sketched = materialize(sketch(docs, id_column, text), "near-sketches")
-    of = links(docs, sketched, text).withColumnRenamed("node", "m")
-    own = sketched.filter("n > 0").select("id", "n", "node").join(of, F.col("node") == F.col("m"), "left").select("id", "n", F.coalesce("component", "node").alias("c"))
+    one, of = links(docs, sketched, text)
+    of = one.select("node", F.col("lo").alias("l"), F.col("hi").alias("h")).join(of.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("l", "h", F.coalesce("component", "node").alias("c"))
+    own = sketched.filter("n > 0").select("id", "n", "lo", "hi").join(of, (F.col("lo") == F.col("l")) & (F.col("hi") == F.col("h"))).select("id", "n", "c")
     least = own.groupBy("c").agg(F.min("id").alias("least")).withColumnRenamed("c", "c2")
     linked = own.join(least, F.col("c") == F.col("c2")).select("id", "n", "least")
     alone = sketched.filter("n = 0").select("id", "n", F.col("id").alias("least"))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.graph import connected_components
+from quillon.llm.graph import connected_components, forest
 from quillon.sources.session import materialize
 
 THRESHOLD, APART = 0.9, 0.7
@@ -139,7 +139,7 @@ def _compare(a: pd.DataFrame, b: pd.DataFrame, pivot: int, same: bool) -> tuple[
                 i, j = i + p, j + q
                 la += np.bincount(i, sb[j], len(a))
                 lb += np.bincount(j, sa[i], len(b))
-                edges += _forest(ids_a[i], ids_b[j])
+                edges += forest(ids_a[i], ids_b[j])
     links = [(n, int(v)) for ids, sums in ((ids_a, la), (ids_b, lb)) for n, v in zip(ids, sums, strict=True) if v]
     return links, edges
 
@@ -174,23 +174,6 @@ def _marks(near: np.ndarray, names: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forest(x: np.ndarray, y: np.ndarray) -> list:
-    """Edges, one fewer than the nodes of each part, that join what the pairs (x, y) join."""
-    names, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-    label = np.arange(len(names))
-    p, q = at[: len(x)], at[len(x) :]
-    while True:
-        low = label.copy()
-        m = np.minimum(label[p], label[q])
-        np.minimum.at(low, p, m)
-        np.minimum.at(low, q, m)
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    return [(int(names[k]), int(names[label[k]])) for k in np.flatnonzero(label != np.arange(len(names)))]
-
-
 def near_links(described: DataFrame) -> DataFrame:
     """(node, other, links): partial sums of links (other null) and edges (links null)."""
     lists = described.select("node", "size", "v", "near", F.explode("near").alias("pivot"))

@@ -158,6 +158,43 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(x["n_shingles"] == len(sets[x["doc_id"]]) and x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
 
 
+def test_families_below_the_threshold_make_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "LISTED", 8)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 9_000)
+    monkeypatch.setattr(near_dup, "TILE", 16)
+    monkeypatch.setattr(near_dup, "COLUMNS", 64)
+    seen = []
+    plain = near_dup._across
+
+    def across(*a):
+        few, many = plain(*a)
+        seen.append((few.count(), many.count()))
+        return few, many
+
+    monkeypatch.setattr(near_dup, "_across", across)
+    r = random.Random(21)
+    template, rows = [f"t{i}" for i in range(200)], []
+    for i in range(120):
+        words = list(template)
+        for k in r.sample(range(200), r.choice((3, 4, 5, 5, 5, 5))):
+            words[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(words), "s"))
+    sets = {i: word_set(t) for i, t, _ in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(docs_df(spark, rows)).collect()}
+    want = brute_components(sets, links)
+    assert got == want and 1 < len(set(want.values())) < 120
+    [(few, many)] = seen
+    assert many > 0 and few < 8 * 120
+
+
+def test_intersections_by_products():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 300, n)) for n in (0, 5, 80, 200, 300)]
+    got = near_dup._intersections(sets, sets[1:])
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets[1:]))
+
+
 def test_registers_estimate_similarity():
     r = np.random.default_rng(3)
     a = np.unique(r.integers(0, 2**64, 3000, np.uint64))
