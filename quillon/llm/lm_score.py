@@ -111,8 +111,13 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
-    """The lexicon of counts; the driver gets KNOWN words and one row a bucket."""
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
+    """The lexicon of counts; the driver gets KNOWN words at most, and one row a bucket and a bin of counts. The known
+    words are those above a count: words of one bin are all known or all not."""
+    bin_of = F.when(F.col("n") < 4_096, F.col("n")).otherwise(4_096 + F.floor(F.log2("n") * 64)).cast("long")
+    bins = sorted(counts.groupBy(bin_of.alias("bin")).count().collect(), reverse=True)
+    upto = np.cumsum([b["count"] for b in bins])
+    least = next((b["bin"] for b, n in zip(bins, upto, strict=True) if n > KNOWN), 0)
+    top = counts.filter(bin_of > least).toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
     known, n = [w.encode("utf-8", "surrogatepass") for w in top["word"]], top["n"].to_numpy(np.int64)
     sums = counts.groupBy((F.crc32("word") % BUCKETS).cast("int").alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
     total, kinds = np.zeros(BUCKETS), np.zeros(BUCKETS)
