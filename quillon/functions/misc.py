@@ -52,9 +52,12 @@ def url_norm(text: Column) -> Column:
 
 
 def private_host(host: Column) -> Column:
-    """Whether a host is local: by name, or by the ranges of private, loopback and link-local IPv4 addresses."""
-    name = F.lower(host)
-    return name.isin("localhost", "0.0.0.0", "::1", "[::1]") | name.rlike(r"\.(local|internal|lan)$") | name.rlike(r"^(10|127)\.|^192\.168\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.")
+    """Whether a host isn't public: by name, or by the private, loopback, link-local, shared, multicast and reserved
+    ranges of IPv4 and IPv6 addresses, with or without brackets."""
+    name = F.regexp_replace(F.lower(host), r"^\[|\]$", "")
+    v4 = name.rlike(r"^[0-9]+(\.[0-9]+){3}$") & name.rlike(r"^(0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|^192\.168\.|^192\.0\.[02]\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^198\.(1[89]|51\.100)\.|^203\.0\.113\.")
+    v6 = name.contains(":") & name.rlike(r"^(::1?$|::ffff:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|ff[0-9a-f]{2}:|2001:db8:)")
+    return name.isin("localhost", "0.0.0.0") | name.rlike(r"\.(local|localhost|internal|lan|onion)$") | v4 | v6
 
 
 def drive_id(url: Column) -> Column:
@@ -63,8 +66,8 @@ def drive_id(url: Column) -> Column:
 
 
 def mention_ids(text: Column) -> Column:
-    """Ids of mentions and bare ids of 15 to 20 digits, in order, once each."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("<?@?!?\\b([0-9]{15,20})\\b>?"), F.lit(1)))
+    """Ids of mentions and bare numbers, in order, once each."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("<?@?!?\\b([0-9]+)\\b>?"), F.lit(1)))
 
 
 def hex_color(text: Column) -> Column:

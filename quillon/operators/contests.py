@@ -8,25 +8,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.rating import fail_penalty, solve_delta, whole, win_probability
+from quillon.functions.rating import fail_penalty, solve_delta, whole
 
 STEPS, HIGHEST, GRID = 50, 4500.0, 901
 #: Participants of a contest that one task rates.
 PART = 20_000
+#: Ratings that are compared with all others of a contest at once.
+TILE = 512
 
 
 def seeds(participants: DataFrame) -> DataFrame:
     """participants (contest, user, rating) with ``seed`` = 1 + the sum of the others' chances to win.
 
-    Equal ratings have equal seeds, so the pairs are those of the distinct ratings of a contest, of which there are a
-    few thousand at most, whatever the number of participants.
+    Equal ratings have equal seeds, so a contest is its counts of distinct ratings: a few thousand rows at most,
+    whatever the number of participants, and their chances are products of small matrices.
     """
     counts = participants.groupBy("contest", "rating").agg(F.count(F.lit(1)).alias("n"))
-    other = counts.select(F.col("contest").alias("c2"), F.col("rating").alias("r2"), "n")
-    chance = win_probability(F.col("r2").cast("double"), F.col("rating").cast("double"))
-    met = counts.select("contest", "rating").join(other, F.col("contest") == F.col("c2"))
-    alone = F.when(F.col("rating") == F.col("r2"), 1).otherwise(0)
-    sums = met.groupBy("contest", "rating").agg((1.0 + F.sum(chance * (F.col("n") - alone))).alias("seed"))
+
+    def of_contest(rows: pd.DataFrame) -> pd.DataFrame:
+        r, n = rows["rating"].to_numpy(float), rows["n"].to_numpy(float)
+        seed = np.empty(len(r))
+        for at in range(0, len(r), TILE):
+            difference = r[at : at + TILE, None] - r[None, :]
+            seed[at : at + TILE] = (1.0 / (1.0 + 10.0 ** (difference / 400.0))) @ n
+        # oneself is among the others' chances with one half
+        return rows[["contest", "rating"]].assign(seed=seed + 0.5)
+
+    kinds = [f"{c} {participants.schema[c].dataType.simpleString()}" for c in ("contest", "rating")]
+    sums = counts.groupBy("contest").applyInPandas(of_contest, f"{kinds[0]}, {kinds[1]}, seed double")
     return participants.join(sums, ["contest", "rating"])
 
 

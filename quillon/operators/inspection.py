@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 from quillon.functions.text import tokens
 
 CAP = 6
+#: Terms of a lexicon up to which tokens are looked up within their row.
+MANY_TERMS = 5_000
 K1, B, AVERAGE = 1.2, 0.75, 1200.0
 
 
 def term_counts(docs: DataFrame, lexicon: DataFrame, words: Column | None = None) -> DataFrame:
-    """(id, length, subject, term, weight, tf) of the lexicon's terms in documents (id, text). Tokens are counted within
-    tasks before they are shuffled."""
+    """(id, length, subject, term, weight, tf) of the lexicon's terms in documents (id, text). A document's other tokens
+    go within its row, as long as the lexicon has at most MANY_TERMS terms."""
     ws = words if words is not None else tokens(F.coalesce(F.col("text"), F.lit("")))
-    pair = F.element_at(F.transform(F.array(ws), lambda w: F.struct(F.size(w).alias("length"), w.alias("ws"))), 1)
+    terms = [r[0] for r in lexicon.select("term").distinct().limit(MANY_TERMS + 1).collect()]
+    hits = (lambda w: F.filter(w, lambda x: x.isin(terms))) if len(terms) <= MANY_TERMS else (lambda w: w)
+    pair = F.element_at(F.transform(F.array(ws), lambda w: F.struct(F.size(w).alias("length"), hits(w).alias("ws"))), 1)
     rows = docs.select("id", pair.alias("p")).select("id", "p.length", F.explode("p.ws").alias("term"))
     return rows.join(lexicon, "term").groupBy("id", "length", "subject", "term", "weight").agg(F.count(F.lit(1)).alias("tf"))
 

@@ -35,13 +35,24 @@ def shuffled_papers(questions: DataFrame, seed: str) -> DataFrame:
     return rows.select("id", "number", "new_number", F.col("o.option").alias("option"), letter.alias("new_option"), (F.col("o.option") == F.col("key")).alias("is_key"))
 
 
+#: Channels up to which they are sent to every task.
+FEW_CHANNELS = 10_000
+
+
 def routes(docs: DataFrame, channels: DataFrame) -> DataFrame:
     """(id, channel, score): the channel (channel, subject, kind, level) that fits a document (id, subject, kind, level)
-    best: subject 50, kind 30, level 20; ``*`` fits any and counts half. Documents join by subject, or by ``*``."""
-    by = docs.select("id", F.explode(F.array(F.col("subject"), F.lit("*"))).alias("subject"), "kind", "level")
+    best: subject 50, kind 30, level 20; ``*`` fits any and counts half. Up to FEW_CHANNELS channels are sent to the
+    documents; more are joined by subject, those of any subject still being sent."""
     other = channels.select("channel", F.col("subject").alias("cs"), F.col("kind").alias("ck"), F.col("level").alias("cl"))
     part = lambda own, c, w: F.when(F.col(c) == "*", w // 2).when(F.col(c) == F.col(own), w)
-    met = by.join(other, F.col("subject") == F.col("cs")).withColumn("score", F.when(F.col("cs") == "*", 25).otherwise(50) + part("kind", "ck", 30) + part("level", "cl", 20))
+    if len(channels.limit(FEW_CHANNELS + 1).take(FEW_CHANNELS + 1)) <= FEW_CHANNELS:
+        met = docs.join(F.broadcast(other), (F.col("cs") == "*") | (F.col("subject") == F.col("cs")))
+    else:
+        anyone = other.filter("cs = '*'")
+        if len(anyone.limit(FEW_CHANNELS + 1).take(FEW_CHANNELS + 1)) > FEW_CHANNELS:
+            raise ValueError(f"more than {FEW_CHANNELS} channels for any subject")
+        met = docs.join(other.filter("cs <> '*'"), F.col("subject") == F.col("cs")).unionByName(docs.join(F.broadcast(anyone), F.lit(True)))
+    met = met.withColumn("score", F.when(F.col("cs") == "*", 25).otherwise(50) + part("kind", "ck", 30) + part("level", "cl", 20))
     best = met.filter(F.col("score").isNotNull()).groupBy("id").agg(F.max_by(F.struct("channel", "score"), F.struct("score", "channel")).alias("b"))
     return best.select("id", "b.channel", "b.score")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import tokens
+from quillon.sources.session import materialize
 
 K1, B = 1.2, 0.75
 
@@ -19,7 +20,7 @@ def hits(docs: DataFrame, prefixes: tuple[str, ...], every: bool = False) -> Dat
     words = tokens(F.coalesce(F.col("text"), F.lit("")))
     count = lambda ws, p: F.size(F.filter(ws, lambda w: w.startswith(p)))
     tf = F.element_at(F.transform(F.array(words), lambda ws: F.struct(F.size(ws).alias("length"), F.array(*[F.struct(F.lit(p).alias("p"), count(ws, p).alias("tf")) for p in prefixes]).alias("tfs"))), 1)
-    counted = docs.select("id", tf.alias("t")).select("id", "t.length", "t.tfs")
+    counted = materialize(docs.select("id", tf.alias("t")).select("id", "t.length", "t.tfs"), "search-counts")
     totals = counted.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("average"))
     found = counted.select("id", "length", F.explode("tfs").alias("x")).select("id", "length", "x.p", "x.tf").filter("tf > 0")
     df = found.groupBy("p").agg(F.count(F.lit(1)).alias("df"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as tx
 from quillon.operators import inspection as ins
 from quillon.plans.texts import SCRIPT_SQL, TOKEN_SQL
-from quillon.sources.session import read_table
+from quillon.sources.session import materialize, read_table
 from quillon.streaming import stateful, windows
 
 QUERIES: dict = {}
@@ -52,7 +52,7 @@ SAT_BEST = best_sql("sat", ins.BM25_LEAST, ins.BM25_BANDS, ins.BM25_FLOOR)
 def base(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     lexicon = spark.createDataFrame(LEXICON, "subject string, term string, weight int")
-    return docs, ins.term_counts(docs, lexicon)
+    return docs, materialize(ins.term_counts(docs, lexicon), "term-counts")
 
 
 @query(f"WITH {LEX_SQL} SELECT * FROM {CAP_BEST}")

@@ -64,7 +64,8 @@ def read_documents(files: DataFrame) -> DataFrame:
                     rows.append((None, f"{type(e).__name__}: {e}"[:200]))
             yield pd.DataFrame(rows, columns=["text", "error"])
 
-    plain = F.decode("content", "UTF-8")
+    # bytes that aren't UTF-8 are read as Latin-1, in which every byte is a character
+    plain = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
     page = F.lower(F.substring(plain, 1, 512)).rlike("<(!doctype html|html|body)")
     zipped = files.filter("kind = 'zip'").select("path", F.lit("docx").alias("kind"), extract("content").alias("x")).select("path", "kind", "x.*")
     none = F.lit(None).cast("string")
