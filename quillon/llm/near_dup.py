@@ -56,7 +56,7 @@ SIGMAS = 6
 #: Bits of the table of shingle counts that orders shingles by rarity.
 SLOT_BITS, SLOT_PART = 20, 1 << 14
 #: Classes of a shingle up to which their pairs are rows; beyond, shingles of a block, rows of a tile, columns at once.
-LISTED, BLOCK_SHINGLES, TILE, COLUMNS = 64, 1_000_000, 256, 16_384
+LISTED, BLOCK_SHINGLES, TILE, COLUMNS = 64, 250_000, 256, 16_384
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 

@@ -628,3 +628,69 @@ def test_pipeline_stages(spark, sf_dir):
     texts = {x["doc_id"]: x["text"] for x in three.collect()}
     assert all(queries.byte_bpe is not None and x["decoded_sha256"] == hashlib.sha256(texts[x["doc_id"]].encode()).hexdigest() and len(x["ids"]) == x["n_tokens"] for x in five)
     assert sum(times.values()) == len(five)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_match_their_sql(spark, sf_dir, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf_dir)
+    want = c.sql(queries.ORACLES[name])
+    columns = sorted(df.columns)
+    assert columns == sorted(want.columns)
+    normal = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert normal(df.select(*columns).collect()) == normal(want.select(*[f'"{x}"' for x in columns]).fetchall())
+
+
+def test_values_of_odd_rows(spark, odd_rows):
+    df = docs_df(spark, odd_rows)
+    texts = [(i, t) for i, t, _ in odd_rows]
+    some = lambda xs: sorted(xs, key=str)
+    # near duplicates: no words, no links; equal texts are one class, a null id takes part
+    near = near_dup.near_duplicates(df).collect()
+    assert some((x["doc_id"], x["n_shingles"]) for x in near) == some((i, len(word_set(t))) for i, t in texts)
+    groups = {x["component_id"] for x in near if x["doc_id"] == 4} | {x["component_id"] for x in near if x["doc_id"] in (8,)}
+    assert groups == {4} and [x["component_id"] for x in near if x["n_shingles"] == 0] == [x["doc_id"] for x in near if x["n_shingles"] == 0]
+    # quality: empty texts are rejected, equal rows have equal verdicts, other columns stay but for names of the output
+    quality_rows = quality.quality_rules(df).collect()
+    assert all(x["base_failed"] and not x["kept"] for x in quality_rows if x["n_words"] < 50)
+    assert len({(x["kept"], x["clean_text"]) for x in quality_rows if x["doc_id"] == 4 and x["source"] == "b"}) == 1
+    assert all(x["size"] == x["h"] == "own" for x in quality_rows) and all(isinstance(x["kept"], bool) for x in quality_rows)
+    # lines: of equal texts the first keeps them
+    kept = line_dedup.line_dedup(df).collect()
+    assert some((x["doc_id"], x["n_lines"]) for x in kept) == some((i, sum(bool(line.strip(" \t\r\x0b\x0c")) for line in (t or "").split("\n"))) for i, t in texts)
+    assert [x["clean_text"] for x in kept if x["n_lines"] == 0] == [t or "" for _, t in texts if not (t or "").split()]
+    # mixing: a null source is a source, empty texts take nothing
+    mixed = mixing.mixture(df).collect()
+    assert some((x["doc_id"], x["size"]) for x in mixed) == some((i, len((t or "").encode().split())) for i, t in texts)
+    assert all(x["taken"] == x["times"] * x["size"] <= 3 * x["size"] for x in mixed)
+    # secrets, surrogates and tokens: null texts count as empty
+    assert all(x["n_layers"] == 0 and not x["base"] for x in secret_scan.scan_secrets(df).collect() if x["doc_id"] in (2, 3))
+    assert some((x["doc_id"], x["text"]) for x in pii.replace_pii(df, b"k").collect() if x["n_entities"] == 0) == some((i, t or "") for i, t in texts if not pii.detect(t or ""))
+    assert all(x["n_tokens"] == 0 for x in bpe.round_trip(df, queries.byte_bpe()).collect() if x["doc_id"] == 2)
+
+
+def test_pivot_index_of_odd_rows(spark):
+    v = [1.0, 0.0, 2.0]
+    rows = [(None, v, "a"), (1, v, "a"), (1, v, "b"), (2, [2.0, 0.0, 4.0], "c"), (3, None, None), (3, [], "x"), (4, [0.0, -0.0, 0.0], "x"), (5, [1.0, float("inf"), 0.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, links string")
+    got = sorted(((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in pivot_index.near_duplicates(df).collect()), key=str)
+    want = [(None, 3, 1, False), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd_rows):
+    import corpus_pipeline as cp
+
+    df = docs_df(spark, odd_rows)
+    for name, stage in cp.STAGES:
+        out = stage(spark, df, "")
+        if name != cp.STAGES[-1][0]:
+            assert out.columns == list(cp.COLUMNS)
+        assert stage(spark, df.limit(0), "").collect() == []
+        out.collect()
+    kept = cp.drop_near_duplicates(spark, df, "").collect()
+    assert sum(x["doc_id"] == 4 for x in kept) == 3 and not any(x["doc_id"] == 8 for x in kept)
