@@ -66,8 +66,9 @@ def drive_id(url: Column) -> Column:
 
 
 def mention_ids(text: Column) -> Column:
-    """Ids of mentions and bare numbers, in order, once each."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("<?@?!?\\b([0-9]+)\\b>?"), F.lit(1)))
+    """The numbers among the words of a text, once the marks of mentions are gone, in order."""
+    bare = F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, "<@|[>!&]", ""))
+    return F.filter(bare, lambda w: w.rlike("^[0-9]+$"))
 
 
 def hex_color(text: Column) -> Column:

@@ -11,7 +11,7 @@ CASES = [
     (misc.url_norm, '<"example.com/a">', "https://example.com/a"), (misc.url_norm, "http://a.b", "http://a.b"),
     (misc.private_host, "192.168.1.4", True), (misc.private_host, "172.32.0.1", False), (misc.private_host, "db.internal", True),
     (misc.drive_id, "https://x/file/d/AbCdEfGhIjK1/view", "AbCdEfGhIjK1"), (misc.drive_id, "https://x/open?id=AbCdEfGhIjK1", "AbCdEfGhIjK1"), (misc.drive_id, "https://x", None),
-    (misc.mention_ids, "<@123456789012345678> and 123456789012345678, 42", ["123456789012345678"]),
+    (misc.mention_ids, "<@!123456789012345678> and 123456789012345678, <@&42> 7 7", ["123456789012345678", "42", "7", "7"]),
     (misc.hex_color, "#0f8", 0x00FF88), (misc.hex_color, "0x10ff00", 0x10FF00), (misc.hex_color, "red", None),
     (misc.slug, " Đề Thi: 12 (A) ", "thi-12-a"), (misc.clean_think, "a<think>b</think>c<think>d", "ac"), (misc.dedup_words, "the the The cat cat sat", "the cat sat"),
     (misc.json_block, 'x ```json\n{"a": [1, 2,],}\n``` y', '{"a": [1, 2]}'), (misc.json_block, "none", None),
@@ -32,3 +32,19 @@ def test_outputs(spark):
 
 def test_nfc(spark):
     assert spark.createDataFrame([("é",), (None,)], "x string").select(tx.nfc("x").alias("y")).collect()[0]["y"] == "é"
+
+
+def test_private_hosts(spark):
+    private = ["localhost", "a.onion", "10.1.2.3", "172.20.0.1", "224.0.0.1", "250.1.1.1", "100.64.0.1", "[::1]", "::1", "[fd00::1]", "fe80::1", "ff02::1", "nas.local", "0.0.0.0"]
+    public = ["example.org", "8.8.8.8", "172.32.0.1", "[2606:4700::1]", "10.example.org", "100.128.0.1"]
+    df = spark.createDataFrame([(h, True) for h in private] + [(h, False) for h in public], "h string, want boolean")
+    assert [r["h"] for r in df.withColumn("y", misc.private_host(F.col("h"))).collect() if r["y"] != r["want"]] == []
+
+
+def test_files_of_any_charset(spark, tmp_path):
+    from quillon.sources import files
+
+    (tmp_path / "a.txt").write_bytes("déjà vu".encode("latin-1"))
+    (tmp_path / "b.txt").write_bytes("déjà vu".encode())
+    got = [r["text"] for r in files.read_documents(files.list_files(spark, str(tmp_path))).collect()]
+    assert got == ["déjà vu"] * 2
