@@ -57,11 +57,11 @@ def url_normal_forms(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("page_id", misc.url_norm(quoted).alias("url"), (host.startswith("m.") | internal).alias("odd_host"))
 
 
-@query("""SELECT conv_id, turn, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-') AS slug, substr(sha256(text), 1, 16) AS hash16,
+@query("""SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug, substr(sha256(text), 1, 16) AS hash16,
   sha256('model::' || role || '::' || text) AS cache_key FROM conversations""")
 def message_keys(spark, sf_dir):
     c = read_table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", misc.slug(F.substring("text", 1, 60)).alias("slug"), F.substring(F.sha2("text", 256), 1, 16).alias("hash16"), F.sha2(F.concat_ws("::", F.lit("model"), "role", "text"), 256).alias("cache_key"))
+    return c.select("conv_id", "turn", misc.slug(F.col("text")).alias("slug"), F.substring(F.sha2("text", 256), 1, 16).alias("hash16"), F.sha2(F.concat_ws("::", F.lit("model"), "role", "text"), 256).alias("cache_key"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, abs(l_extendedprice - (l_extendedprice + CASE WHEN l_partkey % 3 = 0 THEN 0.5 ELSE 0 END)) <= greatest(abs(l_extendedprice), 1) * 1e-6::DOUBLE AS passed FROM lineitem""")
