@@ -68,13 +68,20 @@ def line_metrics(text: Column) -> dict[str, Column]:
     return {"n_lines": F.size(lines), "n_blank": blank, "n_comment": comment, "comment_ratio": F.when(solid > 0, comment / solid).otherwise(0.0)}
 
 
+@F.pandas_udf(T.DoubleType())
+def _entropy(s: pd.Series) -> pd.Series:
+    def of(text: str) -> float:
+        n = np.unique(np.frombuffer(text.encode("utf-32-le"), "<u4"), return_counts=True)[1]
+        # H = log2 N - (sum n log2 n) / N
+        return float(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum())
+
+    return s.map(of)
+
+
 def char_entropy(docs: DataFrame, key: str, text: str, places: int = 3) -> DataFrame:
-    """(key, entropy): Shannon entropy of a text's characters in bits. Characters are counted within tasks first."""
-    chars = docs.select(key, F.explode(F.split(F.col(text), "")).alias("c")).filter("c <> ''")
-    counts = chars.groupBy(key, "c").agg(F.count(F.lit(1)).alias("n"))
-    # H = log2 N - (sum n log2 n) / N
-    sums = counts.groupBy(key).agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return sums.select(key, F.round(F.log2("total") - F.col("s") / F.col("total"), places).alias("entropy"))
+    """(key, entropy): Shannon entropy of a text's characters in bits; texts without characters give no row. Characters
+    are counted within the row, so nothing is shuffled."""
+    return docs.filter(F.length(text) > 0).select(key, F.round(_entropy(text), places).alias("entropy"))
 
 
 #: Character classes of the script profile (fixed values).
@@ -99,10 +106,9 @@ def script_language(n: dict[str, Column]) -> Column:
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
-    """1 - distance / longer length, over the first 4096 characters; two empty texts are alike."""
-    x, y = F.substring(a, 1, 4096), F.substring(b, 1, 4096)
-    longer = F.greatest(F.length(x), F.length(y))
-    return F.when(longer == 0, 1.0).otherwise(1.0 - F.levenshtein(x, y) / longer)
+    """1 - distance / longer length; two empty texts are alike."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(longer == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longer)
 
 
 def magic_type(data: Column) -> Column:

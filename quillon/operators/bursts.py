@@ -10,10 +10,22 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+#: Windows in a cell of time.
+CELL = 64
+
+
+def cell_of(at: Column, seconds: int) -> Column:
+    return F.floor(at / (seconds * 1_000_000 * CELL))
+
+
 def sliding_count(events: DataFrame, keys: list[str], ts: str, seconds: int, name: str = "in_window") -> DataFrame:
-    """events with the number of events of the same keys in the last ``seconds``, both ends included."""
-    w = Window.partitionBy(*keys).orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn(name, F.count(F.lit(1)).over(w))
+    """events with the number of events of the same keys in the last ``seconds``, both ends included. Time is cut into
+    cells of many windows, and events of a cell's last window go to the next cell too, so that a hot key is many groups."""
+    width, at = seconds * 1_000_000, micros(ts)
+    own = cell_of(at, seconds)
+    rows = events.withColumn("_cell", F.explode(F.array_distinct(F.array(own, cell_of(at + width, seconds)))))
+    w = Window.partitionBy(*keys, "_cell").orderBy(at).rangeBetween(-width, 0)
+    return rows.withColumn(name, F.count(F.lit(1)).over(w)).filter(F.col("_cell").eqNullSafe(own)).drop("_cell")
 
 
 def floods(events: DataFrame, keys: list[str], ts: str, seconds: int, threshold: int) -> DataFrame:
@@ -23,12 +35,19 @@ def floods(events: DataFrame, keys: list[str], ts: str, seconds: int, threshold:
 
 def raid_islands(events: DataFrame, scope: str, ts: str, seconds: int, threshold: int) -> DataFrame:
     """(scope, raid, started, ended, members, peak): runs of events at or over the threshold; a gap of more than the
-    window ends a raid."""
-    hot = floods(events, [scope], ts, seconds, threshold).withColumn("at", micros(ts))
-    line = Window.partitionBy(scope).orderBy("at", "event_id")
-    new = F.when(F.col("at") - F.lag("at").over(line) <= seconds * 1_000_000, 0).otherwise(1)
-    numbered = hot.withColumn("new", new).withColumn("raid", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(scope, "raid").agg(
+    window ends a raid. Runs are found within cells of time and then strung together: what meets by scope alone is one
+    row a run, however many events it has."""
+    width = seconds * 1_000_000
+    hot = floods(events, [scope], ts, seconds, threshold).withColumn("at", micros(ts)).withColumn("cell", cell_of(F.col("at"), seconds))
+    line = Window.partitionBy(scope, "cell").orderBy("at", "event_id")
+    new = F.when(F.col("at") - F.lag("at").over(line) <= width, 0).otherwise(1)
+    runs = hot.withColumn("new", new).withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy(F.col(scope).alias("s"), F.col("cell").alias("c"), F.col("run").alias("r")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    order = Window.partitionBy("s").orderBy("first")
+    apart = F.when(F.col("first") - F.lag("last").over(order) <= width, 0).otherwise(1)
+    strung = spans.withColumn("apart", apart).withColumn("raid", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    same = F.col(scope).eqNullSafe(F.col("s")) & F.col("cell").eqNullSafe(F.col("c")) & (F.col("run") == F.col("r"))
+    return runs.join(strung.select("s", "c", "r", "raid"), same).groupBy(scope, "raid").agg(
         F.min(ts).alias("started"), F.max(ts).alias("ended"), F.countDistinct("user_id").alias("members"), F.max("in_window").alias("peak")
     )
 

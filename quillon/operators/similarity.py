@@ -61,11 +61,16 @@ def gram_similarity(items: DataFrame, docs: DataFrame, least: float) -> DataFram
     return scored.filter(F.col("containment") >= least)
 
 
-def similar_names(rows: DataFrame, block: list[str], least: float) -> DataFrame:
-    """(a, b, similarity) of different names (id, name) that share a block and are similar by edit distance."""
+def similar_names(rows: DataFrame, block: list[str], least: float, prefix: int | None = None) -> DataFrame:
+    """(a, b, similarity) of different names (id, name) that share a block and are similar by edit distance. Names whose
+    lengths alone forbid it are not compared. ``prefix`` compares that many characters at most; without it whole names."""
     from quillon.functions.text import levenshtein_similarity
 
-    x = rows.select(*block, F.col("id").alias("a"), F.col("name").alias("na"))
-    y = rows.select(*block, F.col("id").alias("b"), F.col("name").alias("nb"))
-    met = x.join(y, block).filter("a < b").withColumn("similarity", F.round(levenshtein_similarity(F.col("na"), F.col("nb")), 6))
+    name = F.substring("name", 1, prefix) if prefix else F.col("name")
+    x = rows.select(*block, F.col("id").alias("a"), name.alias("na"))
+    y = rows.select(*block, F.col("id").alias("b"), name.alias("nb"))
+    short, long = F.least(F.length("na"), F.length("nb")), F.greatest(F.length("na"), F.length("nb"))
+    # the distance is the difference of the lengths at least; a little less, so that rounding loses none
+    near = F.col("a") < F.col("b"), short >= long * (least - 1e-6)
+    met = x.join(y, block).filter(near[0] & near[1]).withColumn("similarity", F.round(levenshtein_similarity(F.col("na"), F.col("nb")), 6))
     return met.filter(F.col("similarity") >= least).select("a", "b", "similarity")

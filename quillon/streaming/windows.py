@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.sources.session import shared_folder
 
@@ -49,4 +50,30 @@ def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataF
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     paths = [f"{base}/out/batch={n}" for n in (done[-1:] if mode == "complete" else sorted(set(done)))]
-    return spark.read.schema(stream.schema).parquet(*paths)
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
+
+
+def poll_new(stream: DataFrame, key: str, order: tuple[str, ...], name: str) -> DataFrame:
+    """The rows of a stream whose key no earlier batch has brought, of each key the first in order. A batch looks up the
+    keys of the batches before it and overwrites its own folder, so one that is run again adds nothing."""
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    stored = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+
+    def write(batch: DataFrame, number: int) -> None:
+        first = batch.groupBy(key).agg(F.min_by(F.struct(*batch.columns), F.struct(*order)).alias("x")).select("x.*")
+        if number:
+            known = spark.read.schema(stored).parquet(f"{base}/out").filter(F.col("batch") < number)
+            first = first.join(known.select(F.col(key).alias("known")), F.col(key).eqNullSafe(F.col("known")), "left_anti")
+        first.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    empty = spark.createDataFrame([], stream.schema)
+    empty.write.parquet(f"{base}/out/batch=-1")
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stored).parquet(f"{base}/out").drop("batch")
+
+
+def without_deleted(archive: DataFrame, deletions: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows of an archive that no event of the stream of deletions (key) has named."""
+    gone = poll_new(deletions, key, (key,), name).select(F.col(key).alias("gone"))
+    return archive.join(gone, F.col(key) == F.col("gone"), "left_anti")
