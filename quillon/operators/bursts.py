@@ -88,8 +88,9 @@ def admitted(events: DataFrame, key: str, ts: str, limit: int, seconds: int) ->
     return events.groupBy(key).agg(line.alias("l")).select(key, F.explode(F.aggregate("l", zero, step)["ids"]).alias("event_id"))
 
 
-def hostility(messages: DataFrame, triggers: tuple[str, ...], patterns: tuple[str, ...], pronouns: str, laughter: tuple[str, ...], last: int = 8, least: int = 60) -> DataFrame:
-    """(channel, seq, score, users, fires): at each message a score folded over the last messages of its channel.
+def hostility(messages: DataFrame, triggers: tuple[str, ...], patterns: tuple[str, ...], pronouns: str, laughter: tuple[str, ...], last: int = 8, least: int = 60, seconds: int | None = None) -> DataFrame:
+    """(channel, seq, ts, score, users, fires): at each message a score folded over the last messages of its channel, those
+    of the last ``seconds`` where given.
 
     A trigger adds 40, a pattern 35, a pronoun 15; then laughter takes 25 away, down to 0 at least, message by
     message. It fires at ``least`` if two users or more take part.
@@ -100,11 +101,19 @@ def hostility(messages: DataFrame, triggers: tuple[str, ...], patterns: tuple[st
     laughs = F.lit(False)
     for x in laughter:
         laughs = laughs | low.contains(x)
-    marked = messages.select("channel", "seq", "user", F.struct(plus.alias("plus"), laughs.alias("laughs"), F.col("user").alias("user")).alias("m"))
+    marked = messages.select("channel", "seq", "ts", F.struct(plus.alias("plus"), laughs.alias("laughs"), F.col("user").alias("user"), micros("ts").alias("at")).alias("m"))
     line = Window.partitionBy("channel").orderBy("seq").rowsBetween(-(last - 1), 0)
     recent = marked.withColumn("ms", F.collect_list("m").over(line))
+    if seconds is not None:
+        recent = recent.withColumn("ms", F.filter("ms", lambda m: F.col("m.at") - m["at"] <= seconds * 1_000_000))
     step = lambda s, m: F.when(m["laughs"], F.greatest(F.lit(0), s + m["plus"] - 25)).otherwise(s + m["plus"])
     score = F.aggregate("ms", F.lit(0), step)
     users = F.size(F.array_distinct(F.transform("ms", lambda m: m["user"])))
-    scored = recent.select("channel", "seq", F.when(users >= 2, score).otherwise(0).alias("score"), users.alias("users"))
+    scored = recent.select("channel", "seq", "ts", F.when(users >= 2, score).otherwise(0).alias("score"), users.alias("users"))
     return scored.withColumn("fires", (F.col("score") >= least) & (F.col("users") >= 2))
+
+
+def alerts(scored: DataFrame, cooldown: int) -> DataFrame:
+    """(channel, seq) of the scored messages that fire, none within ``cooldown`` seconds of the alert before."""
+    fires = scored.filter("fires").select("channel", "ts", F.col("seq").alias("event_id"))
+    return dedup_ttl(fires, ["channel"], "ts", cooldown).withColumnRenamed("event_id", "seq")

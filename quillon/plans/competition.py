@@ -90,12 +90,24 @@ def contest_seed(spark, sf_dir):
     return contests.seeds(participants(spark, sf_dir)).select("contest", "user", "rating", "rank", F.round("seed", 6).alias("seed"))
 
 
-@query()
+#: Fifty halvings of the range of ratings for each participant, against all others of the contest.
+PERFORMANCE_SQL = f"""WITH RECURSIVE {PARTICIPANTS}, sized AS (SELECT *, count(*) OVER (PARTITION BY contest) AS n FROM par),
+hist AS (SELECT contest, rating AS o, count(*) AS m FROM par GROUP BY 1, 2),
+goals AS (SELECT s.contest, s."user", s.rating, s.rank, s.n, sqrt(s.rank * (0.5 + sum(m / (1.0::DOUBLE + pow(10.0::DOUBLE, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, (s.rating - o) / 400.0::DOUBLE))))))) AS goal FROM sized s JOIN hist h ON s.contest = h.contest GROUP BY 1, 2, 3, 4, 5),
+halved AS (SELECT contest, "user", rating, goal, 0.0::DOUBLE AS low, 4500.0::DOUBLE AS high, 0 AS i FROM goals WHERE n > 1
+UNION ALL SELECT contest, "user", rating, goal, CASE WHEN up THEN (low + high) / 2 ELSE low END, CASE WHEN up THEN high ELSE (low + high) / 2 END, i + 1 FROM
+  (SELECT b.contest, b."user", b.rating, b.goal, b.low, b.high, b.i, 1.0 - 1.0::DOUBLE / (1.0 + pow(10.0::DOUBLE, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, ((b.low + b.high) / 2 - b.rating) / 400.0::DOUBLE))))
+    + sum(m / (1.0::DOUBLE + pow(10.0::DOUBLE, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, ((b.low + b.high) / 2 - o) / 400.0::DOUBLE))))) > b.goal AS up FROM halved b JOIN hist h ON b.contest = h.contest WHERE b.i < 50 GROUP BY 1, 2, 3, 4, 5, 6, 7)),
+perf AS (SELECT g.contest, g."user", g.rating, g.rank, CASE WHEN g.n = 1 THEN g.rating::DOUBLE ELSE round((low + high) / 2, 1) END AS performance FROM goals g LEFT JOIN halved b ON g.contest = b.contest AND g."user" = b."user" AND b.i = 50)"""
+
+
+@query(PERFORMANCE_SQL + """ SELECT contest, "user", rating, rank, performance FROM perf""")
 def contest_performance(spark, sf_dir):
     return contests.performances(participants(spark, sf_dir))
 
 
-@query()
+@query(PERFORMANCE_SQL + """, s AS (SELECT contest, -sum(((performance - rating) * 0.5)::DECIMAL(18, 4))::DOUBLE / count(*) - 1.0::DOUBLE AS shift FROM perf GROUP BY 1),
+d AS (SELECT perf.*, round_even((performance - rating) * 0.5 + shift, 0)::BIGINT AS delta FROM perf JOIN s USING (contest)) SELECT *, greatest(0, rating + delta) AS new_rating FROM d""")
 def contest_batch(spark, sf_dir):
     return contests.contest_changes(contests.performances(participants(spark, sf_dir)))
 
@@ -116,7 +128,14 @@ def duel_delta(spark, sf_dir):
     return attempts(spark, sf_dir).select("o_orderkey", won.alias("winner_delta"), lost.alias("loser_delta"))
 
 
-@query()
+NOW_SQL = {k: v.replace("greatest(800, p) - u", "greatest(800, p) - now").replace("u < 1200", "now < 1200").replace("u < 2000", "now < 2000") for k, v in SQL_FUNCTIONS.items()}
+
+
+@query("""WITH RECURSIVE {a}, line AS (SELECT o_custkey AS "user", p, mode1 AS accepted, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM att),
+f AS (SELECT DISTINCT "user", 0::BIGINT AS i, n, 1200::BIGINT AS now, 1200::BIGINT AS peak FROM line
+UNION ALL SELECT "user", i + 1, n, moved, greatest(peak, moved) FROM (SELECT f."user", f.i, f.n, f.peak, greatest(0, now + CASE WHEN accepted THEN greatest(1, round_even({k} * (1.0 - {prob}), 0)) ELSE -greatest(5, round_even({pen}, 0)) END)::BIGINT AS moved
+  FROM f JOIN line l ON l."user" = f."user" AND l.i = f.i + 1))
+SELECT "user", n AS n_attempts, now AS final_rating, peak AS peak_rating FROM f WHERE i = n""".format(a=ATTEMPTS, **NOW_SQL))
 def rating_fold(spark, sf_dir):
     return contests.rating_fold(attempts(spark, sf_dir).select(F.col("o_custkey").alias("user"), F.col("o_orderkey").alias("seq"), F.col("p").alias("problem"), F.col("mode1").alias("accepted")))
 
@@ -170,15 +189,42 @@ def dedup_ttl(spark, sf_dir):
     return bursts.dedup_ttl(events(spark, sf_dir), ["user_id", "event_type"], "ts", 48 * 3600)
 
 
-@query()
+@query("""WITH RECURSIVE line AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::BIGINT AS c, false AS ok FROM line WHERE i = 1
+UNION ALL SELECT user_id, i, event_id, CASE WHEN ok THEN us ELSE a END, CASE WHEN ok THEN a ELSE b END, CASE WHEN ok THEN b ELSE c END, ok FROM
+  (SELECT l.user_id, l.i, l.event_id, l.us, f.a, f.b, f.c, f.c IS NULL OR l.us - f.c >= 86400000000 AS ok FROM f JOIN line l ON l.user_id IS NOT DISTINCT FROM f.user_id AND l.i = f.i + 1))
+SELECT user_id, event_id FROM f WHERE ok""")
 def rate_limit_admit(spark, sf_dir):
     return bursts.admitted(events(spark, sf_dir), "user_id", "ts", 3, 24 * 3600)
 
 
-LEXICON = {"triggers": ("idiot", "moron", "pathetic"), "patterns": ("worth(less|y)", "scum"), "pronouns": r"\b(you|der|la|de)\b", "laughter": ("haha", "lol")}
+#: Words of the test corpus stand for words of quarrels.
+LEXICON = {"triggers": ("que la", "éaile", "letre"), "patterns": ("eaux(pa|le)", "tionr"), "pronouns": r"(^|[^\p{L}])(der|la|de)([^\p{L}]|$)", "laughter": ("anan", "lele")}
+
+
+def messages(spark, sf_dir):
+    """Turns of conversations, one every twelve seconds."""
+    c = read_table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("channel"), F.col("turn").alias("seq"), F.col("role").alias("user"), "text", F.timestamp_seconds(F.col("turn") * 12).alias("ts"))
 
 
-@query()
+PLUS_SQL = " + ".join([f"contains(t, '{x}')::INTEGER * 40" for x in LEXICON["triggers"]] + [f"regexp_matches(t, '{x}')::INTEGER * 35" for x in LEXICON["patterns"]] + [f"regexp_matches(t, '{LEXICON['pronouns']}')::INTEGER * 15"])
+#: A message is one number, twice its points and one for laughter, so that a list of them can be folded.
+HOSTILE_SQL = f"""l AS (SELECT conv_id AS channel, turn AS seq, role AS "user", lower(text) AS t, turn * 12 AS sec FROM conversations),
+m AS (SELECT *, 2 * ({PLUS_SQL}) + ({" OR ".join(f"contains(t, '{x}')" for x in LEXICON["laughter"])})::INTEGER AS x FROM l)"""
+FOLD_SQL = "list_reduce(list_prepend(0, xs), lambda s, x: CASE WHEN x % 2 = 1 THEN greatest(0, s + x // 2 - 25) ELSE s + x // 2 END)"
+
+
+@query(f"""WITH {HOSTILE_SQL}, w AS (SELECT channel, seq, list(x) OVER r AS xs, len(list_distinct(list("user") OVER r)) AS users FROM m WINDOW r AS (PARTITION BY channel ORDER BY seq ROWS 7 PRECEDING)),
+s AS (SELECT channel, seq, users, CASE WHEN users >= 2 THEN {FOLD_SQL} ELSE 0 END AS score FROM w) SELECT channel, seq, score, users, score >= 60 AND users >= 2 AS fires FROM s""")
 def conversation_score(spark, sf_dir):
-    messages = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("channel"), F.col("turn").alias("seq"), F.col("role").alias("user"), "text")
-    return bursts.hostility(messages, **LEXICON)
+    return bursts.hostility(messages(spark, sf_dir), **LEXICON).drop("ts")
+
+
+@query(f"""WITH RECURSIVE {HOSTILE_SQL}, w AS (SELECT a.channel, a.seq, a.sec, list(b.x ORDER BY b.seq) AS xs, count(DISTINCT b."user") AS users FROM m a JOIN m b ON a.channel = b.channel AND b.seq BETWEEN a.seq - 7 AND a.seq AND a.sec - b.sec <= 60 GROUP BY 1, 2, 3),
+s AS (SELECT channel, seq, sec FROM w WHERE users >= 2 AND {FOLD_SQL} >= 30),
+f AS (SELECT channel, min(seq) AS seq, min(sec) AS sec FROM s GROUP BY 1 UNION ALL SELECT f.channel, n.seq, n.sec FROM f, LATERAL (SELECT seq, sec FROM s WHERE s.channel = f.channel AND s.sec >= f.sec + 20 ORDER BY sec LIMIT 1) n)
+SELECT channel, seq FROM f""")
+def conversation_alerts(spark, sf_dir):
+    """Quarrels among the turns of a minute, one alert in twenty seconds at most."""
+    return bursts.alerts(bursts.hostility(messages(spark, sf_dir), **LEXICON, least=30, seconds=60), 20)

@@ -186,7 +186,9 @@ def stream_floods(spark, sf_dir):
     return windows.run_available(stateful.floods(stream, "user_id", 4 * 3600, 3), "floods", "append")
 
 
-@query()
+@query("""WITH x AS (SELECT event_id, event_type, ts, row_number() OVER o AS i, CASE WHEN ts - lag(ts) OVER o <= INTERVAL 3600 SECONDS THEN 0 ELSE 1 END AS new, coalesce(ts - lag(ts, 2) OVER o <= INTERVAL 600 SECONDS, false) AS hot FROM events WINDOW o AS (PARTITION BY event_type ORDER BY ts, event_id)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY i) AS island FROM x), h AS (SELECT *, sum(hot::INTEGER) OVER (PARTITION BY event_type, island ORDER BY i) AS seen FROM g)
+SELECT event_type, event_id, hot AND seen = 1 AS started FROM h WHERE seen > 0""")
 def stream_raids(spark, sf_dir):
     """Raids by event type with a latch of an hour."""
     stream = windows.read_stream(spark, f"{sf_dir}/event[s].parquet", read_table(spark, sf_dir, "events"))

@@ -92,9 +92,13 @@ def test_admission_and_ttl(spark, sf_dir):
 
 def test_hostility_folds_in_order(spark):
     rows = [("c", 1, "x", "you idiot"), ("c", 2, "y", "haha"), ("c", 3, "y", "moron, worthless"), ("c", 4, "x", "ok"), ("d", 1, "x", "idiot moron pathetic")]
-    df = spark.createDataFrame(rows, "channel string, seq int, user string, text string")
+    df = spark.createDataFrame(rows, "channel string, seq int, user string, text string").withColumn("ts", F.timestamp_seconds(F.col("seq") * 15))
     got = {(r["channel"], r["seq"]): (r["score"], r["fires"]) for r in bursts.hostility(df, ("idiot", "moron", "pathetic"), ("worth(less|y)",), r"\b(you)\b", ("haha",)).collect()}
     assert got == {("c", 1): (0, False), ("c", 2): (30, False), ("c", 3): (105, True), ("c", 4): (105, True), ("d", 1): (0, False)}
+    # the first message is 30 seconds old at the third
+    near = bursts.hostility(df, ("idiot", "moron", "pathetic"), ("worth(less|y)",), r"\b(you)\b", ("haha",), least=50, seconds=20)
+    assert {(r["channel"], r["seq"]): r["score"] for r in near.collect()} == {("c", 1): 0, ("c", 2): 30, ("c", 3): 0, ("c", 4): 75, ("d", 1): 0}
+    assert [tuple(r) for r in bursts.alerts(near.withColumn("fires", F.col("score") >= 30), 20).orderBy("seq").collect()] == [("c", 2), ("c", 4)]
 
 
 def test_standing_shares_ties(spark):
