@@ -172,3 +172,34 @@ def simhash(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
     word = re.compile(r"[^\W]+")
     for x in s:
         yield x.map(lambda t: 0 if not t or len(t) < 10 else simhash64(w if len(w := word.findall(t.lower())) >= 3 else [t[i : i + 4] for i in range(len(t) - 3)]))
+
+
+# Letters of a legacy Vietnamese charset (TCVN3), each before its letter in Unicode; those that mark a text as
+# legacy; signs of a symbol font's private area, each before its sign.
+LEGACY_LETTERS = (
+    "¡Ă ¢Â £Ê ¤Ô ¥Ơ ¦Ư §Đ ¨ă ©â ªê «ô ¬ơ \xadư ®đ µà ¶ả ·ã ¸á ¹ạ »ằ ¼ẳ ½ẵ ¾ắ Æặ Çầ Èẩ Éẫ Êấ Ëậ Ìè Îẻ Ïẽ Ðé Ñẹ Òề Óể Ôễ Õế Öệ "
+    "×ì Øỉ Üĩ Ýí Þị ßò áỏ âõ ãó äọ åồ æổ çỗ èố éộ êờ ëở ìỡ íớ îợ ïù ñủ òũ óú ôụ õừ öử ÷ữ øứ ùự úỳ ûỷ üỹ ýý þỵ"
+).split(" ")
+LEGACY_MARKS = "¸µ¶·¹ª«¬®¾»¼½ÆÇÈÉËÌÎÏÐÑÒÓÕÖ×ØÜÞßäåæçëìîïñö÷øþ\xad"
+SYMBOLS = (
+    "\uf02b+ \uf02d- \uf03d= \uf0b1± \uf0b4× \uf0b8÷ \uf0d6√ \uf0a5∞ \uf0a3≤ \uf0b3≥ \uf0b9≠ \uf0bb≈ \uf0ae→ \uf0ac← \uf0ab↔ \uf0db⇔ \uf0de⇒ \uf0dc⇐ \uf0ce∈ \uf0cf∉ \uf0cc⊂ \uf0cd⊆ \uf0c7∩ "
+    "\uf0c8∪ \uf0c6∅ \uf022∀ \uf024∃ \uf044Δ \uf057Ω \uf070π \uf061α \uf062β \uf067γ \uf064δ \uf065ε \uf06cλ \uf06dμ \uf072ρ \uf073σ \uf074τ \uf066φ \uf077ω \uf0b0° \uf0d0∠ \uf05e⊥ \uf0b7•"
+).split(" ")
+# a blank of the symbol font, and two marks of no width that go
+SYMBOL_FROM = "\uf020" + "".join(x[0] for x in SYMBOLS) + "\u200b\ufeff"
+SYMBOL_TO = " " + "".join(x[1] for x in SYMBOLS)
+
+
+def is_legacy(text: Column) -> Column:
+    """Twelve or more letters that mark the legacy charset, and few that only Unicode has."""
+    marks = F.regexp_count(text, F.lit(f"[{LEGACY_MARKS}]"))
+    return (marks >= 12) & (F.regexp_count(text, F.lit("[\u1ea0-\u1ef9]")) < marks * 0.25)
+
+
+def exam_text(text: Column) -> Column:
+    """An exam's text with legacy letters and symbols as Unicode in NFC, and no blanks before line ends; two empty lines in a
+    row become one. Null becomes empty."""
+    text = F.coalesce(text, F.lit(""))
+    read = F.when(is_legacy(text), F.translate(text, "".join(x[0] for x in LEGACY_LETTERS), "".join(x[1] for x in LEGACY_LETTERS))).otherwise(text)
+    plain = nfc(F.translate(read, SYMBOL_FROM, SYMBOL_TO))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "\r\n?", "\n"), "[ \t]+\n", "\n"), "\n{3,}", "\n\n")
