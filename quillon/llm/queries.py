@@ -11,7 +11,22 @@ import secrets
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, line_dedup, lm_score, mixing, near_dup, pii, pivot_index, quality, secret_scan, token_counts
+from quillon.llm import (
+    bpe,
+    filter_audit,
+    license_scan,
+    line_dedup,
+    lm_score,
+    mixing,
+    near_dup,
+    periodic_runs,
+    pii,
+    pivot_index,
+    quality,
+    secret_scan,
+    token_counts,
+)
+from quillon.llm.common import bind, text_of
 from quillon.sources.session import materialize, read_table
 
 
@@ -135,6 +150,78 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(docs).select("doc_id", "size", "source_size", "target", "taken", "times", "shards")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in every tenth document, by the checksum of its id, the words from a certain one on repeat with a
+    certain period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(w: Column) -> Column:
+        n = F.size(w)
+        a = F.pmod(g, n).cast("int")
+        p = (F.floor((n - a) / (g % 8 + 3)) + 1).cast("int")
+        times = F.ceil((n - a) / p).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(w, a + 1, p), times))
+        return F.array_join(F.when(n > 0, F.concat(F.slice(w, F.lit(1), a), F.slice(tail, F.lit(1), n - a))), " ")
+
+    new = bind(quality.words_of(text_of()), planted)
+    return docs.select("doc_id", F.when(h % 10 == 0, new).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(read_table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("best.length * 1000 div -best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+    starts = F.transform("base", lambda b: b["start"])
+    labels = lambda spans: F.transform(spans, lambda s: s["label"])
+    listed = lambda names: F.array_join(F.sort_array(F.array_distinct(names)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        listed(labels("base")).alias("base_labels"), listed(F.concat(labels("base"), labels("hits"))).alias("labels"), "score",
+        F.size("hits").cast("long").alias("n_hits"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, len(w) < {filter_audit.MIN_WORDS} AS fa, 100 * len(list_distinct(w)) < {filter_audit.MIN_DISTINCT} * len(w) AS fb,
+  100 * len(regexp_extract_all(x, '[A-Z]')) > {filter_audit.MAX_UPPER} * length(x) AS fc, regexp_matches(x, '{filter_audit.SIGNS}') AS fd,
+  coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false) AS fe FROM t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, fa::INT + 2 * fb::INT + 4 * fc::INT + 8 * fd::INT + 16 * fe::INT AS mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+e AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(c, b)),
+o AS (SELECT e1.c || e2.c || e3.c || e4.c || e5.c AS filter_order, [e1.b, e2.b, e3.b, e4.b, e5.b] AS bits FROM e e1, e e2, e e3, e e4, e e5
+  WHERE e1.b | e2.b | e3.b | e4.b | e5.b = 31),
+s AS (SELECT filter_order, step, filter_order[step] AS filter, bits[step] AS b, list_sum(bits[1:step - 1])::INT AS before
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+s0 AS (SELECT filter_order, step, filter, b, coalesce(before, 0) AS before FROM s),
+r AS (SELECT part, filter_order, step, filter,
+  coalesce(sum(n) FILTER (mask & (b | before) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & b > 0 AND mask & before = 0), 0) AS removed,
+  coalesce(sum(n) FILTER (mask & b > 0 AND mask & before > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = b), 0) AS unique_fails,
+  coalesce(sum(g) FILTER (mask & b > 0 AND mask & before = 0), 0) AS good_lost, coalesce(sum(x) FILTER (mask & b > 0 AND mask & before = 0), 0) AS toxic_lost
+  FROM m, s0 GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, filter, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r
+"""
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -146,9 +233,13 @@ QUERIES = {
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op10_source_mixing": op10_source_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_license_scan": op12_license_scan,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLES = {
     "op6_token_rollups": OP6_SQL,
     "op2_line_dedup": OP2_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
