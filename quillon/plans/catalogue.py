@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.plans import audits, competition, exams, inspecting, relational, rules, small, structure, texts
+from quillon.plans import audits, competition, exams, inspecting, phrasing, relational, rules, small, structure, texts
 
-_PACKS = (relational, competition, texts, inspecting, small, rules, structure, audits, exams)
+_PACKS = (relational, competition, texts, inspecting, small, rules, structure, audits, exams, phrasing)
 QUERIES: dict = {k: v for p in _PACKS for k, v in p.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for p in _PACKS for k, v in p.ORACLE_SQL.items()}
