@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillon.operators import phrases
+from quillon.operators import phrases, ratios
 from quillon.sources.session import materialize, read_table
 
 QUERIES: dict = {}
@@ -99,3 +100,14 @@ def grade_fingerprint(spark, sf_dir):
     d = docs(spark, sf_dir)
     hits = phrases.phrase_hits(d, [p for _, p in FINGERPRINTS] + [p for _, p, _ in SIGNS])
     return phrases.grade_of(hits, d, FINGERPRINTS, SIGNS)
+
+
+def near_turns(spark, sf_dir):
+    """Turns of conversations that are much like the turn before them, by matching blocks. SQL has no such function; it is tested
+    against difflib."""
+    line = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lag("text").over(line).alias("before")).filter("before IS NOT NULL")
+    return ratios.near_texts(pairs, "before", "text", 0.3).select("conv_id", "turn", "ratio")
+
+
+QUERIES["near_turns"] = near_turns
