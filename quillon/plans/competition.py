@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import rating
-from quillon.operators import bursts, contests, ranking
+from quillon.operators import bursts, contests, ranking, streaks
 from quillon.sources.session import read_table
 
 QUERIES: dict = {}
@@ -228,3 +228,24 @@ SELECT channel, seq FROM f""")
 def conversation_alerts(spark, sf_dir):
     """Quarrels among the turns of a minute, one alert in twenty seconds at most."""
     return bursts.alerts(bursts.hostility(messages(spark, sf_dir), **LEXICON, least=30, seconds=60), 20)
+
+
+#: Matches: nine players, of whom the first one seldom loses.
+MATCH_SQL = """SELECT o_orderkey AS match_id, o_orderdate AS ts, CASE WHEN o_orderkey % 53 = 0 THEN greatest(a, b) ELSE least(a, b) END AS winner, CASE WHEN o_orderkey % 53 = 0 THEN least(a, b) ELSE greatest(a, b) END AS loser,
+  CAST((o_orderkey * 37 % 1000) / 10.0 AS DOUBLE) AS start_prob, CAST((o_orderkey * 91 % 400) / 10.0 AS DOUBLE) AS min_prob, CAST(100 - (o_custkey * 13 % 400) / 10.0 AS DOUBLE) AS loser_max_prob, o_orderkey % 5 = 0 AS loser_led
+  FROM (SELECT *, o_custkey % 9 AS a, (o_custkey % 9 + 1 + o_orderkey % 8) % 9 AS b FROM orders)"""
+
+
+@query(f"""WITH m AS ({MATCH_SQL}), e AS (SELECT m.*, winner AS player, true AS won FROM m UNION ALL SELECT m.*, loser, false FROM m),
+f AS (SELECT *, (NOT won)::INTEGER AS lost, (NOT won OR NOT start_prob > 80)::INTEGER AS close, (NOT won AND (loser_max_prob >= 85 OR loser_led) AND min_prob <= 10)::INTEGER AS fell FROM e),
+g AS (SELECT *, sum(lost) OVER w AS gl, sum(close) OVER w AS gc, sum(won::INTEGER) OVER w AS gw FROM f WINDOW w AS (PARTITION BY player ORDER BY ts, match_id)),
+c AS (SELECT *, sum(won::INTEGER) OVER l AS streak, sum((won AND start_prob < 15)::INTEGER) OVER l AS fortune, sum((won AND min_prob <= 10 AND min_prob >= 5)::INTEGER) OVER l AS clutch,
+  sum((won AND start_prob > 80)::INTEGER) OVER (PARTITION BY player, gc ORDER BY ts, match_id) AS outclassed, sum(fell) OVER (PARTITION BY player, gw ORDER BY ts, match_id) AS falls FROM g WINDOW l AS (PARTITION BY player, gl ORDER BY ts, match_id))
+SELECT match_id, player, won, streak::BIGINT AS streak, fortune::BIGINT AS fortune, outclassed::BIGINT AS outclassed, clutch::BIGINT AS clutch, NOT won AND falls > 0 AS doomed,
+  CASE WHEN NOT won THEN CASE WHEN falls > 0 THEN 'DOOMED' END WHEN streak >= 50 THEN 'OVERLORD' WHEN fortune >= 20 THEN 'GODLY_LUCK' WHEN min_prob < 5 OR (min_prob <= 10 AND clutch >= 10) THEN 'CLUTCHMASTER'
+  WHEN outclassed >= 10 THEN 'OUTCLASSED' WHEN fortune >= 10 THEN 'FORTUNE' END AS role FROM c""")
+def match_achievements(spark, sf_dir):
+    """What each match leaves its players with: streaks, comebacks and the roles that they unlock. Some players are in a large part
+    of all matches; their matches are counted by stretches of time."""
+    read_table(spark, sf_dir, "orders").createOrReplaceTempView("match_orders")
+    return streaks.achievements(spark.sql(MATCH_SQL.replace("FROM orders)", "FROM match_orders)")))
