@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,44 +37,60 @@ def sessions(events: DataFrame, gap: str, late: str = "1 day") -> DataFrame:
     return runs.select("user_id", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "n")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now into Parquet in the shared folder, one folder a batch, and read the last
-    complete result. A batch that is run again overwrites its folder, so results are exact after a restart."""
+def stream_folder(spark: SparkSession, name: str, folder: str | None) -> str:
+    """The folder of a stream's state and results. Given again it goes on where it was; by default each call has its own."""
+    return folder or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def batches_of(spark: SparkSession, base: str) -> list[int]:
+    """Numbers of the batches that a stream has written, in this run and the ones before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def run_available(stream: DataFrame, name: str, mode: str = "complete", folder: str | None = None) -> DataFrame:
+    """Run a stream over what is there and new into Parquet in its folder, one folder a batch, and read the result: all
+    batches, or the last one where it is complete by itself. A batch that is run again overwrites its folder, and a stream
+    that is given its folder again goes on after the last batch, so results are exact after a restart."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    done: list[int] = []
+    base = stream_folder(spark, name, folder)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-        done.append(number)
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    paths = [f"{base}/out/batch={n}" for n in (done[-1:] if mode == "complete" else sorted(set(done)))]
+    done = batches_of(spark, base)
+    paths = [f"{base}/out/batch={n}" for n in (done[-1:] if mode == "complete" else done)]
     return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
 
-def poll_new(stream: DataFrame, key: str, order: tuple[str, ...], name: str) -> DataFrame:
-    """The rows of a stream whose key no earlier batch has brought, of each key the first in order. A batch looks up the
-    keys of the batches before it and overwrites its own folder, so one that is run again adds nothing."""
-    spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    stored = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+SEEN = T.StructType([T.StructField("seen", T.BooleanType())])
 
-    def write(batch: DataFrame, number: int) -> None:
-        first = batch.groupBy(key).agg(F.min_by(F.struct(*batch.columns), F.struct(*order)).alias("x")).select("x.*")
-        if number:
-            known = spark.read.schema(stored).parquet(f"{base}/out").filter(F.col("batch") < number)
-            first = first.join(known.select(F.col(key).alias("known")), F.col(key).eqNullSafe(F.col("known")), "left_anti")
-        first.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    empty = spark.createDataFrame([], stream.schema)
-    empty.write.parquet(f"{base}/out/batch=-1")
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stored).parquet(f"{base}/out").drop("batch")
+def poll_new(stream: DataFrame, key: str, order: tuple[str, ...], name: str, folder: str | None = None) -> DataFrame:
+    """The rows of a stream whose key no earlier batch has brought, of each key the first in order. What is known of a key is
+    one bit of state, so a batch costs its own rows, however many came before. A null key is a key."""
+
+    def step(_, frames, state):
+        if state.exists:
+            for _ in frames:
+                pass
+            return
+        first = None
+        for rows in frames:
+            here = rows.sort_values(list(order)).iloc[:1]
+            first = here if first is None else pd.concat([first, here]).sort_values(list(order)).iloc[:1]
+        state.update((True,))
+        yield first
+
+    news = stream.groupBy(key).applyInPandasWithState(step, stream.schema, SEEN, "append", "NoTimeout")
+    return run_available(news, name, "append", folder)
 
 
-def without_deleted(archive: DataFrame, deletions: DataFrame, key: str, name: str) -> DataFrame:
+def without_deleted(archive: DataFrame, deletions: DataFrame, key: str, name: str, folder: str | None = None) -> DataFrame:
     """The rows of an archive that no event of the stream of deletions (key) has named."""
-    gone = poll_new(deletions, key, (key,), name).select(F.col(key).alias("gone"))
+    gone = poll_new(deletions, key, (key,), name, folder).select(F.col(key).alias("gone"))
     return archive.join(gone, F.col(key) == F.col("gone"), "left_anti")
