@@ -1,8 +1,9 @@
 """Secret scans that look through encodings.
 
 Every text is scanned for three kinds of secrets (assignments, access keys, runs of hex digits). Then a worklist
-unwraps what the text encodes: percent escapes, Unicode and HTML escapes, base64 (standard and URL-safe), and zlib
-or gzip data inside base64. Each decoded layer is scanned like the text and may hold further layers; it goes on
+unwraps what the text encodes: percent escapes, Unicode and HTML escapes, base64 (standard and URL-safe), ASCII as
+UTF-16, and zlib or gzip data in what any of these decode to, or in what such data inflates to: a layer keeps its bytes,
+those that are no UTF-8 as surrogates. Each decoded layer is scanned like the text and may hold further layers; it goes on
 until no layer yields a new one. A layer that occurs again in the same document (by hash) is not decoded again, but
 its findings are reported at every place that encodes it; encodings that decode to themselves or to each other end,
 as the spans of a text are finite.
@@ -43,13 +44,28 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: Chains of escapes of an escape's own first character: a sign that there is one, that character, the chain.
+CHAINS = {
+    "%25252525": ("%", re.compile(r"%25(?:25){7,}(?=[0-9A-Fa-f]{2})")),
+    "u005cu005c": ("\\", re.compile(r"\\u005c(?:u005c){7,}(?=u[0-9A-Fa-f]{4})")),
+    "u005Cu005C": ("\\", re.compile(r"\\u005C(?:u005C){7,}(?=u[0-9A-Fa-f]{4})")),
+    "#38;#38;": ("&", re.compile(r"&#38;(?:#38;){7,}(?=#)")),
+    "#x26;#x26;": ("&", re.compile(r"&#x26;(?:#x26;){7,}(?=#)")),
+}
 #: Sixteen digits and more. Escapes and other text may stand right before and after.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: The next line of a wrapped run: nothing else stands in it, but for what closes a run.
 WRAPPED = re.compile(r"""\r?\n[\x20\t]*([A-Za-z0-9+/_-]+={0,2})(?=[\x20\t]*(?:[\r\n"'`<>()\[\]{},;]|$))""")
 SHORTEST = 16
 #: Bytes that may be, or lead to, a finding.
-TELLING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}")
+TELLING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|(?:[\x20-\x7e]\x00){8}|(?:\x00[\x20-\x7e]){8}")
+#: ASCII as UTF-16, of either order.
+WIDE = re.compile("(?:[\x20-\x7e]\x00){8,}|(?:\x00[\x20-\x7e]){8,}")
+#: The beginnings of gzip and zlib data in a text: bytes that are no UTF-8 stand as surrogates, or each byte as the character of
+#: its number.
+PACKED_TEXT = re.compile("\x1f[\x8b\udc8b]\x08|x[\x01\x5e\x9c\xda\udc9c\udcda]")
+LATIN = re.compile("[\x00-\xff]+")
+BYTES = re.compile("[^\ud800-\udc7f\udd00-\udfff]+")
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 
 Span = tuple[int, int]
@@ -110,25 +126,27 @@ def _replaced(old: str, pieces: list[tuple[int, int, str, list[Span]]]) -> Layer
 
 
 def _utf8(raw: bytes, begin: int, width: int) -> tuple[str, list[Span]]:
-    """raw read as UTF-8, bad bytes as U+FFFD, and the span of each character; a byte is width characters wide."""
-    text = raw.decode("utf-8", "replace")
+    """raw read as UTF-8, bad bytes as surrogates, and the span of each character; a byte is width characters wide."""
+    text = raw.decode("utf-8", "surrogateescape")
     if text.isascii():
         return text, [(begin + i * width, begin + (i + 1) * width) for i in range(len(text))]
     spans, at = [], 0
     for c in text:
-        size = len(c.encode())
-        if c == "\ufffd" and raw[at : at + 3] != b"\xef\xbf\xbd":
-            # the decoder stands one U+FFFD for each longest bad prefix
-            try:
-                raw[at : at + 4].decode()
-                size = 1
-            except UnicodeDecodeError as e:
-                size = max(1, e.end - e.start) if e.start == 0 else 1
-        spans.append((begin + at * width, begin + min(at + size, len(raw)) * width))
+        size = len(c.encode("utf-8", "surrogateescape"))
+        spans.append((begin + at * width, begin + (at + size) * width))
         at += size
     return text, spans
 
 
+def unescape_chain(old: str) -> Layer | None:
+    """The text with long chains of escapes of an escape's own first character, such as %252525...41, replaced by that character:
+    as many layers as the chain has links would lead to the same."""
+    if not any(x in old for x in CHAINS):
+        return None
+    pieces = sorted((m.start(), m.end(), first, [m.span()]) for first, chain in CHAINS.values() for m in chain.finditer(old))
+    return _replaced(old, pieces) if pieces else None
+
+
 def unescape_percent(old: str) -> Layer | None:
     """The text with its percent escapes replaced."""
     if "%" not in old:
@@ -229,7 +247,7 @@ class _Run:
             return self.end if used[0] >= len(raw) else self.at(begin - (-used[0] * 4 // 3) - 1) + 1
 
         for inner in _inflated(raw, used):
-            yield Layer(inner.decode("utf-8", "replace"), edge, bool(used[1]))
+            yield Layer(inner.decode("utf-8", "surrogateescape"), edge, bool(used[1]))
 
     def layers(self) -> Iterator[Layer]:
         n, pieces, done = len(self.digits), [], 0
@@ -277,7 +295,7 @@ class _Run:
             return self.at(min(len(self.digits), begin - (-at * 4 // 3)) - 1) + 1 if side else self.at(begin + at * 4 // 3)
 
         for inner in _inflated(raw, used):
-            yield Layer(inner.decode("utf-8", "replace"), edge, bool(used[1]))
+            yield Layer(inner.decode("utf-8", "surrogateescape"), edge, bool(used[1]))
 
 
 def _valid(raw: bytes) -> int:
@@ -308,14 +326,65 @@ def unwrap_base64(old: str) -> Iterator[Layer]:
             yield from _Run("".join(digits), lines, end).layers()
 
 
+def unwrap_wide(old: str) -> Layer | None:
+    """The text with its stretches of UTF-16 read."""
+    if "\x00" not in old:
+        return None
+    pieces = []
+    for m in WIDE.finditer(old):
+        first = 0 if m.group()[1] == "\x00" else 1
+        pieces.append((m.start(), m.end(), m.group()[first::2], [(i, i + 2) for i in range(m.start(), m.end(), 2)]))
+    return _replaced(old, pieces) if pieces else None
+
+
+def unwrap_packed(old: str) -> Iterator[Layer]:
+    """Layers of compressed data that stands in the text as bytes."""
+    done = 0
+    for m in PACKED_TEXT.finditer(old):
+        begin = m.start()
+        if begin < done:
+            continue
+        for latin in (False, True):
+            part, to_bytes = (LATIN, lambda x: x.encode("latin-1")) if latin else (BYTES, lambda x: x.encode("utf-8", "surrogateescape"))
+            # the first bytes tell most that are none
+            if not _inflates(to_bytes(part.match(old[begin : begin + 64])[0])):
+                continue
+            end = part.match(old, begin).end()
+            raw, used = to_bytes(old[begin:end]), [0, 0]
+
+            def edge(i: int, side: int, raw: bytes = raw, used: list[int] = used, begin: int = begin, latin: bool = latin) -> int:
+                return begin + side * (used[0] if latin else len(raw[: used[0]].decode("utf-8", "surrogateescape")))
+
+            for inner in _inflated(raw, used):
+                yield Layer(inner.decode("utf-8", "surrogateescape"), edge, bool(used[1]))
+            if used[1]:
+                done = edge(0, 1)
+                break
+
+
+def _inflates(head: bytes) -> bool:
+    """Whether the first bytes of compressed data are in order."""
+    if not _packed(head):
+        return False
+    try:
+        zlib.decompressobj(47).decompress(head)
+    except zlib.error:
+        return False
+    return True
+
+
 def _name(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass")).digest()
 
 
 def _unwrapped(text: str) -> Iterator[Layer]:
-    for f in (unescape_percent, unescape_unicode):
-        if (new := f(text)) is not None:
-            yield new
+    if (new := unescape_chain(text)) is not None:
+        yield new
+    else:
+        for f in (unescape_percent, unescape_unicode, unwrap_wide):
+            if (new := f(text)) is not None:
+                yield new
+    yield from unwrap_packed(text)
     yield from unwrap_base64(text)
 
 
@@ -337,13 +406,13 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             known[name].ups.append((source, new.edge))
             known[name].whole |= new.whole
     # a layer's spans go to all places that encode it, until none is new
-    work = [(x, x.spans) for x in known.values() if x.spans and x is not root]
+    work = [(x, set(x.spans)) for x in known.values() if x.spans and x is not root]
     while work:
         layer, spans = work.pop()
         for source, edge in layer.ups:
             new = {(edge(s, 0), edge(e - 1, 1), k) for s, e, k in spans} - source.spans
             if new:
-                source.spans = source.spans | new
+                source.spans |= new
                 work.append((source, new))
     layers = sum(x.whole or bool(x.spans) for x in known.values() if x is not root)
     return base, _without_doubles(base, {(s, k, e) for s, e, k in root.spans}), layers
