@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
 from quillon.operators import inspection as ins
+from quillon.operators import training
 from quillon.plans.texts import SCRIPT_SQL, TOKEN_SQL
 from quillon.sources.session import materialize, read_table
 from quillon.streaming import stateful, windows
@@ -193,3 +194,34 @@ def stream_raids(spark, sf_dir):
     """Raids by event type with a latch of an hour."""
     stream = windows.read_stream(spark, f"{sf_dir}/event[s].parquet", read_table(spark, sf_dir, "events"))
     return windows.run_available(stateful.raids(stream, "event_type", 600, 3, 3600), "raids", "append")
+
+
+TARGETS = {"en": "ENGLISH", "fr": "FRENCH", "de": "GERMAN", "es": "SPANISH"}
+RATE, EPOCHS = 5.0, 3
+TARGET_SQL = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TARGETS.items()) + " END"
+
+
+def training_sql() -> str:
+    """The epochs, one after the other."""
+    steps = [f"{LEX_SQL}, y AS (SELECT doc_id AS id, {TARGET_SQL} AS target FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')), sc AS (SELECT cap.id, target, subject, score FROM cap JOIN y ON cap.id = y.id WHERE score > 0)",
+             "tot AS (SELECT count(DISTINCT id) AS n FROM sc)", "m0 AS (SELECT DISTINCT subject, 1.0::DOUBLE AS m FROM sc UNION SELECT DISTINCT target, 1.0::DOUBLE FROM sc)"]
+    for k in range(1, EPOCHS + 1):
+        steps += [
+            f"p{k} AS (SELECT id, target, arg_min(subject, (-score * m, subject)) AS got FROM sc JOIN m{k - 1} USING (subject) GROUP BY id, target)",
+            f"d{k} AS (SELECT s, sum(g) AS g FROM (SELECT target AS s, {training.GAIN} AS g FROM p{k} WHERE got <> target UNION ALL SELECT got, -1 FROM p{k} WHERE got <> target) GROUP BY s)",
+            f"m{k} AS (SELECT subject, CASE WHEN g IS NULL THEN m ELSE least({training.HIGHEST}, greatest({training.LOWEST}, m + {RATE}::DOUBLE * g::DOUBLE / n)) END::DOUBLE AS m FROM m{k - 1} LEFT JOIN d{k} ON subject = s, tot)",
+        ]
+    every = " UNION ALL ".join(f"SELECT {k} AS epoch, subject, m, (SELECT count(*) FILTER (got = target) / count(*)::DOUBLE FROM p{k}) AS accuracy FROM m{k}" for k in range(1, EPOCHS + 1))
+    return f"WITH {', '.join(steps)}, e AS ({every}) SELECT epoch::INTEGER AS epoch, subject, round(m, 9)::DOUBLE AS multiplier, round(accuracy, 9)::DOUBLE AS accuracy, round(0.45::DOUBLE - 0.45::DOUBLE * accuracy, 9)::DOUBLE AS loss FROM e"
+
+
+@query(training_sql())
+def trained_multipliers(spark, sf_dir):
+    """Multipliers of the subjects after each of three epochs over all documents, with their language as the subject expected."""
+    docs, counts = base(spark, sf_dir)
+    target = F.element_at(F.create_map(*[F.lit(x) for pair in TARGETS.items() for x in pair]), F.col("lang"))
+    expected = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), target.alias("target"))
+    rows = materialize(training.evidence_rows(ins.capped_scores(counts), expected), "training")
+    history = training.train(rows, EPOCHS, RATE, rows.count())
+    out = [(e.number, s, round(e.multipliers.get(s, 1.0), 9), round(e.accuracy, 9), round(e.loss, 9)) for e in history for s in sorted(TARGETS.values())]
+    return spark.createDataFrame(out, "epoch int, subject string, multiplier double, accuracy double, loss double")
