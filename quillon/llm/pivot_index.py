@@ -5,8 +5,11 @@
    vectors of that size, chosen by hash; one whose cosine to an earlier one is APART or more is left out. So a group
    of near copies, however large, has one pivot that all its members share, and not a matching share of the pivots
    that noise puts in order. APART lies below THRESHOLD, as a group whose links are the closer of its pairs only
-   needs this too. Every class is then indexed: it is described by its NEAREST nearest pivots in order, and stands
-   in the inverted list of each.
+   needs this too. Every class is then indexed: it is described by its nearest pivots in order, and stands in the
+   inverted list of each. Vectors and pivots are centred for that, by the mean of the sample: raw embeddings often lie
+   in a narrow cone, where all have the same few pivots. What is a cosine of THRESHOLD between vectors is less between
+   centred ones (``shape_of``); how many pivots describe a class grows with that spread and with the fourth root of the
+   pivots, from NEAREST on, which keeps the share of links found near THRESHOLD the same (README has figures).
 3. Retrieval. Two classes are candidates if they share at least SHARED of those pivots. A pair is looked at in the
    list of the first pivot that they share only, so it counts once.
 4. Verification: cosine in double precision, at least THRESHOLD.
@@ -18,7 +21,7 @@ and a spanning forest of the links found, of at most one edge a vector and tile.
 copies are compared, as their links are to be counted, but never written. A vector is sent once to each block of its
 lists: a list of n vectors sends n * n / BLOCK of them, single precision until a pair comes close to THRESHOLD.
 
-The number of pivots grows with the square root of the classes, as do the lists; work grows with the power 1.5,
+The number of pivots grows with the square root of the classes, as do the lists; work grows with the power 1.75,
 and with the square of the largest group of near copies, whose pairs are all compared.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components has n_links 0 and is alone;
@@ -43,6 +46,8 @@ from quillon.sources.session import materialize
 
 THRESHOLD, APART = 0.9, 0.7
 NEAREST, SHARED = 8, 2
+#: Pivots up to which NEAREST of them do for vectors that lie in no cone; the squared length of their mean counts up to CONE.
+FEW_PIVOTS, CONE = 256, 0.9
 PIVOTS_PER_ROOT, MIN_PIVOTS, MAX_PIVOTS = 1.0, 64, 16_384
 BLOCK, TILE = 8_192, 1_024
 #: Single-precision cosines this far below THRESHOLD are computed again in double precision.
@@ -62,9 +67,28 @@ def classes(vectors: DataFrame, id_column: str, embedding: str) -> DataFrame:
     return vectors.select(F.col(id_column).alias("id"), clean.alias("v"), F.coalesce(ok, F.lit(False)).alias("ok"), named)
 
 
-def pivots_of(units: DataFrame, count: int) -> dict[int, tuple[int, np.ndarray]]:
-    """The reference points by vector length, each length with the number of its first; MAX_PIVOTS bounds them, and
-    no two of a length have a cosine of APART or more."""
+def shape_of(points: np.ndarray) -> tuple[np.ndarray, float]:
+    """(mean, cosine): the mean of unit vectors, and the centred cosine of two whose cosine is THRESHOLD and which lie as far from
+    the mean as most do."""
+    mean = points.mean(axis=0)
+    cone = min(CONE - 0.05, float(mean @ mean) if len(points) > 1 else 0.0)
+    return mean, (THRESHOLD - cone) / (1.0 - cone)
+
+
+def nearest_of(cosine: float, pivots: int) -> int:
+    """How many pivots describe a class: more where links are further apart among the pivots, and where there are more of them."""
+    spread = math.sqrt((1.0 - cosine) / (1.0 - THRESHOLD))
+    return min(pivots, round(NEAREST * spread * max(1.0, pivots / FEW_PIVOTS) ** 0.25))
+
+
+def _centred(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    y = x - mean
+    return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+
+
+def pivots_of(units: DataFrame, count: int) -> dict[int, tuple[int, np.ndarray, np.ndarray, int]]:
+    """By vector length: the number of its first reference point, these points, the mean that they are centred by, and how many of
+    them describe a vector. MAX_PIVOTS bounds them, and no two of a length are near to each other."""
     n = min(MAX_PIVOTS, max(MIN_PIVOTS, round(PIVOTS_PER_ROOT * math.sqrt(count))))
     by_length: dict[int, list] = {}
     for r in units.select("v", "key").orderBy(F.xxhash64(F.lit("pivot"), "key"), "key").limit(n).collect():
@@ -72,22 +96,27 @@ def pivots_of(units: DataFrame, count: int) -> dict[int, tuple[int, np.ndarray]]
         by_length.setdefault(len(x), []).append(x / np.linalg.norm(x))
     out, at = {}, 0
     for d, p in by_length.items():
-        out[d] = (at, _thinned(np.stack(p)))
-        at += len(out[d][1])
+        points = np.stack(p)
+        mean, cosine = shape_of(points)
+        # chance alone brings points of few dimensions near to each other
+        apart = max(cosine - (THRESHOLD - APART), min(APART, 4.0 / math.sqrt(d)))
+        points = _thinned(_centred(points, mean), apart)
+        out[d] = (at, points, mean, nearest_of(cosine, len(points)))
+        at += len(points)
     return out
 
 
-def _thinned(points: np.ndarray) -> np.ndarray:
-    """The points in order without those whose cosine to an earlier one that stays is APART or more."""
+def _thinned(points: np.ndarray, apart: float = APART) -> np.ndarray:
+    """The points in order without those whose cosine to an earlier one that stays is apart or more."""
     kept, n = np.empty_like(points), 0
     for p in points:
-        if not (kept[:n] @ p >= APART).any():
+        if not (kept[:n] @ p >= apart).any():
             kept[n] = p
             n += 1
     return kept[:n].copy()
 
 
-def describe(units: DataFrame, pivots: dict[int, tuple[int, np.ndarray]]) -> DataFrame:
+def describe(units: DataFrame, pivots: dict[int, tuple[int, np.ndarray, np.ndarray, int]]) -> DataFrame:
     """(node, size, v, near): the nearest pivots of each class, in order. pivots: by vector length, with the number
     of the first; a length without pivots has one list of its own."""
     shared = units.sparkSession.sparkContext.broadcast(pivots)
@@ -104,12 +133,11 @@ def describe(units: DataFrame, pivots: dict[int, tuple[int, np.ndarray]]) -> Dat
                     for i in at:
                         out[i] = [-int(d)]
                     continue
-                offset, p = by_length[d]
+                offset, p, mean, k = by_length[d]
                 x = np.array([vs[i] for i in at])
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                k = min(NEAREST, len(p))
-                order = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :k] + offset
+                order = np.argsort(-(_centred(x, mean) @ p.T), axis=1, kind="stable")[:, :k] + offset
                 for i, o in zip(at, order.tolist(), strict=True):
                     out[i] = o
             near = pa.array(out, pa.list_(pa.int32()))
@@ -150,7 +178,7 @@ def _close(xa: np.ndarray, xb: np.ndarray, na: np.ndarray, nb: np.ndarray, pivot
     if same:
         close = np.triu(close, 1)
     least = min(SHARED, na.shape[1])
-    if np.count_nonzero(close) > MANY:
+    if np.count_nonzero(close) * na.shape[1] ** 2 > MANY * NEAREST**2:
         # a group of near copies makes most pairs close: what they share comes from products too
         names = np.unique(np.concatenate([na, nb]))
         ia, ib = _marks(na, names), _marks(nb, names)
