@@ -25,14 +25,20 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
+def composed(text: Column) -> Column:
+    """text in normal form C. Characters below U+0300 are in it, whatever stands beside them, so texts of these alone, which are
+    most, don't leave the JVM."""
+    return F.coalesce(nfc(F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), text)), text)
+
+
 def strip_accents(text: Column) -> Column:
     """Lower case without the marks of Vietnamese letters."""
     return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
 def content_key(text: Column) -> Column:
-    """A text's content without case, page marks, white space and punctuation other than that of formulas."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    """A text's content in normal form C, without case, page marks, white space and punctuation other than that of formulas."""
+    low = F.lower(composed(F.coalesce(text, F.lit(""))))
     unpaged = F.regexp_replace(low, r"\b(?:page|trang)[ \t\n\r]*[0-9]+[ \t\n\r]*(?:of|/|trên)?[ \t\n\r]*[0-9]*\b", "")
     return F.regexp_replace(unpaged, r"[^\p{L}\p{N}_+=\-*/^()]+", "")
 
@@ -201,5 +207,5 @@ def exam_text(text: Column) -> Column:
     row become one. Null becomes empty."""
     text = F.coalesce(text, F.lit(""))
     read = F.when(is_legacy(text), F.translate(text, "".join(x[0] for x in LEGACY_LETTERS), "".join(x[1] for x in LEGACY_LETTERS))).otherwise(text)
-    plain = nfc(F.translate(read, SYMBOL_FROM, SYMBOL_TO))
+    plain = composed(F.translate(read, SYMBOL_FROM, SYMBOL_TO))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "\r\n?", "\n"), "[ \t]+\n", "\n"), "\n{3,}", "\n\n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,24 +38,19 @@ def shuffled_papers(questions: DataFrame, seed: str) -> DataFrame:
 
 
 #: Channels up to which they are sent to every task.
-FEW_CHANNELS = 10_000
 
 
 def routes(docs: DataFrame, channels: DataFrame) -> DataFrame:
     """(id, channel, score): the channel (channel, subject, kind, level) that fits a document (id, subject, kind, level)
-    best: subject 50, kind 30, level 20; ``*`` fits any and counts half. Up to FEW_CHANNELS channels are sent to the
-    documents; more are joined by subject, those of any subject still being sent."""
-    other = channels.select("channel", F.col("subject").alias("cs"), F.col("kind").alias("ck"), F.col("level").alias("cl"))
-    part = lambda own, c, w: F.when(F.col(c) == "*", w // 2).when(F.col(c) == F.col(own), w)
-    if len(channels.limit(FEW_CHANNELS + 1).take(FEW_CHANNELS + 1)) <= FEW_CHANNELS:
-        met = docs.join(F.broadcast(other), (F.col("cs") == "*") | (F.col("subject") == F.col("cs")))
-    else:
-        anyone = other.filter("cs = '*'")
-        if len(anyone.limit(FEW_CHANNELS + 1).take(FEW_CHANNELS + 1)) > FEW_CHANNELS:
-            raise ValueError(f"more than {FEW_CHANNELS} channels for any subject")
-        met = docs.join(other.filter("cs <> '*'"), F.col("subject") == F.col("cs")).unionByName(docs.join(F.broadcast(anyone), F.lit(True)))
-    met = met.withColumn("score", F.when(F.col("cs") == "*", 25).otherwise(50) + part("kind", "ck", 30) + part("level", "cl", 20))
-    best = met.filter(F.col("score").isNotNull()).groupBy("id").agg(F.max_by(F.struct("channel", "score"), F.struct("score", "channel")).alias("b"))
+    best: subject 50, kind 30, level 20; ``*`` fits any and counts half. Of equal scores the last channel by name wins.
+
+    Channels for the same subject, kind and level differ in their names only, so the last stands for all. A document asks for
+    the eight ways in which one can fit it, each an equal key: no channel is compared with it that doesn't."""
+    parts = (("subject", 50), ("kind", 30), ("level", 20))
+    known = channels.groupBy(*[F.col(c).alias(f"c_{c}") for c, _ in parts]).agg(F.max("channel").alias("channel"))
+    ways = [F.struct(*[F.when(F.col(c) != "*", F.col(c)).alias(f"c_{c}") if own else F.lit("*").alias(f"c_{c}") for own, (c, _) in zip(way, parts, strict=True)], F.lit(sum(w if own else w // 2 for own, (_, w) in zip(way, parts, strict=True))).alias("score")) for way in product((True, False), repeat=3)]
+    asked = docs.select("id", F.explode(F.array(*ways)).alias("w")).select("id", "w.*")
+    best = asked.join(known, [f"c_{c}" for c, _ in parts]).groupBy("id").agg(F.max_by(F.struct("channel", "score"), F.struct("score", "channel")).alias("b"))
     return best.select("id", "b.channel", "b.score")
 
 

@@ -26,7 +26,7 @@ def docs(spark, sf_dir):
     return read_table(spark, sf_dir, "documents")
 
 
-KEY_SQL = r"""regexp_replace(regexp_replace(lower(coalesce({}, '')), '\b(?:page|trang)[ \t\n\r]*[0-9]+[ \t\n\r]*(?:of|/|trên)?[ \t\n\r]*[0-9]*\b', '', 'g'), '[^\p{{L}}\p{{N}}_+=\-*/^()]+', '', 'g')"""
+KEY_SQL = r"""regexp_replace(regexp_replace(lower(nfc_normalize(coalesce({}, ''))), '\b(?:page|trang)[ \t\n\r]*[0-9]+[ \t\n\r]*(?:of|/|trên)?[ \t\n\r]*[0-9]*\b', '', 'g'), '[^\p{{L}}\p{{N}}_+=\-*/^()]+', '', 'g')"""
 TOKEN_SQL = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
 
