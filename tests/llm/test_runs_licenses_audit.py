@@ -242,3 +242,11 @@ def test_the_prepass_clears_only_what_is_unique(spark):
     n = Counter(t for _, t, _ in texts)
     true = {i for i, t, _ in texts if n[t] > 1}
     assert true <= maybe and len(maybe - true) < 0.05 * len(texts)
+
+
+def test_planting_on_odd_texts(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][:24]
+    texts = [None, "", " \n ", "one", "two words", "a b c d e f g h i j"]
+    rows = [(i, texts[k % len(texts)]) for k, i in enumerate(ids)] + [(None, "a b c"), (7, "a b c")]
+    got = {x["doc_id"]: x["text"] for x in queries.with_planted_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(WORD.findall(got[i] or "") == planted(i, t) for i, t in rows)
