@@ -7,6 +7,9 @@ of (marker, text); a paper's contexts, groups and assets are rows (id, kind, nam
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +25,13 @@ EXAM_TYPES = (
 )
 GRADE_NUMBERS = ("12", "11", "10", "9", "8", "7", "6")
 LANGUAGES = ("python", "c++", "cpp", "pascal", "java", "sql", "dsa")
+# Fixed values of the search: points by rule, what stands before a grade and where grades are looked for, and the words of gifted classes
+# in queries and in rows.
+SEARCH_POINTS = {"subject": 120, "language": 90, "phrase": 80, "grade": 60, "gifted": 50, "word": 25, "title": 40}
+GRADE_BEFORE, GRADE_FIELDS = (" ", "lớp", "lop", "k"), ("level", "title", "file_name")
+GIFTED_ASKED = ("chuyên", "chuyen", "olympic", "hsg", "nâng cao", "nang cao")
+GIFTED_ROW = (("level", "chuyên"), ("level", "hsg"), ("level", "olympic"), ("title", "chuyên"))
+TITLE_HEAD, LEAST_ALIKE, ALIKE = 80, 4, 0.35
 
 
 def question_problems(questions: DataFrame) -> DataFrame:
@@ -101,39 +111,46 @@ def document_kind(candidates: Column, lesson: Column, contract: Column, subject:
     ]
 
 
-def rule_score(query: str, subjects: dict[str, tuple[str, ...]], stop_words: tuple[str, ...] = ()) -> Column:
-    """Points of a row (subject, level, title, file_name) for a query: 120 for its subject, 60 a grade, 90 a programming
-    language, 50 for gifted classes, 80 for the whole query, 25 a word, and up to 40 for a title alike."""
-    q = query.lower().strip()
-    every = re.findall(r"\w+", q)
-    words = [w for w in every if w not in stop_words] or every
-    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    subject, level, title, name = F.upper(F.coalesce("subject", F.lit(""))), low("level"), low("title"), low("file_name")
-    synonyms = F.lit("")
-    for s, names in subjects.items():
-        synonyms = F.when(subject == s, " ".join(names)).otherwise(synonyms)
-    text = F.concat_ws(" ", title, name, low("subject"), synonyms, level)
-    points = lambda rule, n: F.when(rule, n).otherwise(0)
-    score = F.lit(0.0)
-    asked = [s for s, names in subjects.items() if any(re.search(rf"(?:^|\s){re.escape(n)}(?:$|\s)", q) for n in names)]
-    if asked:
-        score = score + points(subject.isin(asked), 120)
-    for g in GRADE_NUMBERS:
-        if re.search(rf"(?:^|\s|lớp|lop|k){g}(?:$|\s)", q):
-            score = score + points(level.contains(g) | title.contains(g) | name.contains(g), 60)
-    for language in LANGUAGES:
-        if language in q:
-            score = score + points(text.contains(language), 90)
-    if re.search(r"\b(chuyên|chuyen|olympic|hsg|nâng cao|nang cao)\b", q):
-        score = score + points(level.rlike("chuyên|hsg|olympic") | title.contains("chuyên"), 50)
-    score = score + points(text.contains(q), 80)
-    for w in words:
-        score = score + points(text.contains(w), 25)
-    if len(q) >= 4:
-        head = F.substring(title, 1, 80)
-        alike = 1.0 - F.levenshtein(F.lit(q), head) / F.greatest(F.lit(len(q)), F.length(head))
-        score = score + F.when(alike > 0.35, alike * 40.0).otherwise(0.0)
-    return score if words else F.lit(0.0)
+@dataclass(frozen=True)
+class Wish:
+    """What a query asks of a row: points if any of the texts stands in its field."""
+
+    points: int
+    any_of: tuple[tuple[str, str], ...]
+
+
+def wishes(query: str, subjects: dict[str, tuple[str, ...]], stop_words: tuple[str, ...] = ()) -> list[Wish]:
+    """The table of wishes of a query: one for each thing that it names."""
+    said = " ".join(query.lower().split())
+    spaced, tokens = f" {said} ", re.findall(r"\w+", said)
+    named = tuple(("subject", f"|{s.lower()}|") for s, names in subjects.items() if any(f" {n} " in spaced for n in names))
+    grades = [g for g in GRADE_NUMBERS if any(f"{before}{g} " in spaced for before in GRADE_BEFORE)]
+    table = {
+        "subject": [named] if named else [],
+        "language": [(("all", x),) for x in LANGUAGES if x in said],
+        "phrase": [(("all", said),)] if said else [],
+        "grade": [tuple((field, g) for field in GRADE_FIELDS) for g in grades],
+        "gifted": [GIFTED_ROW] if any(re.search(rf"\b{x}\b", said) for x in GIFTED_ASKED) else [],
+        "word": [(("all", x),) for x in [t for t in tokens if t not in stop_words] or tokens],
+    }
+    return [Wish(SEARCH_POINTS[rule], pairs) for rule, asked in table.items() for pairs in asked]
+
+
+def rule_score(query: str, subjects: dict[str, tuple[str, ...]], stop_words: tuple[str, ...] = (), title_head: int | None = TITLE_HEAD) -> Column:
+    """Points of a row (subject, level, title, file_name) for a query: the sum of the wishes that it meets, and up to
+    SEARCH_POINTS["title"] for a title alike. Of titles the first title_head characters are compared, or, with None, all."""
+    low = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("subject", "level", "title", "file_name")}
+    of_subject = F.create_map(*[F.lit(x) for s, names in subjects.items() for x in (s.lower(), " ".join(names))]) if subjects else F.create_map().cast("map<string, string>")
+    synonyms = F.coalesce(F.try_element_at(of_subject, low["subject"]), F.lit(""))
+    fields = low | {"subject": F.concat(F.lit("|"), low["subject"], F.lit("|")), "all": F.concat_ws(" ", low["title"], low["file_name"], low["subject"], synonyms, low["level"])}
+    asked = wishes(query, subjects, stop_words)
+    met = [F.when(reduce(or_, [fields[f].contains(x) for f, x in w.any_of]), float(w.points)).otherwise(0.0) for w in asked]
+    said = " ".join(query.lower().split())
+    if len(said) >= LEAST_ALIKE:
+        title = low["title"] if title_head is None else F.substring(low["title"], 1, title_head)
+        alike = 1.0 - F.levenshtein(F.lit(said), title) / F.greatest(F.lit(len(said)), F.length(title))
+        met.append(F.when(alike > ALIKE, alike * SEARCH_POINTS["title"]).otherwise(0.0))
+    return reduce(add, met, F.lit(0.0)) if re.search(r"\w", said) else F.lit(0.0)
 
 
 def rule_search(docs: DataFrame, score: Column, key: Column, limit: int) -> DataFrame:
