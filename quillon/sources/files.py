@@ -89,13 +89,29 @@ def write_report(rows: DataFrame, path: str, kind: str = "csv") -> None:
         rows.write.mode("overwrite").json(path)
 
 
+def _digests(spark: SparkSession, path: str) -> DataFrame:
+    """(name, length, sha256) of the data files of a folder, a file a row; a file is read whole by one task."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+
+
 def snapshot(rows: DataFrame, root: str, stamp: str, keep: int = 10) -> list[str]:
-    """Write rows to root/stamp and remove all but the newest ``keep`` snapshots; returns those left, newest first."""
+    """Write rows to root/stamp, with the SHA-256 of each of its files in root/stamp/_sha256, and remove all but the newest
+    ``keep`` snapshots; returns those left, newest first."""
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(f"{root}/{stamp}")
+    _digests(spark, f"{root}/{stamp}").write.mode("overwrite").json(f"{root}/{stamp}/_sha256")
     folder = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     names = sorted((s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()), reverse=True)
     for name in names[keep:]:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"), True)
     return names[:keep]
+
+
+def damaged(spark: SparkSession, root: str, stamp: str) -> DataFrame:
+    """(name, problem) of a snapshot's files that are missing, changed, or not its own; none if it is as it was written."""
+    told = spark.read.schema("name string, length long, sha256 string").json(f"{root}/{stamp}/_sha256").select("name", F.col("sha256").alias("told"))
+    met = told.join(_digests(spark, f"{root}/{stamp}"), "name", "full")
+    problem = F.when(F.col("sha256").isNull(), "missing").when(F.col("told").isNull(), "foreign").when(F.col("sha256") != F.col("told"), "changed")
+    return met.select("name", problem.alias("problem")).filter("problem IS NOT NULL")
