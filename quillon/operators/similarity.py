@@ -16,6 +16,7 @@ def near_fingerprints(prints: DataFrame, most: int = 3) -> DataFrame:
 
     Fingerprints are distinct first, so copies cost nothing. Each goes to the 20 choices of three of its six blocks,
     keys of 32 or 33 bits; pairs that share a key are verified, so none is missed and few are looked at in vain.
+    The rows of keys are never broadcast: Spark guesses their size from the fingerprints, of which they are 20 times as many.
     """
     if most > 3:
         raise ValueError("six blocks find up to 3 differing bits")
@@ -23,7 +24,7 @@ def near_fingerprints(prints: DataFrame, most: int = 3) -> DataFrame:
     keys = [F.struct(F.lit(n).alias("n"), part(i).alias("x"), part(j).alias("y"), part(k).alias("z")) for n, (i, j, k) in enumerate(combinations(range(6), 3))]
     rows = prints.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("key")).select("key.*", "fp")
     other = rows.select("n", "x", "y", "z", F.col("fp").alias("b"))
-    met = rows.withColumnRenamed("fp", "a").join(other, ["n", "x", "y", "z"]).filter("a < b")
+    met = rows.withColumnRenamed("fp", "a").join(other.hint("merge"), ["n", "x", "y", "z"]).filter("a < b")
     return met.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).filter(F.col("distance") <= most).select("a", "b", "distance").distinct()
 
 
