@@ -64,14 +64,26 @@ def gram_similarity(items: DataFrame, docs: DataFrame, least: float) -> DataFram
 
 def similar_names(rows: DataFrame, block: list[str], least: float, prefix: int | None = None) -> DataFrame:
     """(a, b, similarity) of different names (id, name) that share a block and are similar by edit distance. Names whose
-    lengths alone forbid it are not compared. ``prefix`` compares that many characters at most; without it whole names."""
+    lengths alone forbid it are not compared. ``prefix`` compares that many characters at most; without it whole names.
+
+    Each pair of different names of a block is compared once, however many rows have them; rows are matched to the pairs
+    that are similar by block and name, so no key is a whole block.
+    """
     from quillon.functions.text import levenshtein_similarity
 
     name = F.substring("name", 1, prefix) if prefix else F.col("name")
-    x = rows.select(*block, F.col("id").alias("a"), name.alias("na"))
-    y = rows.select(*block, F.col("id").alias("b"), name.alias("nb"))
+    every = rows.select(*block, F.col("id"), name.alias("name"))
+    names = every.select(*block, "name").distinct()
+    x, y = names.withColumnRenamed("name", "na"), names.withColumnRenamed("name", "nb")
     short, long = F.least(F.length("na"), F.length("nb")), F.greatest(F.length("na"), F.length("nb"))
     # the distance is the difference of the lengths at least; a little less, so that rounding loses none
-    near = F.col("a") < F.col("b"), short >= long * (least - 1e-6)
+    near = F.col("na") <= F.col("nb"), short >= long * (least - 1e-6)
     met = x.join(y, block).filter(near[0] & near[1]).withColumn("similarity", F.round(levenshtein_similarity(F.col("na"), F.col("nb")), 6))
-    return met.filter(F.col("similarity") >= least).select("a", "b", "similarity")
+    one = met.filter(F.col("similarity") >= least).select(*block, F.array("na", "nb").alias("n"), "similarity")
+    # both orders, as the smaller id may have either name
+    sides = F.array_distinct(F.array(F.struct(F.get("n", F.lit(0)).alias("na"), F.get("n", F.lit(1)).alias("nb")), F.struct(F.get("n", F.lit(1)).alias("na"), F.get("n", F.lit(0)).alias("nb"))))
+    alike = one.select(*block, "similarity", F.explode(sides).alias("s")).select(*block, "s.na", "s.nb", "similarity")
+    left = every.select(*block, F.col("id").alias("a"), F.col("name").alias("na"))
+    right = every.select(*block, F.col("id").alias("b"), F.col("name").alias("nb"))
+    halves = left.join(alike, [*block, "na"]).select(*block, "a", "nb", "similarity")
+    return halves.join(right.hint("merge"), [*block, "nb"]).filter("a < b").select("a", "b", "similarity")

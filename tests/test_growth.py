@@ -1,5 +1,8 @@
 """Work that has to grow no faster than the input: plans, counts of comparisons, sizes of what a task holds."""
 
+from pyspark.sql import functions as F
+
+from quillon.functions import text as tx
 from quillon.operators import similarity
 
 
@@ -9,3 +12,22 @@ def test_keys_of_fingerprints_are_not_broadcast(spark, tmp_path):
     near = similarity.near_fingerprints(spark.read.parquet(str(tmp_path / "fp")))
     assert "BroadcastHashJoin" not in near._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, near.collect())) == [(0, 7, 3), (0, 1 << 62, 1), (7, 15, 1)]
+
+
+def test_names_of_many_rows_are_compared_once(spark, monkeypatch):
+    compared = spark.sparkContext.accumulator(0)
+
+    def counting(a, b):
+        def of(x, y):
+            compared.add(1)
+            return 1.0 if x == y else 0.75
+
+        return F.udf(of, "double")(a, b)
+
+    names = ("hot bolt", "hot bolts", "cold ring")
+    rows = spark.createDataFrame([("g", i, names[i % 3]) for i in range(60)], "g string, id long, name string")
+    want = sorted((a, b, 1.0 if a % 3 == b % 3 else 0.75) for b in range(60) for a in range(b))
+    monkeypatch.setattr(tx, "levenshtein_similarity", counting)
+    assert sorted(map(tuple, similarity.similar_names(rows, ["g"], 0.5).collect())) == want
+    # six pairs of names, though a planner may ask twice
+    assert 0 < compared.value <= 24
