@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.rating import fail_penalty, solve_delta, whole
+from quillon.sources.session import materialize
 
-STEPS, HIGHEST, GRID = 50, 4500.0, 901
+#: Halvings, the highest rating, and the whole ratings up to it.
+STEPS, HIGHEST, GRID = 50, 4500.0, 4501
+#: How near to the middle of two tenths, in tenths, a performance is worked out anew.
+NEAR = 1e-5
 #: Participants of a contest that one task rates.
-PART = 20_000
+PART = 100_000
 #: Ratings that are compared with all others of a contest at once.
 TILE = 512
 
@@ -39,52 +43,83 @@ def seeds(participants: DataFrame) -> DataFrame:
     return participants.join(sums, ["contest", "rating"])
 
 
-def _performance(rating: np.ndarray, rank: np.ndarray, others: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Ratings whose seed is the geometric mean of rank and own seed, rounded to one place.
+def _chance(r: np.ndarray, o: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + 10.0 ** np.clip((r - o) / 400.0, -10, 10))
 
-    Seeds fall smoothly with the rating. Bisection runs on a table of seeds, and two Newton steps on the exact seeds
-    end it, so the exponentials are a few times the distinct ratings for each participant, not fifty times.
-    """
-    chance = lambda r, o: 1.0 / (1.0 + 10.0 ** np.clip((r - o) / 400.0, -10, 10))
-    slope = np.log(10.0) / 400.0
-    known = np.argsort(others)
-    at_ratings = (chance(others[:, None], others[None, :]) @ count)[known]
-    goal = np.sqrt(rank * (1.0 + at_ratings[np.searchsorted(others[known], rating)] - 0.5))
-    grid = np.linspace(0.0, HIGHEST, GRID)
-    table = chance(grid[:, None], others[None, :]) @ count
+
+def _sums(r: np.ndarray, others: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The sums of the chances of all others against ratings r, some ratings at once."""
+    tile = max(1, (TILE << 12) // max(1, len(others)))
+    return np.concatenate([_chance(r[at : at + tile, None], others[None, :]) @ count for at in range(0, len(r), tile)] or [np.empty(0)])
+
+
+def _halved(rating: np.ndarray, goal: np.ndarray, others: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The rating at which the seed is the goal, by halves on exact seeds."""
     low, high = np.zeros(len(rating)), np.full(len(rating), HIGHEST)
     for _ in range(STEPS):
         mid = (low + high) / 2
-        up = 1.0 + np.interp(mid, grid, table) - chance(mid, rating) > goal
+        up = 1.0 + _sums(mid, others, count) - _chance(mid, rating) > goal
         low, high = np.where(up, mid, low), np.where(up, high, mid)
-    r = (low + high) / 2
-    inside = (r > 1e-6) & (r < HIGHEST - 1e-6)
-    for _ in range(2):
-        p, own = chance(r[:, None], others[None, :]), chance(r, rating)
-        rate = -slope * ((p * (1 - p)) @ count - own * (1 - own))
-        step = np.divide(1.0 + p @ count - own - goal, rate, out=np.zeros(len(r)), where=rate < -1e-9)
-        r = np.where(inside, np.clip(r - np.clip(step, -5, 5), 0.0, HIGHEST), r)
+    return (low + high) / 2
+
+
+def _performance(rating: np.ndarray, rank: np.ndarray, others: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Ratings whose seed is the geometric mean of rank and own seed, rounded to one place.
+
+    Seeds fall smoothly with the rating, over hundreds of points. So they and their slopes are worked out once at every
+    whole rating, and between two of these a cubic takes their place, to some 1e-9 points. Participants so near to the
+    middle of two roundings that this could matter are rated by halves on exact seeds, as are few of them in all.
+    """
+    own, at = np.unique(rating, return_inverse=True)
+    if len(rating) * STEPS < GRID:
+        return np.round(_halved(rating, np.sqrt(rank * (0.5 + _sums(own, others, count)[at])), others, count), 1)
+    slope = np.log(10.0) / 400.0
+    grid = np.arange(GRID, dtype=float)
+    value, fall = np.empty(GRID), np.empty(GRID)
+    tile = max(1, (TILE << 12) // max(1, len(others)))
+    for k in range(0, GRID, tile):
+        p = _chance(grid[k : k + tile, None], others[None, :])
+        value[k : k + tile] = p @ count
+        fall[k : k + tile] = -slope * ((p * (1 - p)) @ count)
+    on = (own >= 0) & (own <= HIGHEST) & (own == np.floor(own))
+    seed = np.empty(len(own))
+    seed[on], seed[~on] = value[own[on].astype(int)], _sums(own[~on], others, count)
+    goal = np.sqrt(rank * (0.5 + seed[at]))
+    low, high = np.zeros(len(rating), dtype=int), np.full(len(rating), GRID - 1)
+    while (high - low).max() > 1:
+        mid = (low + high) // 2
+        up = (1.0 + value[mid] - _chance(mid, rating) > goal) & (high - low > 1)
+        low, high = np.where(up, mid, low), np.where(up | (high - low <= 1), high, mid)
+    a, b, da, db = value[low], value[high], fall[low], fall[high]
+    c2, c3 = 3 * (b - a) - 2 * da - db, 2 * (a - b) + da + db
+    x = np.full(len(rating), 0.5)
+    for _ in range(4):
+        p = _chance(low + x, rating)
+        y = 1.0 + a + x * (da + x * (c2 + x * c3)) - p - goal
+        rate = da + x * (2 * c2 + 3 * x * c3) + slope * p * (1 - p)
+        x = np.clip(x - np.divide(y, rate, out=np.where(y > 0, -1.0, 1.0), where=rate < 0), 0.0, 1.0)
+    r = low + x
+    unsure = np.abs(r * 10 - np.floor(r * 10) - 0.5) < NEAR
+    r[unsure] = _halved(rating[unsure], goal[unsure], others, count)
     return np.round(r, 1)
 
 
 def performances(participants: DataFrame) -> DataFrame:
     """(contest, user, rating, rank, performance). A contest's participants are dealt to parts, each with the counts
     of the contest's distinct ratings; alone in a contest, one performs as rated."""
+    # read three times below
+    participants = materialize(participants.select("contest", "user", "rating", "rank"), "participants")
     sizes = participants.groupBy("contest").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     dealt = participants.join(sizes, "contest").withColumn("part", F.pmod(F.xxhash64("user"), F.col("parts")).cast("int"))
     counts = participants.groupBy("contest", "rating").agg(F.count(F.lit(1)).alias("n")).join(sizes, "contest")
     counts = counts.select(F.col("contest").alias("of"), F.col("rating").alias("rated"), "n", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of_part"))
 
     def rate(key, who: pd.DataFrame, hist: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for at in range(0, len(who), 1000):
-            w = who.iloc[at : at + 1000]
-            if hist["n"].sum() <= 1:
-                p = w["rating"].astype(float)
-            else:
-                p = _performance(w["rating"].to_numpy(float), w["rank"].to_numpy(float), hist["rated"].to_numpy(float), hist["n"].to_numpy(float))
-            out.append(w[["contest", "user", "rating", "rank"]].assign(performance=np.asarray(p)))
-        return pd.concat(out) if out else pd.DataFrame(columns=["contest", "user", "rating", "rank", "performance"])
+        if hist["n"].sum() <= 1:
+            p = who["rating"].to_numpy(float)
+        else:
+            p = _performance(who["rating"].to_numpy(float), who["rank"].to_numpy(float), hist["rated"].to_numpy(float), hist["n"].to_numpy(float))
+        return who[["contest", "user", "rating", "rank"]].assign(performance=p)
 
     cols = dealt.select("contest", "part", "user", "rating", "rank")
     schema = ", ".join(f"{c} {participants.schema[c].dataType.simpleString()}" for c in ("contest", "user", "rating", "rank"))
@@ -94,6 +129,8 @@ def performances(participants: DataFrame) -> DataFrame:
 def contest_changes(performed: DataFrame) -> DataFrame:
     """performed with delta and new_rating: half the way to the performance, shifted so that a contest loses one
     point a head in all."""
+    # read twice, and rated once
+    performed = materialize(performed, "performed")
     raw = (F.col("performance") - F.col("rating")) * 0.5
     shift = performed.groupBy("contest").agg((-F.sum(raw.cast("decimal(18,4)")).cast("double") / F.count(F.lit(1)) - 1.0).alias("shift"))
     met = performed.join(shift, "contest").withColumn("delta", whole(raw + F.col("shift")))

@@ -1,9 +1,10 @@
 """Work that has to grow no faster than the input: plans, counts of comparisons, sizes of what a task holds."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
-from quillon.operators import similarity
+from quillon.operators import contests, similarity
 
 
 def test_keys_of_fingerprints_are_not_broadcast(spark, tmp_path):
@@ -31,3 +32,20 @@ def test_names_of_many_rows_are_compared_once(spark, monkeypatch):
     assert sorted(map(tuple, similarity.similar_names(rows, ["g"], 0.5).collect())) == want
     # six pairs of names, though a planner may ask twice
     assert 0 < compared.value <= 24
+
+
+def test_performances_are_those_of_the_halves(monkeypatch):
+    r = np.random.default_rng(5)
+    asked = []
+    sums = contests._sums
+    for ratings in (r.integers(0, 3334, 900), np.round(r.uniform(-300, 6000, 400), 2), np.zeros(200)):
+        others, count = np.unique(ratings.astype(float), return_counts=True)
+        rating = np.repeat(r.choice(others, 600), 2)
+        rank = r.integers(1, len(ratings) + 1, len(rating)).astype(float)
+        own, at = np.unique(rating, return_inverse=True)
+        want = np.round(contests._halved(rating, np.sqrt(rank * (0.5 + sums(own, others, count)[at])), others, count), 1)
+        monkeypatch.setattr(contests, "_sums", lambda x, o, c: (asked.append(len(x)), sums(x, o, c))[1])
+        assert (contests._performance(rating, rank, others, count) == want).all()
+        monkeypatch.setattr(contests, "_sums", sums)
+    # exact seeds are asked for at ratings off the grid and near the middle of two roundings only
+    assert sum(asked) < 2000
