@@ -83,6 +83,14 @@ class Finder:
         hits = self._places(self.first, text) if self.first else {}
         return hits, self._places(self.second, without_accents(text)) if self.second else {}
 
+    def zones(self, text: str, k: int, places: list[int]) -> tuple[int, int]:
+        """How often a phrase stands in the header and in the body, each counted from its own beginning: of places that
+        overlap, the first may lie across a boundary and the next within the zone."""
+        p = self.phrases[k]
+        last = len(text) - FOOTER if len(text) > HEADER + FOOTER else None
+        body = text.count(p, HEADER, last) if last is not None else len(places)
+        return text.count(p, 0, HEADER), body
+
     def whole(self, text: str, k: int, places: list[int]) -> int:
         """How many places of a phrase have no letter, digit or underscore beside them."""
         n, inner = len(self.phrases[k]), lambda c: c.isalnum() or c == "_"
@@ -90,8 +98,8 @@ class Finder:
 
 
 def phrase_hits(docs: DataFrame, phrases: Sequence[str]) -> DataFrame:
-    """(id, length, phrase, places, n_plain, n_whole) of each phrase that a document (id, text) has: its places, how often it
-    stands in the text without accents, and how many places are whole words. A document without hits has one row whose
+    """(id, length, phrase, places, n_plain, n_whole, n_header, n_body) of each phrase that a document (id, text) has: its places, how often it
+    stands in the text without accents, how many places are whole words, and how often it stands in each zone. A document without hits has one row whose
     phrase is null."""
     shared = docs.sparkSession.sparkContext.broadcast(Finder(phrases))
 
@@ -105,16 +113,16 @@ def phrase_hits(docs: DataFrame, phrases: Sequence[str]) -> DataFrame:
                     hits, plain = finder.find(text)
                     for k in sorted({*hits, *plain}):
                         places = hits.get(k, [])
-                        rows.append((i, len(text), finder.phrases[k], places, len(plain.get(k, ())), finder.whole(text, k, places)))
+                        rows.append((i, len(text), finder.phrases[k], places, len(plain.get(k, ())), finder.whole(text, k, places), *finder.zones(text, k, places)))
                     if not hits and not plain:
-                        rows.append((i, len(text), None, [], 0, 0))
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                types = (b.schema.field(0).type, pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+                        rows.append((i, len(text), None, [], 0, 0, 0, 0))
+                columns = list(zip(*rows, strict=True)) or [[]] * 8
+                types = (b.schema.field(0).type, pa.int64(), pa.string(), pa.list_(pa.int64()), *[pa.int64()] * 4)
                 made = [pa.array([x.as_py() for x in columns[0]] if k == 0 else columns[k], t) for k, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays(made, names=["id", "length", "phrase", "places", "n_plain", "n_whole"])
+                yield pa.RecordBatch.from_arrays(made, names=["id", "length", "phrase", "places", "n_plain", "n_whole", "n_header", "n_body"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, f"id {kind}, length long, phrase string, places array<long>, n_plain long, n_whole long")
+    return docs.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, f"id {kind}, length long, phrase string, places array<long>, n_plain long, n_whole long, n_header long, n_body long")
 
 
 def lexicon_frame(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -125,14 +133,11 @@ def lexicon_frame(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def zone_evidence(hits: DataFrame, lexicon: DataFrame, multipliers: dict[str, float] | None = None) -> DataFrame:
     """(id, subject, phrase, zone, n, points) for the header, the body and, where the body has none, the text without accents:
     n places, and the points that they give. A phrase in the header counts for more; in the body its count saturates."""
-    size = F.length("phrase")
-    in_header = F.size(F.filter("places", lambda p: p + size <= HEADER))
-    in_body = F.when(F.col("length") > HEADER + FOOTER, F.size(F.filter("places", lambda p: (p >= HEADER) & (p + size <= F.col("length") - FOOTER)))).otherwise(F.size("places"))
     own = F.lit(1.0)
     for subject, m in sorted((multipliers or {}).items()):
         own = F.when(F.col("subject") == subject, m).otherwise(own)
     w = F.col("weight") * own
-    found = hits.filter("phrase IS NOT NULL").join(F.broadcast(lexicon), "phrase").select("id", "subject", "phrase", "n_plain", in_header.alias("h"), in_body.alias("b"), w.alias("w"))
+    found = hits.filter("phrase IS NOT NULL").join(F.broadcast(lexicon), "phrase").select("id", "subject", "phrase", "n_plain", F.col("n_header").alias("h"), F.col("n_body").alias("b"), w.alias("w"))
     zones = F.array(
         F.struct(F.lit("header").alias("zone"), F.col("h").cast("long").alias("n"), (F.col("w") * HEADER_BOOST * F.least("h", F.lit(HEADER_MOST))).alias("points")),
         F.struct(F.lit("body").alias("zone"), F.col("b").cast("long").alias("n"), (F.col("w") * (1.0 + F.log1p("b"))).alias("points")),

@@ -1,12 +1,14 @@
 """Work that has to grow no faster than the input: plans, counts of comparisons, sizes of what a task holds."""
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import text as tx
-from quillon.operators import contests, similarity
+from quillon.operators import contests, phrases, questions, similarity
 from quillon.plans import small
 from quillon.streaming import stateful
 
@@ -78,3 +80,16 @@ def test_raids_come_out_in_pieces():
     out = list(stateful.raids(Events(), "k", 60, 3, 300)(("x",), iter([frame[12_000:], frame[:12_000]]), State()))
     assert max(map(len, out)) <= 10_000 and [i for o in out for i in o["event_id"]] == list(range(2, 25_000))
     assert [x for o in out for x in o["started"]] == [True] + [False] * 24_997
+
+
+def test_zones_count_from_their_own_beginning():
+    finder = phrases.Finder(["that"]).build()
+    text = "x" * 1198 + "thathat" + "y" * 2000
+    assert finder.zones(text, 0, finder.find(text)[0][0]) == (0, text[1200 : len(text) - 1500].count("that")) == (0, 1)
+
+
+def test_patterns_look_at_one_character_first():
+    for phrase in ("câu", "đáp", "hết", "ứng", "số"):
+        for first in (phrase[0], phrase[0].upper()):
+            assert re.match(questions.begins((phrase,)), first)
+    assert not re.search(questions.begins(questions.LONG_LABELS), "xyz 123 .:")
