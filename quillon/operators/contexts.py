@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.questions import any_of, bind, build_questions, found_blocks, question_blocks, trim
+from quillon.sources.session import materialize
 
 MOST = 25
 #: Characters of the text that a context may be cut from, and of a context.
@@ -47,10 +48,19 @@ def cut_context(text: Column, own_line: Column) -> Column:
     return bind(found, lambda f: F.when(enough & (F.length(f["cue"]) > 0) & (F.length(f["cue"]) + F.length(f["body"]) >= LEAST_CONTEXT), f))
 
 
-def shared_contexts(papers: DataFrame) -> DataFrame:
+def found_once(papers: DataFrame, keys: bool = True) -> DataFrame:
+    """What found_blocks finds in papers (id, text) that have questions, written once for both its readers; keys: whether with
+    the text of the answers and the keys, or nulls for them."""
+    found = found_blocks(papers).filter(F.size("blocks") > 0).drop("text")
+    if not keys:
+        found = found.withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in ("tail", "codes")})
+    return materialize(found, "papers")
+
+
+def shared_contexts(papers: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(id, after, kind, cue, text, first, last) of papers (id, text): the place of the question whose tail has the context (-1
-    before the first one), and the numbers of the questions that it names."""
-    found = found_blocks(papers).filter(F.size("blocks") > 0)
+    before the first one), and the numbers of the questions that it names. found: what found_blocks has found, if known."""
+    found = (found_blocks(papers) if found is None else found).filter(F.size("blocks") > 0)
     piece = lambda b, e: F.array_join(F.slice("pieces", b + 1, e - b), "")
     first = F.get("blocks", F.lit(0))["at"]
     texts = F.concat(F.array(piece(F.lit(0), first)), F.transform("blocks", lambda b: piece(b["at"], b["until"])))
@@ -79,10 +89,12 @@ def without_context(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("block", F.coalesce(cut_context(F.col("block"), F.lit(False))["head"], F.col("block")))
 
 
-def questions_in_context(papers: DataFrame) -> DataFrame:
-    """The questions of papers, taken apart without the contexts in their tails, with the place (after) and the kind of theirs."""
-    contexts = shared_contexts(papers)
-    built = build_questions(without_context(question_blocks(papers)))
+def questions_in_context(papers: DataFrame, keys: bool = True) -> DataFrame:
+    """The questions of papers, taken apart without the contexts in their tails, with the place (after) and the kind of theirs.
+    Without keys their answers are only those that they tell themselves."""
+    found = found_once(papers, keys)
+    contexts = shared_contexts(papers, found)
+    built = build_questions(without_context(question_blocks(papers, found)))
     linked = context_links(built, contexts).join(contexts.select("id", "after", "kind"), ["id", "after"])
     return built.join(linked, ["id", "place"], "left")
 
