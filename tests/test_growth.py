@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from quillon.functions import text as tx
 from quillon.operators import contests, phrases, questions, similarity
-from quillon.plans import small
+from quillon.sources import session
+from quillon.plans import exams, small
 from quillon.streaming import stateful
 
 
@@ -93,3 +94,19 @@ def test_patterns_look_at_one_character_first():
         for first in (phrase[0], phrase[0].upper()):
             assert re.match(questions.begins((phrase,)), first)
     assert not re.search(questions.begins(questions.LONG_LABELS), "xyz 123 .:")
+
+
+def test_papers_are_dealt_out_once(spark, sf_dir, monkeypatch):
+    for made in (exams.papers, exams.passages):
+        plan = made(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "RoundRobin" not in plan
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    rows = session.read_table(spark, sf_dir, "lineitem")
+    assert session.dealt(rows, "l_orderkey").rdd.getNumPartitions() == -(-rows.count() // 100)
+
+
+def test_cuts_are_those_of_a_split(spark):
+    texts = ["", "1. ab 2. cd", "x1. 2. y", "no", "1. own \uffff seam 2. z", "\uffff", "\uffff1. \uffff"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    cut = rows.select(questions.cut_before(F.col("t"), r"(?=\d\.)").alias("a"), F.split("t", r"(?=\d\.)").alias("b")).collect()
+    assert all(r.a == r.b for r in cut)
