@@ -15,8 +15,11 @@ watermark stays in the state, and is served when later items move the watermark
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,20 +28,77 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 # Fixed values of the platform's rules.
 EVERY, PER_SOURCE, FLUSH = 45, 12, 16
 
-WAITING, LINE, TIMER = "source string, item long, at long", "source string, item long", "round long"
+#: Waiting items are packed: a row has up to CHUNK of a source's items, and their times unless these have come, as 64-bit numbers.
+WAITING, LINE, TIMER = "source string, ready boolean, items binary, ats binary", "source string, item long", "round long"
+CHUNK = 100_000
+#: Rows of a result that a task gives out at once.
+PIECE = 10_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def serve(waiting: list[tuple], line: list[tuple], end: int, per_source: int, flush: int) -> tuple[list[tuple], list[tuple], list[tuple]]:
-    """(served, still waiting, the line) of a round that ends at a time: waiting are (source, item, at)."""
-    ready = sorted((w for w in waiting if w[2] < end), key=lambda w: (w[0], -w[1]))
-    taken, count = [], {}
-    stays = [w for w in waiting if w[2] >= end]
-    for w in ready:
-        count[w[0]] = count.get(w[0], 0) + 1
-        (taken if count[w[0]] <= per_source else stays).append(w)
-    line = line + [(s, i) for s, i, _ in taken]
-    return line[:flush], stays, line[flush:]
+class Waiting:
+    """The waiting items of one source: those whose time has come as runs, each with its greatest item first, and the others by
+    time. An item is sorted twice, whatever the number of rounds that it waits."""
+
+    def __init__(self, ready: list[np.ndarray], later: list[tuple[np.ndarray, np.ndarray]]):
+        self.runs: list[tuple[np.ndarray, int]] = []
+        self.heads: list[tuple[int, int]] = []
+        self.items, self.ats = (np.concatenate(x) for x in zip(*later, strict=True)) if later else (np.empty(0, np.int64), np.empty(0, np.int64))
+        order = np.argsort(self.ats, kind="stable")
+        self.items, self.ats, self.at = self.items[order], self.ats[order], 0
+        if ready:
+            self._run(np.concatenate(ready))
+
+    def _run(self, items: np.ndarray) -> None:
+        if len(items):
+            run = np.sort(items)[::-1]
+            heapq.heappush(self.heads, (-int(run[0]), len(self.runs)))
+            self.runs.append((run, 0))
+
+    def __bool__(self) -> bool:
+        return bool(self.heads) or self.at < len(self.ats)
+
+    def due(self) -> int | None:
+        """The time of the first item that isn't ready, or null if one is."""
+        return None if self.heads else int(self.ats[self.at])
+
+    def newest(self, end: int, most: int) -> list[int]:
+        """Take up to ``most`` of the items before a time, the greatest first."""
+        until = int(np.searchsorted(self.ats, end))
+        self._run(self.items[self.at : until])
+        self.at, out = max(self.at, until), []
+        while self.heads and len(out) < most:
+            head, k = self.heads[0]
+            run, place = self.runs[k]
+            out.append(-head)
+            self.runs[k] = run, place + 1
+            if place + 1 < len(run):
+                heapq.heapreplace(self.heads, (-int(run[place + 1]), k))
+            else:
+                heapq.heappop(self.heads)
+        return out
+
+    def packed(self, source: str) -> Iterator[tuple]:
+        """Rows of WAITING."""
+        rest = [run[place:] for run, place in self.runs if place < len(run)]
+        items = np.concatenate([*rest, self.items[self.at :]])
+        ready = sum(map(len, rest))
+        for begin, end, is_ready in ((0, ready, True), (ready, len(items), False)):
+            for i in range(begin, end, CHUNK):
+                j = min(i + CHUNK, end)
+                yield source, is_ready, items[i:j].tobytes(), b"" if is_ready else self.ats[self.at + i - ready : self.at + j - ready].tobytes()
+
+
+def unpacked(rows: Iterator[tuple]) -> dict[str, Waiting]:
+    """The waiting items by source, in the order of their names, from rows of WAITING."""
+    ready, later = {}, {}
+    numbers = lambda b: np.frombuffer(b, np.int64)
+    for source, is_ready, items, ats in rows:
+        if is_ready:
+            ready.setdefault(source, []).append(numbers(items))
+        else:
+            later.setdefault(source, []).append((numbers(items), numbers(ats)))
+    return {s: Waiting(ready.get(s, []), later.get(s, [])) for s in sorted(ready.keys() | later.keys())}
 
 
 class Rounds(StatefulProcessor):
@@ -65,7 +125,8 @@ class Rounds(StatefulProcessor):
         first = None
         for frame in rows:
             at = frame["ts"].astype("datetime64[ms]").astype("int64")
-            self.waiting.appendList([(s, int(i), int(a)) for s, i, a in zip(frame["source"], frame["item"], at, strict=True)])
+            item = frame["item"].astype("int64")
+            self.waiting.appendList([(s, False, item.iloc[i].to_numpy().tobytes(), at.iloc[i].to_numpy().tobytes()) for s, i in frame.groupby("source").indices.items()])
             first = int(at.min()) if first is None else min(first, int(at.min()))
         if first is not None:
             # one that is late waits for the first round that the watermark hasn't closed
@@ -74,13 +135,20 @@ class Rounds(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, due = timerValues.getCurrentWatermarkInMs(), self.timer.get()[0]
-        waiting, line = [tuple(w) for w in self.waiting.get()], [tuple(q) for q in self.line.get()]
+        waiting, line = unpacked(map(tuple, self.waiting.get())), deque(tuple(q) for q in self.line.get())
         out = []
         while (waiting or line) and (due + 1) * self.every <= now:
-            served, waiting, line = serve(waiting, line, (due + 1) * self.every, self.per_source, self.flush)
-            out += [(key[0], due, k, s, i) for k, (s, i) in enumerate(served)]
-            due = due + 1 if line or not waiting else max(due + 1, min(a for *_, a in waiting) // self.every)
-        for state, rows in ((self.waiting, waiting), (self.line, line)):
+            end = (due + 1) * self.every
+            for source, items in waiting.items():
+                line.extend((source, i) for i in items.newest(end, self.per_source))
+            out += [(key[0], due, k, *line.popleft()) for k in range(min(self.flush, len(line)))]
+            waiting = {s: w for s, w in waiting.items() if w}
+            first = [w.due() for w in waiting.values()]
+            due = due + 1 if line or not waiting or None in first else max(due + 1, min(first) // self.every)
+            if len(out) >= PIECE:
+                yield self._rows(out)
+                out = []
+        for state, rows in ((self.waiting, [r for s, w in waiting.items() for r in w.packed(s)]), (self.line, list(line))):
             if rows:
                 state.put(rows)
             else:
@@ -89,7 +157,10 @@ class Rounds(StatefulProcessor):
         if waiting or line:
             self._wait_for(due)
         if out:
-            yield pd.DataFrame(out, columns=[self.shard, "round", "place", "source", "item"]).astype({"source": object})
+            yield self._rows(out)
+
+    def _rows(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[self.shard, "round", "place", "source", "item"]).astype({"source": object})
 
     def close(self) -> None:
         pass

@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+
 from quillon.sources.session import read_table
 from quillon.streaming import intake, windows
 
@@ -53,6 +55,31 @@ def test_rounds_over_batches_and_a_restart(spark, tmp_path):
     assert run(len(parts), "cut") == whole
 
 
+def test_waiting_items_are_sorted_twice_and_packed(monkeypatch):
+    r = np.random.default_rng(3)
+    ids, ats = r.permutation(20_000), r.integers(-500, 1_500, 20_000)
+    sorted_, sort = [], np.sort
+    monkeypatch.setattr(np, "sort", lambda x: (sorted_.append(len(x)), sort(x))[1])
+    monkeypatch.setattr(intake, "CHUNK", 700)
+    half = 11_111
+    rows = [("b", False, ids[i:j].tobytes(), ats[i:j].tobytes()) for i, j in ((0, half), (half, 20_000))] + [("a", True, ids[:2].tobytes(), b"")]
+    got, left = [], {(int(i), int(a)) for i, a in zip(ids, ats, strict=True)}
+    waiting = intake.unpacked(iter(rows))
+    assert list(waiting) == ["a", "b"] and waiting["b"].due() == ats.min() and waiting["a"].due() is None
+    waiting = waiting["b"]
+    for end in range(-400, 1_600, 10):
+        want = sorted((x for x in left if x[1] < end), reverse=True)[:3]
+        left -= set(want)
+        assert waiting.newest(end, 3) == [i for i, _ in want]
+        got += want
+    # the rounds together sort each item once
+    assert sum(sorted_) <= 20_000 + 2 and len(got) == 3 * 200
+    packed = list(waiting.packed("b"))
+    assert max(len(p[2]) for p in packed) == 700 * 8
+    waiting = intake.unpacked(iter(packed))["b"]
+    assert waiting.newest(1_600, 50_000) == sorted((i for i, _ in left), reverse=True) and not waiting
+
+
 def test_polls_and_windows_go_on_where_they_were(spark, sf_dir, tmp_path):
     events = read_table(spark, sf_dir, "events")
     days = [("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-03-01")]
