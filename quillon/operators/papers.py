@@ -19,11 +19,22 @@ def number_gaps(questions: DataFrame, most: int = 5) -> DataFrame:
 def key_problems(questions: DataFrame, keys: DataFrame) -> DataFrame:
     """(id, number, problem): keys without a question (orphan), questions without a key (unanswered), keys that aren't one
     of A to D (invalid). questions: id, number; keys: id, number, letter."""
-    q = questions.select("id", "number").distinct()
-    orphan = keys.join(q, ["id", "number"], "left_anti").select("id", "number", F.lit("orphan").alias("problem"))
-    silent = q.join(keys, ["id", "number"], "left_anti").select("id", "number", F.lit("unanswered").alias("problem"))
-    bad = keys.filter(~F.col("letter").rlike("^[A-D]$")).select("id", "number", F.lit("invalid").alias("problem"))
-    return orphan.unionAll(silent).unionAll(bad)
+    is_bad = ~F.col("letter").rlike("^[A-D]$")
+    asked = questions.select("id", "number", F.lit(True).alias("asked"), F.lit(0).alias("key"), F.lit(0).alias("bad"))
+    known = keys.select("id", "number", F.lit(False).alias("asked"), F.lit(1).alias("key"), F.when(is_bad, 1).otherwise(0).alias("bad"))
+    return number_problems(asked.unionAll(known).groupBy("id", "number").agg(F.max("asked").alias("asked"), F.sum("key").alias("n_keys"), F.sum("bad").alias("n_bad")))
+
+
+def number_problems(numbers: DataFrame) -> DataFrame:
+    """key_problems of numbers (id, number, asked, n_keys, n_bad), a row each: whether there is a question, and how many keys and
+    invalid keys. Nothing is compared with a null id or number, so such keys are orphans and such questions unanswered."""
+    met = F.col("id").isNotNull() & F.col("number").isNotNull()
+    times = lambda problem, n: F.array_repeat(F.lit(problem), n.cast("int"))
+    told = (
+        times("orphan", F.when(met & F.col("asked"), 0).otherwise(F.col("n_keys"))),
+        times("unanswered", F.when(F.col("asked") & ~(met & (F.col("n_keys") > 0)), 1).otherwise(0)), times("invalid", F.col("n_bad")),
+    )
+    return numbers.select("id", "number", F.explode(F.concat(*told)).alias("problem"))
 
 
 def shuffled_papers(questions: DataFrame, seed: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import text as tx
-from quillon.operators import contests, phrases, questions, similarity
+from quillon.operators import contests, papers, phrases, questions, similarity
 from quillon.sources import session
 from quillon.plans import exams, small
 from quillon.streaming import stateful
@@ -110,3 +110,20 @@ def test_cuts_are_those_of_a_split(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     cut = rows.select(questions.cut_before(F.col("t"), r"(?=\d\.)").alias("a"), F.split("t", r"(?=\d\.)").alias("b")).collect()
     assert all(r.a == r.b for r in cut)
+
+
+def test_problems_of_keys_need_no_join(spark, sf_dir, tmp_path):
+    q = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (None, 3), (None, 3), (2, 9)], "id int, number int")
+    k = spark.createDataFrame([(1, 1, "A"), (1, 7, "E"), (1, 7, "B"), (None, 3, "C"), (2, 9, None), (1, 1, "x")], "id int, number int, letter string")
+    want = [(1, 2, "unanswered"), (1, 7, "orphan"), (1, 7, "orphan"), (1, 7, "invalid"), (1, 1, "invalid"), (None, 3, "orphan"), (None, 3, "unanswered")]
+    assert sorted(map(str, map(tuple, papers.key_problems(q, k).collect()))) == sorted(map(str, want))
+    import duckdb
+
+    lineitem = duckdb.connect().sql(f"SELECT * REPLACE (CASE WHEN l_partkey % 7 > 0 THEN l_partkey END AS l_partkey) FROM '{sf_dir}/lineitem.parquet'")
+    want = lineitem.query("lineitem", small.ORACLE_SQL["key_problems"]).fetchall()
+    lineitem.write_parquet(str(tmp_path / "lineitem.parquet"))
+    got = small.QUERIES["key_problems"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    for found in (papers.key_problems(q, k), small.QUERIES["key_problems"](spark, sf_dir)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange ") == 1
