@@ -98,8 +98,11 @@ SCRIPTS = {
 
 
 def script_counts(text: Column) -> dict[str, Column]:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return {k: F.regexp_count(low, F.lit(p)) for k, p in SCRIPTS.items()}
+    """Characters of each class. No class has ASCII, so that goes first; letters that aren't one range are looked up, not tried
+    one by one."""
+    rest = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x7F]+", "")
+    listed = lambda p: F.length(rest) - F.length(F.translate(rest, p[1:-1], ""))
+    return {k: F.regexp_count(rest, F.lit(p)) if p[2] == "-" else listed(p) for k, p in SCRIPTS.items()}
 
 
 def script_language(n: dict[str, Column]) -> Column:

@@ -127,3 +127,14 @@ def test_problems_of_keys_need_no_join(spark, sf_dir, tmp_path):
     for found in (papers.key_problems(q, k), small.QUERIES["key_problems"](spark, sf_dir)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and plan.count("Exchange ") == 1
+
+
+def test_letters_of_scripts_are_looked_up(spark):
+    texts = [None, "", "plain ascii - only", "ÀÂ éÉ ŒŸ ư Đđ ự!", "がガ한글漢字 Жж \U0001f600 \u0301é]-^", "x" * 50 + "ŷỹ" * 30]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = rows.select(*[F.regexp_count(F.lower(F.coalesce("t", F.lit(""))), F.lit(p)).alias(k) for k, p in tx.SCRIPTS.items()]).collect()
+    found = rows.select(*[c.alias(k) for k, c in tx.script_counts(F.col("t")).items()])
+    assert found.collect() == want and any(map(any, want))
+    # only ranges are matched by patterns, and over what isn't ASCII
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert tx.SCRIPTS["french"] not in plan and tx.SCRIPTS["vietnamese"] not in plan and "[\\x00-\\x7F]+" in plan
