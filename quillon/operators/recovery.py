@@ -64,8 +64,10 @@ def recovered(papers: DataFrame) -> DataFrame:
     work, done = blocks.withColumn("place", first), []
     while True:
         swallowed, dashed = faults()
-        seen = materialize(build_questions(work, ("codes",)).withColumn("swallowed", swallowed).withColumn("dashed", dashed), "recovery")
         bad = F.col("swallowed") | F.col("dashed")
+        built = build_questions(work, ("codes",)).withColumn("swallowed", swallowed).withColumn("dashed", dashed)
+        # a paper's keys go on with the questions of the next round only, not with each that is done
+        seen = materialize(built.withColumn("codes", F.when(bad, F.col("codes"))), "recovery")
         done.append(seen.filter(~bad))
         if seen.filter(bad).isEmpty():
             break

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import text as tx
-from quillon.operators import contests, papers, phrases, questions, similarity
+from quillon.operators import contests, papers, phrases, questions, recovery, similarity
 from quillon.sources import session
 from quillon.plans import exams, small
 from quillon.streaming import stateful
@@ -138,3 +138,15 @@ def test_letters_of_scripts_are_looked_up(spark):
     # only ranges are matched by patterns, and over what isn't ASCII
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert tx.SCRIPTS["french"] not in plan and tx.SCRIPTS["vietnamese"] not in plan and "[\\x00-\\x7F]+" in plan
+
+
+def test_keys_of_a_paper_are_written_with_its_faults_only(spark, monkeypatch):
+    asked = "".join(f"Question {k}: What about lot {k}?\nA. up\nB. down\nC. away\n" for k in range(1, 6))
+    dashes = "Question 6: What about the lot?\nA - up\nB - down\nC - away\n"
+    text = asked + dashes + "Answer key\n" + " ".join(f"{k}-{'ABC'[k % 3]}" for k in range(1, 7))
+    written = []
+    write = recovery.materialize
+    monkeypatch.setattr(recovery, "materialize", lambda df, label: (written.append(write(df, label)), written[-1])[1])
+    got = recovery.recovered(spark.createDataFrame([(1, text)], "id long, text string"))
+    assert [(r.number, r.answer, r.parsed) for r in got.orderBy("number").collect()] == [(k, "ABC"[k % 3], 1 + (k == 6)) for k in range(1, 7)]
+    assert [w.filter("codes IS NOT NULL").count() for w in written] == [1, 0]
