@@ -150,3 +150,20 @@ def test_keys_of_a_paper_are_written_with_its_faults_only(spark, monkeypatch):
     got = recovery.recovered(spark.createDataFrame([(1, text)], "id long, text string"))
     assert [(r.number, r.answer, r.parsed) for r in got.orderBy("number").collect()] == [(k, "ABC"[k % 3], 1 + (k == 6)) for k in range(1, 7)]
     assert [w.filter("codes IS NOT NULL").count() for w in written] == [1, 0]
+
+
+def test_phrases_are_matched_as_java_folds_them(spark):
+    letters = sorted({c for p in (*questions.CUES, *questions.LONG_LABELS, *questions.ANSWER_TITLES) for c in p.lower() if c.isalpha()})
+    rows = spark.range(0x20, 0xD800).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    differ = [F.sum((F.col("c").rlike(f"^{questions.any_of((x,))}$") != F.col("c").rlike(f"^(?iu:{x})$")).cast("int")) for x in letters]
+    assert set(rows.select(*differ).first()) == {0}
+    tree = questions.any_of(("true false", "true", "truth"))
+    assert spark.range(1).select(F.regexp_extract(F.lit("TRUE-False"), tree, 0)).first()[0] == "TRUE-False" and "(?iu" not in tree
+
+
+def test_keys_are_looked_for_where_a_number_stands_by_a_letter(spark):
+    plan = questions.answer_keys(spark.createDataFrame([(1, "x")], "id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert questions.ANY_KEY in plan
+    n = 20_000
+    rows = spark.createDataFrame([(k, f"1{c * n}") for k, c in enumerate(" \n1-")], "id long, text string")
+    assert questions.answer_keys(rows).count() == 0
