@@ -36,15 +36,12 @@ TITLE_HEAD, LEAST_ALIKE, ALIKE = 80, 4, 0.35
 
 def question_problems(questions: DataFrame) -> DataFrame:
     """(id, place, problem) of what is wrong within a question, or in its order: a number below that of the question before
-    it in its group, other than 1. Each problem is told once a question."""
-    before = Window.partitionBy("id").orderBy("place")
-    backwards = (F.lag("number").over(before) > F.col("number")) & F.lag("group").over(before).eqNullSafe(F.col("group")) & (F.col("number") != 1)
+    it in its group, other than 1. Each problem is told once a question. Only numbers and problems are sorted, no texts."""
     options, choice = F.col("options"), F.col("type").isin(*CHOICES)
     blank = lambda c: F.coalesce(c, F.lit("")).rlike(r"^\s*$")
     markers = F.transform(options, lambda o: F.upper(o["marker"]))
     letters = F.regexp_extract_all(F.upper(F.coalesce("answer", F.lit(""))), F.lit("[A-F]"), F.lit(0))
     rules = (
-        ("out_of_order", backwards),
         ("no_stem", blank(F.col("stem"))),
         ("few_options", choice & (F.size(options) < 2)),
         ("repeated_marker", choice & (F.size(F.array_distinct(markers)) < F.size(markers))),
@@ -54,7 +51,10 @@ def question_problems(questions: DataFrame) -> DataFrame:
         ("no_blank", (F.col("type") == "fill_blank") & (F.col("n_blanks") == 0)),
         ("answer_not_offered", (F.size(options) > 0) & (F.size(F.array_except(letters, markers)) > 0)),
     )
-    found = questions.select("id", "place", F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules])).alias("p"))
+    own = questions.select("id", "place", "number", "group", F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules])).alias("own"))
+    before = Window.partitionBy("id").orderBy("place")
+    backwards = (F.lag("number").over(before) > F.col("number")) & F.lag("group").over(before).eqNullSafe(F.col("group")) & (F.col("number") != 1)
+    found = own.select("id", "place", F.when(backwards, F.array_prepend("own", F.lit("out_of_order"))).otherwise(F.col("own")).alias("p"))
     return found.select("id", "place", F.explode("p").alias("problem"))
 
 

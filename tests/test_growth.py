@@ -152,6 +152,20 @@ def test_keys_of_a_paper_are_written_with_its_faults_only(spark, monkeypatch):
     assert [w.filter("codes IS NOT NULL").count() for w in written] == [1, 0]
 
 
+def test_problems_shuffle_no_texts(spark, sf_dir):
+    found = exams.exam_problems(spark, sf_dir)
+    for line in found._jdf.queryExecution().executedPlan().toString().splitlines():
+        if "Window [lag(" in line:
+            break
+    else:
+        raise AssertionError("no window")
+    node = found._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Window":
+        node = node.children().head()
+    below = node.children().head().output().mkString(",")
+    assert "own" in below and not any(c in below for c in ("stem", "options", "raw", "answer"))
+
+
 def test_phrases_are_matched_as_java_folds_them(spark):
     letters = sorted({c for p in (*questions.CUES, *questions.LONG_LABELS, *questions.ANSWER_TITLES) for c in p.lower() if c.isalpha()})
     rows = spark.range(0x20, 0xD800).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
