@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import text as tx
-from quillon.operators import contests, papers, phrases, questions, recovery, similarity
+from quillon.operators import contests, features, papers, phrases, questions, recovery, similarity
 from quillon.sources import session
 from quillon.plans import exams, small
 from quillon.streaming import stateful
@@ -166,6 +166,22 @@ def test_problems_shuffle_no_texts(spark, sf_dir):
     assert "own" in below and not any(c in below for c in ("stem", "options", "raw", "answer"))
 
 
+def test_features_are_looked_for_where_their_words_are(spark):
+    texts = [None, "", "no feature at all", "READING PASSAGE 1\nword-formation, LỚP 12", "Clo\u017fe te\u017ft for g\u0130fted \u017ftudents", "a.OUT \u1c80ариант 4 O(n)", "Mục tiêu bài học, KẾ HOẠCH BÀI DẠY; Phần I: đúng sai"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = features.structure_features(rows).orderBy("id")
+    text = F.coalesce("text", F.lit(""))
+    patterns = {k: features.whole(v) for k, v in features.WORD_FEATURES.items()} | features.PATTERN_FEATURES
+    want = rows.orderBy("id").select(*[F.regexp_count(text, F.lit(p)).alias(k) for k, p in patterns.items() if k != "contract"])
+    assert found.select(*want.columns).collect() == want.collect()
+    assert [r.named_grade for r in found.collect()] == [None, None, None, "GRADE_12", "OLYMPIAD_GIFTED", None, None]
+    # patterns are behind words, which are searched as bytes
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(") > 50
+    words = features.words_of(features.WORD_FEATURES["lesson"])
+    assert all(any(w in p for w in words) for p in features.WORD_FEATURES["lesson"])
+
+
 def test_phrases_are_matched_as_java_folds_them(spark):
     letters = sorted({c for p in (*questions.CUES, *questions.LONG_LABELS, *questions.ANSWER_TITLES) for c in p.lower() if c.isalpha()})
     rows = spark.range(0x20, 0xD800).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
