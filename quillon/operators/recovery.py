@@ -26,6 +26,8 @@ LEAST_DASHES, LEAST_STEM = 3, 8
 
 SWALLOWED = rf"\n\s*+(?={any_of(SWALLOWING)}\s+\d{{1,3}}\s*[.:)]\s+\S)"
 DASH = r"(?m)(?:^[ \t]*|[ \t]{2,})(?=[A-D]\s*[-–—][ \t]+\S)"
+#: Columns of a question that its paper's keys decide.
+KEYED = {"answer", "statements", "type"}
 HOW = "struct<path: array<int>, parsed: int, how: string>"
 
 
@@ -56,16 +58,22 @@ def mended(bad: DataFrame) -> DataFrame:
     )
 
 
-def recovered(papers: DataFrame) -> DataFrame:
+def recovered(papers: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
     """The questions of papers (id, text), taken apart, with parsed, how often each was, and how the last time came about: null for
-    the first, cut or dashes. Places are numbered anew."""
+    the first, cut or dashes. Places are numbered anew. columns: those of a question that are asked for (default: all); what
+    only the others need isn't looked for, nor written."""
     blocks = question_blocks(papers)
+    if columns is not None and KEYED.isdisjoint(columns):
+        blocks = blocks.withColumn("codes", F.lit(None).cast(blocks.schema["codes"].dataType))
     first = F.struct(F.array("place").alias("path"), F.lit(1).alias("parsed"), F.lit(None).cast("string").alias("how")).cast(HOW)
     work, done = blocks.withColumn("place", first), []
     while True:
         swallowed, dashed = faults()
         bad = F.col("swallowed") | F.col("dashed")
         built = build_questions(work, ("codes",)).withColumn("swallowed", swallowed).withColumn("dashed", dashed)
+        if columns is not None:
+            mends = [F.when(bad, F.col(c)).alias(c) for c in ("section", "label", "block") if c not in columns]
+            built = built.select("id", "place", *dict.fromkeys(("number", *columns)), *mends, "codes", "swallowed", "dashed")
         # a paper's keys go on with the questions of the next round only, not with each that is done
         seen = materialize(built.withColumn("codes", F.when(bad, F.col("codes"))), "recovery")
         done.append(seen.filter(~bad))
@@ -74,4 +82,5 @@ def recovered(papers: DataFrame) -> DataFrame:
         work = mended(seen.filter(bad))
     every = reduce(DataFrame.unionByName, done)
     line = Window.partitionBy("id").orderBy("place.path")
-    return every.withColumns({"parsed": F.col("place.parsed"), "how": F.col("place.how")}).withColumn("place", F.row_number().over(line) - 1).drop("swallowed", "dashed", "codes")
+    told = every.withColumns({"parsed": F.col("place.parsed"), "how": F.col("place.how")}).withColumn("place", F.row_number().over(line) - 1).drop("swallowed", "dashed", "codes")
+    return told if columns is None else told.select("id", "place", *columns, "parsed", "how")

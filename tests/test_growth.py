@@ -182,6 +182,20 @@ def test_features_are_looked_for_where_their_words_are(spark):
     assert all(any(w in p for w in words) for p in features.WORD_FEATURES["lesson"])
 
 
+def test_recovery_looks_for_what_is_asked(spark, monkeypatch):
+    text = "Question 1: What about the lot?\nA - up\nB - down\nC - away\nQuestion 2: And this?\nA. x\nB. y\nAnswer key\n1-A 2-B"
+    rows = spark.createDataFrame([(1, text)], "id long, text string")
+    written = []
+    write = recovery.materialize
+    monkeypatch.setattr(recovery, "materialize", lambda df, label: (written.append(write(df, label)), written[-1])[1])
+    whole = recovery.recovered(rows)
+    n = len(written)
+    some = recovery.recovered(rows, ("number", "options"))
+    assert some.orderBy("place").collect() == whole.select(*some.columns).orderBy("place").collect()
+    assert "statements" in written[0].columns and not {"statements", "answer", "stem"} & set(written[n].columns)
+    assert written[n].filter("codes IS NOT NULL").count() == 0 and written[n].filter("block IS NOT NULL").count() == 1
+
+
 def test_phrases_are_matched_as_java_folds_them(spark):
     letters = sorted({c for p in (*questions.CUES, *questions.LONG_LABELS, *questions.ANSWER_TITLES) for c in p.lower() if c.isalpha()})
     rows = spark.range(0x20, 0xD800).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
