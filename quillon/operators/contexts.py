@@ -37,15 +37,16 @@ NAMED = rf"(?iu)(?:từ\s+(?:câu\s+)?|(?:các\s+)?câu(?:\s+hỏi)?\s+|from\s+(
 def cut_context(text: Column, own_line: Column) -> Column:
     """struct<head, cue, body>: what stands before the first line with a cue, that line, and the rest. Null if there is none, or
     too little text. own_line: whether the first line may be the one."""
-    after = rf"(?s)\n[ \t]*({CUE})(?:\n(.*))?\z"
+    after = rf"\n[ \t]*({CUE})"
     begin = rf"(?s)^[ \t]*({CUE})(?:\n(.*))?\z"
     at_start = own_line & text.rlike(begin)
-    head = F.when(at_start, "").otherwise(F.get(F.split(text, rf"\n[ \t]*(?={CUE})", 2), F.lit(0)))
+    head = F.when(at_start, "").otherwise(F.regexp_extract(text, rf"(?s)^(.*?){after}", 1))
     cue = F.when(at_start, F.regexp_extract(text, begin, 1)).otherwise(F.regexp_extract(text, after, 1))
-    body = F.when(at_start, F.regexp_extract(text, begin, 2)).otherwise(F.regexp_extract(text, after, 2))
+    body = F.when(at_start, F.regexp_extract(text, begin, 2)).otherwise(F.regexp_extract(text, rf"(?s){after}(?:\n(.*))?\z", 2))
     found = F.struct(trim(head).alias("head"), trim(cue).alias("cue"), trim(body).alias("body"))
     enough = F.length(text) >= F.when(own_line, LEAST_CONTEXT).otherwise(LEAST_TEXT)
-    return bind(found, lambda f: F.when(enough & (F.length(f["cue"]) > 0) & (F.length(f["cue"]) + F.length(f["body"]) >= LEAST_CONTEXT), f))
+    # most texts have no cue: they are looked at once
+    return F.when(enough & (at_start | text.rlike(after)), bind(found, lambda f: F.when(F.length(f["cue"]) + F.length(f["body"]) >= LEAST_CONTEXT, f)))
 
 
 def found_once(papers: DataFrame, keys: bool = True) -> DataFrame:

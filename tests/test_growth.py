@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import text as tx
-from quillon.operators import contests, features, papers, phrases, questions, recovery, similarity
+from quillon.operators import contests, contexts, features, papers, phrases, questions, recovery, similarity
 from quillon.sources import session
 from quillon.plans import exams, small
 from quillon.streaming import stateful
@@ -196,6 +196,17 @@ def test_recovery_looks_for_what_is_asked(spark, monkeypatch):
     assert written[n].filter("codes IS NOT NULL").count() == 0 and written[n].filter("block IS NOT NULL").count() == 1
 
 
+def test_texts_without_cues_are_not_split(spark):
+    texts = ["Why? " * 12, "Why? " * 12 + "\nRead the following text:\nOnce there was a river.", "Read the following text:\nOnce there was a river.\n \tRead the following article\nx"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    cut = rows.select(*[contexts.cut_context(F.col("t"), F.lit(own)).alias(f"own_{own}") for own in (False, True)])
+    told = lambda c: None if c is None else (c["head"], c["cue"], c["body"])
+    a = ("Why? " * 12).strip(), "Read the following text:", "Once there was a river."
+    b = "Read the following text:\nOnce there was a river.", "Read the following article", "x"
+    assert [(told(r.own_False), told(r.own_True)) for r in cut.collect()] == [(None, None), (a, a), (b, ("", "Read the following text:", "Once there was a river.\n \tRead the following article\nx"))]
+    assert "split(" not in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_phrases_are_matched_as_java_folds_them(spark):
     letters = sorted({c for p in (*questions.CUES, *questions.LONG_LABELS, *questions.ANSWER_TITLES) for c in p.lower() if c.isalpha()})
     rows = spark.range(0x20, 0xD800).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
